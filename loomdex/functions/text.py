@@ -18,8 +18,8 @@ LIGATURES = {
     "ﬂ": "fl",
     "ﬃ": "ffi",
     "ﬄ": "ffl",
-    "­": "",
-    " ": " ",
+    "\u00ad": "",
+    "\u00a0": " ",
 }
 BRANDS = ("МиксерПро", "КеттлПро", "АкваТерм", "ТехноДом")
 ARTICUL = rf"{NOT_WORD_BEFORE}[A-Z]{{2,5}}-[A-Z0-9]{{2,6}}{NOT_WORD_AFTER}"

@@ -48,6 +48,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return df
 
 
+def broadcast_within(df: DataFrame, row_bound: int) -> DataFrame:
+    """Broadcast hint for a side whose row bound follows from how it was made,
+    for example k rows for each of n queries; no count runs."""
+    return F.broadcast(df) if row_bound <= BROADCAST_MAX_ROWS else df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the cluster's shared folder.
 
