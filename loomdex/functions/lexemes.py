@@ -39,10 +39,15 @@ def lexeme_of(word: Column, analyzer: str) -> Column:
     ).otherwise(F.when(~word.isin(*RUSSIAN_STOP), russian_stem(word)))
 
 
+def _weight_table() -> list[float]:
+    table, series = [], 0.0
+    for j in range(1, MAX_POSITIONS + 1):
+        series += 1.0 / (j * j)
+        table.append(LEXEME_WEIGHT * series / INVERSE_SQUARE_LIMIT)
+    return table
+
+
 def term_weight(tf: Column) -> Column:
-    """Rank contribution of a lexeme that occurs ``tf`` times."""
-    hits = F.sequence(F.lit(1), F.least(tf.cast("int"), F.lit(MAX_POSITIONS)))
-    series = F.aggregate(
-        hits, F.lit(0.0), lambda total, j: total + F.lit(1.0) / (j * j).cast("double")
-    )
-    return F.lit(LEXEME_WEIGHT) * series / F.lit(INVERSE_SQUARE_LIMIT)
+    """Rank contribution of a lexeme that occurs ``tf`` times: a constant-array lookup."""
+    position = F.least(tf, F.lit(MAX_POSITIONS)).cast("int")
+    return F.element_at(F.array(*[F.lit(w) for w in _weight_table()]), position)

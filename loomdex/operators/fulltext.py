@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions.lexemes import lexeme_of, term_weight, words
-from loomdex.session import bounded_broadcast
+from loomdex.session import bounded_broadcast, widen
 
 
 def _words(df: DataFrame, text_column: str, *keys: str) -> DataFrame:
@@ -14,9 +14,15 @@ def _words(df: DataFrame, text_column: str, *keys: str) -> DataFrame:
 
 
 def _lexemes(word_rows: DataFrame, analyzer: str) -> DataFrame:
-    return word_rows.withColumn("lexeme", lexeme_of(F.col("word"), analyzer)).filter(
-        F.col("lexeme").isNotNull()
-    )
+    """Adds ``lexeme`` and drops stop words.
+
+    The explode of a zero-or-one element array evaluates a stem once per row; a
+    plain filter would be pushed below the distinct and evaluated per occurrence.
+    """
+    if analyzer == "simple":
+        return word_rows.withColumn("lexeme", F.col("word"))
+    lexeme = lexeme_of(F.col("word"), analyzer)
+    return word_rows.withColumn("lexeme", F.explode(F.array_compact(F.array(lexeme))))
 
 
 def query_lexemes(queries: DataFrame, analyzer: str = "simple") -> DataFrame:
@@ -24,10 +30,13 @@ def query_lexemes(queries: DataFrame, analyzer: str = "simple") -> DataFrame:
 
     A query without lexemes has no rows here and therefore finds nothing.
     """
-    rows = _lexemes(_words(queries, "query_text", "query_id"), analyzer)
-    distinct = rows.select("query_id", "lexeme").distinct()
-    sizes = distinct.groupBy("query_id").agg(F.count("*").alias("query_size"))
-    return distinct.join(sizes, "query_id")
+    found = F.transform(words(F.col("query_text")), lambda w: lexeme_of(w, analyzer))
+    rows = queries.select("query_id", F.array_distinct(F.array_compact(found)).alias("lexemes"))
+    return bounded_broadcast(
+        rows.select(
+            "query_id", F.explode("lexemes").alias("lexeme"), F.size("lexemes").alias("query_size")
+        )
+    )
 
 
 def postings(chunks: DataFrame, analyzer: str = "simple") -> DataFrame:
@@ -58,16 +67,15 @@ def postings_for(chunks: DataFrame, lexemes: DataFrame, analyzer: str = "simple"
     if analyzer == "simple":
         forms = vocabulary.withColumn("word", F.col("lexeme"))
     else:
-        known = _lexemes(rows.select("word").distinct(), analyzer)
+        known = _lexemes(widen(rows.select("word").distinct()), analyzer)
         forms = known.join(bounded_broadcast(vocabulary), "lexeme", "left_semi")
-        forms = forms.persist()
     matched = rows.join(bounded_broadcast(forms), "word")
     return matched.groupBy("lexeme", *keys).agg(F.count("*").alias("tf"))
 
 
 def fts_scores(lexemes: DataFrame, index: DataFrame) -> DataFrame:
     """``(query_id, chunk_id, doc_id, score)`` for every chunk sharing a lexeme."""
-    matched = index.join(bounded_broadcast(lexemes), "lexeme")
+    matched = index.join(lexemes, "lexeme")
     weighted = matched.withColumn("weight", term_weight(F.col("tf")) / F.col("query_size"))
     return weighted.groupBy("query_id", "chunk_id", "doc_id").agg(
         F.round(F.sum("weight"), 12).alias("score")

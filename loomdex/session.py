@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast side must have at most this many rows; see bounded_broadcast.
-BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_ROWS = 100_000
 
 
 def build_session(app_name: str = "loomdex", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,12 +40,14 @@ def build_session(app_name: str = "loomdex", master: str | None = None, **conf:
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint for a side whose row count was checked, else a plain join side.
 
-    The check reads at most ``max_rows + 1`` rows. A larger side is returned
-    without a hint, so the join shuffles and AQE may split its skewed keys.
+    The check fetches at most ``max_rows + 1`` rows; a side within the bound is
+    broadcast from what was fetched, so it is computed once. A larger side is
+    returned as it is: the join then shuffles and AQE may split its skewed keys.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    fetched = df.limit(max_rows + 1).toArrow()
+    if fetched.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(fetched, df.schema))
 
 
 def broadcast_within(df: DataFrame, row_bound: int) -> DataFrame:
@@ -54,6 +56,12 @@ def broadcast_within(df: DataFrame, row_bound: int) -> DataFrame:
     return F.broadcast(df) if row_bound <= BROADCAST_MAX_ROWS else df
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread few but expensive rows over all shuffle partitions; a fixed count is
+    kept by AQE, which would otherwise merge them by their small size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the cluster's shared folder.
 
