@@ -50,8 +50,8 @@ def compare(frame, con, sql: str) -> tuple[bool, int, str]:
         return False, len(left), f"columns {left_columns} / {right_columns}"
     if left == right:
         return True, len(left), ""
-    only_left = [r for r in left if r not in set(right)][:3]
-    only_right = [r for r in right if r not in set(left)][:3]
+    only_left = sorted(set(left) - set(right), key=repr)[:3]
+    only_right = sorted(set(right) - set(left), key=repr)[:3]
     return False, len(left), f"{len(left)}/{len(right)} rows; spark {only_left}; sql {only_right}"
 
 
