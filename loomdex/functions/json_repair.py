@@ -7,6 +7,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Signs of a Python literal instead of JSON.
 LITERAL_SIGNS = ("='", "'=", "={'", "= '")
@@ -39,7 +40,7 @@ def repair_object(answer: str | None) -> dict | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repaired_json(answers: pd.Series) -> pd.Series:
     """Canonical JSON text of the object, NULL where there is none.
 

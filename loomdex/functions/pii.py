@@ -63,7 +63,7 @@ def card_valid(match: Column) -> Column:
     """Payment card: a card length, Luhn-valid, and not a product barcode."""
     digits = F.regexp_replace(match, "[^0-9]", "")
     return (
-        F.char_length(digits).isin(*CARD_LENGTHS) & ~ean13_valid(digits) & F.luhn_check(digits)
+        F.char_length(digits).isin(*CARD_LENGTHS) & ~ean13_valid(digits) & F.call_function("luhn_check", digits)
     )
 
 

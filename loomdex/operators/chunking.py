@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomdex.functions.text import BRANDS, articul, brand
 from loomdex.settings import DEFAULTS, Settings
@@ -51,21 +54,31 @@ def table_pieces(text: str, size: int) -> list[str]:
     return ["\n".join(p) for p in pieces]
 
 
-def pieces(kind: Column, content: Column, size: int, overlap: int) -> Column:
-    """ARRAY<STRING> of a block's chunks. Each window depends on the end of the
-    one before, so this is an Arrow-batched helper, linear in the text length."""
+def cut_blocks(blocks: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Blocks with ``pieces`` ARRAY<STRING> in place of kind and content.
+
+    Each window depends on the end of the one before, so this is a small helper
+    on Arrow batches, linear in the text length.
+    """
+    kept = ["doc_id", "page", "block_no", "section"]
+    source = blocks.select(*kept, "kind", "content")
+    schema = T.StructType(
+        [*[source.schema[c] for c in kept], T.StructField("pieces", T.ArrayType(T.StringType()))]
+    )
 
-    @F.pandas_udf("array<string>")
-    def split(kinds: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, contents = batch.column("kind").to_pylist(), batch.column("content").to_pylist()
+            cut_rows = [
                 table_pieces(c, size) if k == "table" else text_windows(c, size, overlap)
                 for k, c in zip(kinds, contents, strict=True)
-            ],
-            dtype=object,
-        )
+            ]
+            pieces = pa.array(cut_rows, type=pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in kept] + [pieces], names=[*kept, "pieces"]
+            )
 
-    return split(kind, content)
+    return source.mapInArrow(cut, schema)
 
 
 def chunk_id(doc_id: Column, ordinal: Column) -> Column:
@@ -95,10 +108,7 @@ def chunk_blocks(
     piece number plus the pieces of the blocks before, counted on block rows
     without their text; the upload limit bounds the blocks of one document.
     """
-    cut = blocks.withColumn(
-        "pieces",
-        pieces(F.col("kind"), F.col("content"), settings.chunk_size, settings.chunk_overlap),
-    ).drop("content")
+    cut = cut_blocks(blocks, settings.chunk_size, settings.chunk_overlap)
     order = Window.partitionBy("doc_id").orderBy("page", "block_no")
     before = F.sum(F.size("pieces")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     numbered = cut.withColumn("before", F.coalesce(before, F.lit(0)))
