@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from types import ModuleType
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,15 @@ def build_session(app_name: str = "loomdex", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def ship_with_tasks(*modules: ModuleType) -> None:
+    """Send the package's functions with the tasks that call them, so that the
+    workers need no installed copy; ``modules`` adds a caller's own."""
+    import loomdex
+
+    for module in (loomdex, *modules):
+        cloudpickle.register_pickle_by_value(module)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint for a side whose row count was checked, else a plain join side.
 
