@@ -23,7 +23,7 @@ def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str, analyzer: str = "simple") -> Corpus:
     """One chunk per document; documents without a vector row are pending."""
-    chunks = read_table(spark, sf_dir, "documents").select(
+    chunks = read_table(spark, sf_dir, "documents", spread_by="doc_id").select(
         F.col("doc_id").alias("chunk_id"),
         "doc_id",
         "text",

@@ -63,7 +63,7 @@ _PARAGRAPHS = (
 
 def _line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one page whose lines are paragraphs."""
-    pages = read_table(spark, sf_dir, "documents").select(
+    pages = read_table(spark, sf_dir, "documents", spread_by="doc_id").select(
         "doc_id",
         F.lit(1).alias("page"),
         F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"),
@@ -142,7 +142,7 @@ def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line templates that several documents of one source share."""
-    documents = read_table(spark, sf_dir, "documents").select(
+    documents = read_table(spark, sf_dir, "documents", spread_by="doc_id").select(
         F.col("source").alias("doc_id"),
         F.col("doc_id").alias("page"),
         F.lit("text").alias("kind"),
@@ -173,7 +173,7 @@ _SITE_SQL = (
 )
 def footer_stripping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a host without the markup lines that all its pages share."""
-    site = read_table(spark, sf_dir, "pages").select(
+    site = read_table(spark, sf_dir, "pages", spread_by="page_id").select(
         F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("doc_id"),
         F.col("page_id").alias("page"),
         F.lit("text").alias("kind"),
@@ -192,7 +192,7 @@ def footer_stripping(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, length(content) AS length, md5(content) AS content_md5 FROM c"
 )
 def cleaned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = read_table(spark, sf_dir, "documents").select(
+    cleaned = read_table(spark, sf_dir, "documents", spread_by="doc_id").select(
         "doc_id", tx.clean_text(F.col("text")).alias("content")
     )
     return cleaned.select(
@@ -204,7 +204,7 @@ def cleaned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every document, taken as one cleaned block."""
-    documents = read_table(spark, sf_dir, "documents").select(
+    documents = read_table(spark, sf_dir, "documents", spread_by="doc_id").select(
         "doc_id",
         F.lit(1).alias("page"),
         F.lit(0).alias("block_no"),
@@ -393,7 +393,7 @@ def reconcile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents GROUP BY text"""
 )
 def upload_deduplication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uploads = read_table(spark, sf_dir, "documents").select(
+    uploads = read_table(spark, sf_dir, "documents", spread_by="doc_id").select(
         F.col("doc_id").alias("seq"),
         F.col("source").alias("filename"),
         F.col("lang").alias("kind"),
@@ -492,7 +492,7 @@ def document_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM documents) SELECT doc_id, md5(evidence) AS evidence_md5, md5(value) AS value_md5 FROM k"
 )
 def comparison_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select(
+    return read_table(spark, sf_dir, "documents", spread_by="doc_id").select(
         "doc_id",
         F.md5(tx.evidence_key(F.col("text"))).alias("evidence_md5"),
         F.md5(tx.normalize_value(F.col("text"))).alias("value_md5"),

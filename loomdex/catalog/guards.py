@@ -82,7 +82,7 @@ def mask_sql(source: str) -> str:
     + " SELECT doc_id, md5(text) AS text_md5, n_email, n_phone, n_inn, n_card FROM masked"
 )
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = read_table(spark, sf_dir, "documents").select(
+    masked = read_table(spark, sf_dir, "documents", spread_by="doc_id").select(
         "doc_id", mask_pii(F.col("text")).alias("m")
     )
     return masked.select(
@@ -98,7 +98,7 @@ def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT page_id, md5(text) AS text_md5, n_email, n_phone, n_inn, n_card FROM masked"
 )
 def masked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = read_table(spark, sf_dir, "pages").select("page_id", mask_pii(F.col("html")).alias("m"))
+    masked = read_table(spark, sf_dir, "pages", spread_by="page_id").select("page_id", mask_pii(F.col("html")).alias("m"))
     return masked.select(
         "page_id",
         F.md5("m.text").alias("text_md5"),
@@ -114,7 +114,7 @@ def masked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pii_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate counts on the raw text, before any checksum."""
-    return read_table(spark, sf_dir, "documents").select(
+    return read_table(spark, sf_dir, "documents", spread_by="doc_id").select(
         "doc_id",
         *[
             F.regexp_count("text", F.lit(pattern)).cast("long").alias(f"n_{kind}")

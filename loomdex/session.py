@@ -88,5 +88,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(base_dir, f"{name}.parquet"))
+def read_table(spark: SparkSession, base_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """One parquet table. ``spread_by`` names a unique key for tables whose rows
+    are expensive to process: a scan of fewer splits than there are cores (one
+    small file) is hashed over all cores; a scan of many splits is left alone."""
+    table = spark.read.parquet(os.path.join(base_dir, f"{name}.parquet"))
+    if spread_by is not None:
+        cores = spark.sparkContext.defaultParallelism
+        if table.rdd.getNumPartitions() < cores:
+            return table.repartition(cores, spread_by)
+    return table
