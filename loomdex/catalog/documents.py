@@ -209,10 +209,11 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).alias("page"),
         F.lit(0).alias("block_no"),
         F.lit("text").alias("kind"),
-        tx.clean_text(F.col("text")).alias("content"),
+        F.col("text").alias("content"),
         F.col("source").alias("section"),
     )
-    return chunking.chunk_blocks(documents.filter("content <> ''"))
+    kept = documents.filter(~tx.cleans_to_nothing(F.col("content")))
+    return chunking.chunk_blocks(kept.withColumn("content", tx.clean_text(F.col("content"))))
 
 
 CHUNK_CTES = (

@@ -56,6 +56,11 @@ def clean_text(text: Column) -> Column:
     return strip(text)
 
 
+def cleans_to_nothing(text: Column) -> Column:
+    """Whether ``clean_text`` would leave an empty text."""
+    return ~text.rlike(r"[^\s\x0B\x1C-\x1F\x85\p{Z}\u00AD]")
+
+
 def line_template(line: Column) -> Column:
     """A line with its numbers masked, so that page numbers compare equal."""
     return F.regexp_replace(strip(line), r"\p{Nd}+", "#")

@@ -10,7 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.functions.binding import let
-from loomdex.functions.text import clean_text, heading, line_template, paragraphs, strip
+from loomdex.functions.text import (
+    clean_text,
+    cleans_to_nothing,
+    heading,
+    line_template,
+    paragraphs,
+    strip,
+)
 
 # Header words that mark a two-column parameter table.
 PARAMETER_HEADERS = ("параметр", "характеристика")
@@ -116,5 +123,6 @@ def strip_footers(blocks: DataFrame) -> DataFrame:
 
 def normalize_blocks(blocks: DataFrame) -> DataFrame:
     """Footers out, text cleaned, empty blocks dropped."""
-    cleaned = strip_footers(blocks).withColumn("content", clean_text(F.col("content")))
-    return cleaned.filter(F.col("content") != "")
+    # Asked of the raw text, so that cleaning runs once and only on kept blocks.
+    kept = strip_footers(blocks).filter(~cleans_to_nothing(F.col("content")))
+    return kept.withColumn("content", clean_text(F.col("content")))

@@ -45,7 +45,7 @@ def with_defaults(card: Column) -> Column:
 
 def contract_violations(card: Column, settings: Settings = DEFAULTS) -> Column:
     """ARRAY<STRING> of broken rules of a card after ``with_defaults``."""
-    both = F.array_sort(
+    both = F.sort_array(
         F.array_intersect(card["missing_fields"], F.map_keys(card["characteristics"]))
     )
     rules = [
@@ -77,7 +77,7 @@ def contract_violations(card: Column, settings: Settings = DEFAULTS) -> Column:
 
 
 def cited_ids(card: Column) -> Column:
-    return F.array_sort(F.array_distinct(card["sources"]["chunk_id"]))
+    return F.sort_array(F.array_distinct(card["sources"]["chunk_id"]))
 
 
 def source_errors(card: Column, allowed: Column, known: Column) -> Column:
