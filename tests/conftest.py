@@ -16,7 +16,9 @@ def spark():
     import stubs
     from loomdex.session import ship_with_tasks
 
-    ship_with_tasks(stubs)
+    import test_ingest
+
+    ship_with_tasks(stubs, test_ingest)
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.ui.enabled", "false")
