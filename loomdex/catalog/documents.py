@@ -85,52 +85,78 @@ def paragraph_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of every order as a table with a header row."""
+@query(
+    "SELECT l_orderkey AS doc_id, l_linenumber, 'Part=' || l_partkey || '; Quantity=' || l_quantity::BIGINT || "
+    "CASE WHEN l_returnflag = 'N' THEN '' ELSE '; Returned=' || l_returnflag END AS content FROM lineitem"
+)
+def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line as a table of a header and one row; an empty cell is left out."""
+    header = F.array(F.lit("Part"), F.lit("Quantity"), F.lit("Returned"))
     cells = F.array(
         F.col("l_partkey").cast("string"),
         F.col("l_quantity").cast("long").cast("string"),
         F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")),
     )
-    rows = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.sort_array(
-            F.collect_list(F.struct("l_linenumber", cells.alias("cells")))
-        ).alias("rows")
+    return read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"),
+        "l_linenumber",
+        bl.table_text(F.array(header, cells)).alias("content"),
     )
-    header = F.array(F.array(F.lit("Part"), F.lit("Quantity"), F.lit("Returned")))
-    return rows.select(
-        F.col("l_orderkey").alias("doc_id"), F.concat(header, F.col("rows.cells")).alias("rows")
+
+
+def _parameter_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a two-column parameter table."""
+    names = ("p_name", "p_brand", "p_type", "p_size", "p_partkey")
+    rows = [F.array(F.lit(n[2:].title()), F.col(n).cast("string")) for n in names]
+    header = F.array(F.lit("Параметр"), F.lit("Значение"))
+    return read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("doc_id"), bl.table_text(F.array(header, *rows)).alias("content")
     )
 
 
-_TABLE_SQL = (
-    "lines AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, 'Part=' || l_partkey || '; Quantity=' || l_quantity::BIGINT || "
-    "CASE WHEN l_returnflag = 'N' THEN '' ELSE '; Returned=' || l_returnflag END AS line FROM lineitem), "
-    "tables AS (SELECT l_orderkey AS doc_id, string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey::VARCHAR, l_quantity::BIGINT::VARCHAR, l_returnflag) AS content "
-    "FROM lines GROUP BY l_orderkey)"
+_PARAMETERS_SQL = (
+    "'Name: ' || p_name || chr(10) || 'Brand: ' || p_brand || chr(10) || 'Type: ' || p_type || chr(10) || "
+    "'Size: ' || p_size || chr(10) || 'Partkey: ' || p_partkey"
 )
 
 
-@query(f"WITH {_TABLE_SQL} SELECT doc_id, content FROM tables")
-def table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _order_tables(spark, sf_dir).select(
-        "doc_id", bl.table_text(F.col("rows")).alias("content")
-    )
+@query(f"SELECT p_partkey AS doc_id, {_PARAMETERS_SQL} AS content FROM part")
+def parameter_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parameter_tables(spark, sf_dir)
 
 
-@query()
+# Lines are packed one by one: a line opens a new piece when it does not fit. The
+# first line comes back, marked, from the third piece on.
+_PACK_LINES_SQL = f"""
+RECURSIVE tables AS (SELECT p_partkey AS doc_id, string_split({_PARAMETERS_SQL}, chr(10)) AS ls FROM part),
+packing AS (
+  SELECT doc_id, ls, 1 AS line_no, 0 AS piece, length(ls[1]) AS used, ls[1] AS current, false AS opened FROM tables
+  UNION ALL
+  SELECT doc_id, ls, line_no + 1,
+    CASE WHEN used + length(ls[line_no + 1]) > 40 THEN piece + 1 ELSE piece END,
+    CASE WHEN used + length(ls[line_no + 1]) <= 40 THEN used + length(ls[line_no + 1])
+         WHEN piece > 0 THEN length(ls[1]) + length(ls[line_no + 1]) ELSE length(ls[line_no + 1]) END,
+    CASE WHEN used + length(ls[line_no + 1]) <= 40 THEN current || chr(10) || ls[line_no + 1]
+         WHEN piece > 0 THEN '[шапка] ' || ls[1] || chr(10) || ls[line_no + 1] ELSE ls[line_no + 1] END,
+    false
+  FROM packing WHERE line_no < len(ls))"""
+
+
+@query(
+    f"WITH {_PACK_LINES_SQL} SELECT doc_id, piece::BIGINT AS ordinal, arg_max(current, line_no) AS content "
+    "FROM packing GROUP BY doc_id, piece"
+)
 def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy line packing has no plain SQL form; checked on fixtures."""
-    tables = _order_tables(spark, sf_dir).select(
+    tables = _parameter_tables(spark, sf_dir).select(
         "doc_id",
         F.lit(1).alias("page"),
         F.lit(0).alias("block_no"),
         F.lit("table").alias("kind"),
-        bl.table_text(F.col("rows")).alias("content"),
+        "content",
         F.lit("").alias("section"),
     )
-    return chunking.chunk_blocks(tables, replace(DEFAULTS, chunk_size=80)).select(
-        "chunk_id", "doc_id", "ordinal", "text"
+    return chunking.chunk_blocks(tables, replace(DEFAULTS, chunk_size=40)).select(
+        "doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("text").alias("content")
     )
 
 

@@ -179,20 +179,21 @@ def guarded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     + mask_sql("src")
     + f""", screened AS (SELECT *, {REASON_SQL} AS reason FROM masked)
     SELECT job_id, sum(n_email + n_phone + n_inn + n_card)::BIGINT AS masked_pii,
-      coalesce(string_agg(chunk_id, ',' ORDER BY rank) FILTER (WHERE reason IS NOT NULL), '') AS suspicious,
-      coalesce(string_agg(chunk_id || ': ' || reason, ',' ORDER BY rank) FILTER (WHERE reason IS NOT NULL), '') AS reasons,
-      count(*) FILTER (WHERE reason IS NOT NULL) > 2 AS needs_review
-    FROM screened GROUP BY job_id"""
+      count(reason) AS suspicious, count(reason) > 2 AS needs_review FROM screened GROUP BY job_id"""
 )
 def guard_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = guard.guard_report(guard.guard_context(transcript_chunks(spark, sf_dir)))
-    return report.select(
-        "job_id",
-        F.col("masked_pii").cast("long").alias("masked_pii"),
-        F.array_join("suspicious_chunks", ",").alias("suspicious"),
-        F.array_join("blocked_reasons", ",").alias("reasons"),
-        "needs_review",
-    )
+    return report.withColumn("masked_pii", F.col("masked_pii").cast("long"))
+
+
+@query(
+    f"WITH {_TURNS_SQL},"
+    + mask_sql("src")
+    + f""", screened AS (SELECT *, {REASON_SQL} AS reason FROM masked)
+    SELECT job_id, rank, chunk_id, chunk_id || ': ' || reason AS reason FROM screened WHERE reason IS NOT NULL"""
+)
+def blocked_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guard.blocked_chunks(guard.guard_context(transcript_chunks(spark, sf_dir)))
 
 
 @query(

@@ -262,7 +262,10 @@ _FOREIGN = with_ctes(
 @query(_FOREIGN + " SELECT query_id, rank, round(cosine, 6) AS score FROM first_foreign")
 def first_foreign_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = sweep.first_foreign(
-        _vector_legs(spark, sf_dir), query_families(spark, sf_dir), chunk_families(spark, sf_dir)
+        _vector_legs(spark, sf_dir),
+        query_families(spark, sf_dir),
+        chunk_families(spark, sf_dir),
+        2 * TOP_K,
     )
     return first.select(
         "query_id", F.col("rank").cast("long").alias("rank"), F.round("cosine", 6).alias("score")
@@ -278,7 +281,10 @@ def first_foreign_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def first_foreign_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = sweep.first_foreign(
-        _vector_legs(spark, sf_dir), query_families(spark, sf_dir), chunk_families(spark, sf_dir)
+        _vector_legs(spark, sf_dir),
+        query_families(spark, sf_dir),
+        chunk_families(spark, sf_dir),
+        2 * TOP_K,
     )
     summary = sweep.foreign_summary(first)
     return summary.select(

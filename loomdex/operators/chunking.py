@@ -40,6 +40,8 @@ def table_pieces(text: str, size: int) -> list[str]:
     A piece that would follow one not starting with the first line's key is
     opened with a marked copy of the first line.
     """
+    if not text:
+        return []
     lines = text.split("\n")
     key = lines[0].split(":")[0]
     pieces: list[list[str]] = [[]]

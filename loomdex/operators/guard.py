@@ -51,25 +51,19 @@ def confirm_suspicious(screened: DataFrame, detector: Detector | None = None) ->
 
 
 def guard_report(confirmed: DataFrame, limit: int = DEFAULTS.suspicious_chunk_limit) -> DataFrame:
-    """``(job_id, masked_pii, suspicious_chunks, blocked_reasons, needs_review)``.
-
-    Only blocked chunks are listed, in rank order; counts combine map-side.
-    """
-    blocked = F.when(
-        F.col("blocked"),
-        F.struct("rank", F.col("chunk_id").cast("string").alias("chunk_id"), "reason"),
-    )
+    """``(job_id, masked_pii, suspicious, needs_review)``; sums that combine
+    map-side, so a job with very many chunks is no heavier than another."""
     grouped = confirmed.groupBy("job_id").agg(
-        F.sum("masked_pii").alias("masked_pii"), F.sort_array(F.collect_list(blocked)).alias("hits")
-    )
-    reasons = F.transform("hits", lambda h: F.concat(h["chunk_id"], F.lit(": "), h["reason"]))
-    return grouped.select(
-        "job_id",
-        "masked_pii",
-        F.col("hits.chunk_id").alias("suspicious_chunks"),
-        reasons.alias("blocked_reasons"),
-        (F.size("hits") > limit).alias("needs_review"),
+        F.sum("masked_pii").alias("masked_pii"), F.count_if("blocked").alias("suspicious")
     )
+    return grouped.withColumn("needs_review", F.col("suspicious") > limit)
+
+
+def blocked_chunks(confirmed: DataFrame) -> DataFrame:
+    """``(job_id, rank, chunk_id, reason)`` of every blocked chunk, one row each:
+    their number per job has no bound, so they are not gathered into lists."""
+    reason = F.concat(F.col("chunk_id").cast("string"), F.lit(": "), "reason")
+    return confirmed.filter("blocked").select("job_id", "rank", "chunk_id", reason.alias("reason"))
 
 
 def guard_context(chunks: DataFrame, detector: Detector | None = None) -> DataFrame:

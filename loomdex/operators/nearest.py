@@ -17,6 +17,8 @@ from loomdex.operators.query_batch import QueryBlock
 # Cosines are compared at this many decimals, so that equal vectors tie exactly
 # and the chunk id breaks the tie.
 COSINE_DECIMALS = 12
+# Scores computed at once in a task: bounds its memory for any block and batch.
+SCORE_CELLS = 4_000_000
 
 
 def cosine_to(embedding: Column, query_vector: list[float]) -> Column:
@@ -70,6 +72,12 @@ def vector_leg(block: QueryBlock, vectors: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _local_top_k(ids: list, matrix: np.ndarray, k: int, id_types):
     query_arrow, chunk_arrow = (to_arrow_type(t) for t in id_types)
     transposed = np.ascontiguousarray(matrix.T)
@@ -81,9 +89,7 @@ def _local_top_k(ids: list, matrix: np.ndarray, k: int, id_types):
         best_query = np.empty(0, dtype=np.int64)
         best_score = np.empty(0, dtype=np.float64)
         best_chunk = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in _slices(batches, max(k, SCORE_CELLS // count)):
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
             scores = np.round(
                 flat.astype(np.float64).reshape(batch.num_rows, width) @ transposed,

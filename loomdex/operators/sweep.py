@@ -69,11 +69,16 @@ def purity(
     )
 
 
-def first_foreign(legs: DataFrame, queries: DataFrame, families: DataFrame) -> DataFrame:
-    """``(query_id, rank, cosine)`` of the best ranked chunk of another family."""
+def first_foreign(
+    legs: DataFrame, queries: DataFrame, families: DataFrame, depth: int
+) -> DataFrame:
+    """``(query_id, rank, cosine)`` of the best ranked chunk of another family;
+    ``depth`` is the length of the vector leg."""
     ranked = legs.filter(F.col("vec_rank").isNotNull())
+    ranked = broadcast_within(ranked, queries.count() * depth)
     foreign = (
-        ranked.join(families.withColumnRenamed("family", "chunk_family"), "chunk_id")
+        families.withColumnRenamed("family", "chunk_family")
+        .join(ranked, "chunk_id")
         .join(queries.select("query_id", "family"), "query_id")
         .filter(F.col("chunk_family") != F.col("family"))
     )

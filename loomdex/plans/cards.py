@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomdex.functions.json_repair import repaired_json
 from loomdex.operators import contract
 from loomdex.operators.context import build_context
-from loomdex.operators.guard import guard_context, guard_output, guard_report
+from loomdex.operators.guard import blocked_chunks, guard_context, guard_output, guard_report
 from loomdex.plans import models
 from loomdex.plans.embedding import QUERY_PREFIX, Embedder, embed_texts
 from loomdex.plans.models import Agent, ModelClient
@@ -44,12 +44,15 @@ class CardRun:
     ``results``: job_id, status, card, coverage, attempts, error, issues ...
     ``events``:  job_id, seq, status - every status a job went through, in order
     ``calls``, ``traces``: accounting rows of all stages
+    ``blocked``: job_id, rank, chunk_id, reason of chunks kept from the models;
+    ``state.mark_suspicious`` raises their stored flag
     """
 
     results: DataFrame
     events: DataFrame
     calls: DataFrame | None
     traces: DataFrame | None
+    blocked: DataFrame | None = None
 
 
 @dataclass
@@ -273,7 +276,7 @@ class CardFlow:
     def retrieve(
         self, jobs: DataFrame, corpus: Corpus, make_embedder: Callable[[], Embedder] | None
     ) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(contexts, guard reports, blocked chunk ids) of ``jobs``.
+        """(contexts, guard reports, blocked chunks) of ``jobs``.
 
         A job that names documents gets all their chunks; any other job gets the
         hybrid top-k of its hint, and only then scores.
@@ -329,8 +332,8 @@ class CardFlow:
             F.coalesce("allowed_ids", F.expr(EMPTY_LIST)).alias("allowed_ids"),
             F.coalesce("scores", F.expr("CAST(MAP() AS MAP<STRING, DOUBLE>)")).alias("scores"),
         )
-        blocked = guarded.filter(F.col("blocked")).select("chunk_id").distinct()
-        return durable(contexts), durable(guard_report(guarded, self.settings.suspicious_chunk_limit)), blocked
+        report = guard_report(guarded, self.settings.suspicious_chunk_limit)
+        return durable(contexts), durable(report), blocked_chunks(guarded)
 
     def rag_cards(
         self,
@@ -341,7 +344,7 @@ class CardFlow:
     ) -> CardRun:
         """Cards from documents. ``jobs``: job_id, document_ids, product_hint."""
         self._publish(jobs, "retrieving")
-        contexts, reports, _ = self.retrieve(jobs, corpus, make_embedder)
+        contexts, reports, blocked = self.retrieve(jobs, corpus, make_embedder)
         material = contexts.withColumn("material", F.concat(F.lit(CONTEXT_RULES), "context"))
         rounds = self._rounds(material, "material", models.CARD_GENERATOR, corpus.chunks)
         guarded = rounds.withColumn("g", guard_output(F.to_json("draft")))
@@ -349,9 +352,7 @@ class CardFlow:
         cards = guarded.withColumn("card", contract.with_defaults(cleaned))
         cards = cards.withColumn("card", F.when(F.col("draft").isNotNull(), F.col("card")))
         cited = contract.cited_chunks(cards, corpus.chunks).join(
-            reports.select("job_id", "masked_pii", "suspicious_chunks", "blocked_reasons", "needs_review"),
-            "job_id",
-            "left",
+            reports, "job_id", "left"
         )
         coverage = F.when(F.col("card").isNotNull(), contract.source_coverage(F.col("card"), F.col("cited")))
         review = F.coalesce("needs_review", F.lit(False))
@@ -373,11 +374,12 @@ class CardFlow:
                 F.substring("error", 1, self.settings.error_char_limit).alias("error"),
                 F.coalesce("g.issues", F.expr(EMPTY_LIST)).alias("issues"),
                 F.coalesce("masked_pii", F.lit(0)).alias("masked_pii"),
-                "suspicious_chunks",
-                "blocked_reasons",
+                F.coalesce("suspicious", F.lit(0)).alias("suspicious"),
             )
         )
-        return self._finish(results, decisions)
+        run = self._finish(results, decisions)
+        run.blocked = blocked
+        return run
 
     def text_cards(self, jobs: DataFrame, decisions: DataFrame | None = None) -> CardRun:
         """Cards from a supplier text. ``jobs``: job_id, supplier_text.

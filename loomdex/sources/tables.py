@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def save_bucketed(df: DataFrame, name: str, buckets: int, key: str = "doc_id", mode: str = "overwrite") -> None:
-    """Managed parquet table bucketed and sorted by ``key``: chunks, vectors,
+def save_bucketed(
+    df: DataFrame, name: str, buckets: int, key: str = "doc_id", path: str | None = None
+) -> DataFrame:
+    """Parquet table bucketed and sorted by ``key``, read back: chunks, vectors,
     postings and documents stored alike join on it without a shuffle."""
-    df.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def save_postings(index: DataFrame, path: str, files: int) -> None:
@@ -22,7 +28,9 @@ def save_postings(index: DataFrame, path: str, files: int) -> None:
 def replace_documents(df: DataFrame, path: str, slices: int, key: str = "doc_id") -> None:
     """Idempotent re-ingest: rewrite exactly the slices that ``df`` touches.
 
-    ``df`` must hold all rows of those slices (see ``touched_slices``).
+    ``df`` must hold all rows of those slices (see ``merge_slices``). Choose the
+    number of slices so that none is left without a document: a slice that
+    becomes empty is not in ``df`` and so not rewritten.
     """
     sliced = df.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(slices)))
     (

@@ -59,7 +59,8 @@ def test_rag_cards_reach_every_terminal_state(spark):
     assert rows["job_ok"]["card"]["sources"][0]["doc_id"] == "ok"
     assert rows["job_ok"]["card"]["sources"][0]["score"] is None
     assert rows["job_search"]["card"]["sources"][0]["score"] is not None
-    assert rows["job_bad"]["suspicious_chunks"] == ["badc1"]
+    assert rows["job_bad"]["suspicious"] == 1
+    assert [(r["job_id"], r["chunk_id"]) for r in run.blocked.collect()] == [("job_bad", "badc1")]
     assert rows["job_bad"]["masked_pii"] == 1
     assert rows["job_down"]["error"].startswith("generate: ModelError")
     assert rows["job_mumble"]["error"] == "critique: unreadable verdict"

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions.injection import injection_reason
 from loomdex.functions.pii import CARD, EMAIL, INN, PHONE, mask_pii, pii_count
-from loomdex.operators.guard import guard_context, guard_output, guard_report
+from loomdex.operators.guard import blocked_chunks, guard_context, guard_output, guard_report
 
 
 def masked(spark, texts):
@@ -109,8 +109,10 @@ def test_guard_context_fails_closed(spark):
     assert set(safe) == {"c1", "c3", "c4"} and "[PHONE_1]" in safe["c1"] and "[EMAIL_1]" in safe["c1"]
     report = guard_report(guarded).collect()[0]
     assert report["masked_pii"] == 2
-    assert report["suspicious_chunks"] == ["c2", "c5"]
-    assert report["blocked_reasons"] == ["c2: price order", "c5: regex: 'system:'"]
+    assert report["suspicious"] == 2
+    blocked = blocked_chunks(guarded).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in blocked] == ["c2", "c5"]
+    assert [r["reason"] for r in blocked] == ["c2: price order", "c5: regex: 'system:'"]
     assert report["needs_review"] is False
     assert guard_report(guarded, limit=1).collect()[0]["needs_review"] is True
 

@@ -206,7 +206,7 @@ def test_sweep_matches_a_per_query_simulation(spark):
     pure = {r["threshold"]: r for r in sweep.purity(
         sweep.hybrid_by_threshold(frame, 3, grid), queries, families, 3, grid).collect()}
     assert pure[0.0]["in_family"] == pytest.approx(sum(c in "abd" for c in got[0.0]) / 2)
-    first = sweep.first_foreign(frame, queries, families).collect()
+    first = sweep.first_foreign(frame, queries, families, 4).collect()
     assert [(r["rank"], r["cosine"]) for r in first] == [(3, 0.3)]
     flat = spark.createDataFrame([(t, 4.0 if t < 0.3 else 3.5) for t in sweep.THRESHOLDS], "threshold DOUBLE, in_family DOUBLE")
     assert tuple(sweep.recommend(flat).collect()[0]) == (0.0, 0.25, 0.25)

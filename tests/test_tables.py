@@ -151,3 +151,28 @@ def test_reingest_rewrites_only_touched_slices(spark, tmp_path):
     replace_documents(merged, path, 4)
     rows = sorted((r["doc_id"], r["v"]) for r in spark.read.parquet(path).collect())
     assert rows == sorted([(f"d{i}", 0) for i in range(20) if i != 3] + [("d3", 1), ("d3", 2)])
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    from loomdex.plans.retrieval import Corpus
+    from loomdex.sources.tables import save_bucketed, save_postings
+
+    vectors = spark.createDataFrame([(f"c{i}", f"d{i % 7}", [1.0, float(i)]) for i in range(40)],
+                                    "chunk_id STRING, doc_id STRING, embedding ARRAY<FLOAT>")
+    documents = spark.createDataFrame([(f"d{i}", "f", "indexed") for i in range(7)],
+                                      "doc_id STRING, filename STRING, status STRING")
+    stored_vectors = save_bucketed(vectors, "t_vectors", 4, path=str(tmp_path / "v"))
+    stored_documents = save_bucketed(documents, "t_documents", 4, path=str(tmp_path / "d"))
+    corpus = Corpus(stored_vectors, stored_vectors, stored_documents)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pool = stored_vectors.join(corpus.searchable_docs(), "doc_id", "left_semi")
+        plan = pool._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and pool.count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE t_vectors")
+        spark.sql("DROP TABLE t_documents")
+    index = spark.createDataFrame([("a", f"c{i}", "d", 1) for i in range(50)], "lexeme STRING, chunk_id STRING, doc_id STRING, tf INT")
+    save_postings(index, str(tmp_path / "p"), 3)
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 50
