@@ -46,6 +46,7 @@ class CardRun:
     ``calls``, ``traces``: accounting rows of all stages
     ``blocked``: job_id, rank, chunk_id, reason of chunks kept from the models;
     ``state.mark_suspicious`` raises their stored flag
+    ``contexts``: job_id, context and allowed chunk ids the models were given
     """
 
     results: DataFrame
@@ -53,6 +54,7 @@ class CardRun:
     calls: DataFrame | None
     traces: DataFrame | None
     blocked: DataFrame | None = None
+    contexts: DataFrame | None = None
 
 
 @dataclass
@@ -378,7 +380,7 @@ class CardFlow:
             )
         )
         run = self._finish(results, decisions)
-        run.blocked = blocked
+        run.blocked, run.contexts = blocked, contexts
         return run
 
     def text_cards(self, jobs: DataFrame, decisions: DataFrame | None = None) -> CardRun:
@@ -424,6 +426,22 @@ class CardFlow:
         )
         return self._finish(results, decisions)
 
+    def fix_field(self, cards: DataFrame) -> DataFrame:
+        """``(job_id, card)`` with one field written anew; ``cards`` has job_id, card,
+        field and error. An unusable answer gives a NULL card."""
+        prompts = cards.select(
+            "job_id",
+            F.concat(
+                F.lit("Field "), "field", F.lit(" is invalid: "), "error", F.lit("\n\nCARD:\n"), F.to_json("card")
+            ).alias("prompt"),
+        )
+        answers = self._ask(prompts, models.FIXER)
+        fixed = contract.with_defaults(F.from_json(repaired_json(F.col("answer")), CARD))
+        valid = F.size(contract.contract_violations(F.col("card"))) == 0
+        return answers.select("job_id", fixed.alias("card")).select(
+            "job_id", F.when(valid, F.col("card")).alias("card")
+        )
+
     def judge(self, contexts: DataFrame, cards: DataFrame) -> DataFrame:
         """``(job_id, faithfulness)``; NULL where the judge failed."""
         prompts = contexts.select("job_id", "context").join(cards.select("job_id", "card"), "job_id")

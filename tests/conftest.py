@@ -16,9 +16,10 @@ def spark():
     import stubs
     from loomdex.session import ship_with_tasks
 
+    import test_evaluate
     import test_ingest
 
-    ship_with_tasks(stubs, test_ingest)
+    ship_with_tasks(stubs, test_ingest, test_evaluate)
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.ui.enabled", "false")
