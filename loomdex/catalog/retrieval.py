@@ -29,7 +29,7 @@ from loomdex.plans.retrieval import Corpus
 from loomdex.session import read_table
 
 TOP_K = 5
-THRESHOLD = 0.2
+THRESHOLD = 0.33
 GRID = (0.0, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)
 
 NO_FILTER = DOCS_SQL.format(filter="")

@@ -26,7 +26,8 @@ def test_query(spark, con, name):
     else:
         ok, rows, detail = compare(frame, con, sql)
         assert ok, detail
-        assert rows > 0
+        # At this scale every document has a vector.
+        assert rows > 0 or name == "pending_embeddings"
 
 
 def test_entry_and_names(spark):
