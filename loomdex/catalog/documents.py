@@ -17,6 +17,7 @@ from loomdex.operators.ordinals import group_ordinals
 from loomdex.plans.retrieval import Corpus, chunks_by_ids, chunks_of_documents
 from loomdex.session import read_table
 from loomdex.settings import DEFAULTS
+from loomdex.sources.files import classify_uploads
 
 # SQL spelling of the shared text expressions.
 SPACE_SQL = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]"
@@ -431,6 +432,31 @@ def upload_deduplication(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH files AS (SELECT doc_id, source || '_' || doc_id || '.' || CASE lang WHEN 'en' THEN 'pdf' WHEN 'fr' THEN 'DOCX'
+        WHEN 'de' THEN 'xlsx' ELSE 'txt' END AS filename, lang, n_chars FROM documents)
+    SELECT filename, CASE lang WHEN 'en' THEN 'pdf' WHEN 'fr' THEN 'docx' WHEN 'de' THEN 'xlsx' END AS kind,
+      CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 415 WHEN n_chars > 4000 THEN 413 WHEN n_chars = 0 THEN 400 END AS rejected
+    FROM files"""
+)
+def upload_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acceptance of every document as a file named by source and language."""
+    extension = (
+        F.when(F.col("lang") == "en", "pdf")
+        .when(F.col("lang") == "fr", "DOCX")
+        .when(F.col("lang") == "de", "xlsx")
+        .otherwise("txt")
+    )
+    files = read_table(spark, sf_dir, "documents").select(
+        F.concat(
+            F.lit("/in/"), "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit("."), extension
+        ).alias("path"),
+        F.col("n_chars").alias("length"),
+    )
+    checked = classify_uploads(files, replace(DEFAULTS, upload_max_bytes=4000))
+    return checked.select("filename", "kind", F.col("rejected").cast("long").alias("rejected"))
+
+
 _REQUEST_GROUP = (
     "CASE WHEN event_type = 'view' THEN 'request:' || event_id ELSE 'key:' || user_id || '-' || event_type END"
 )

@@ -106,9 +106,9 @@ def chunk_blocks(
 ) -> DataFrame:
     """``chunk_id, doc_id, ordinal, text, metadata`` of normalised blocks.
 
-    The ordinal runs over all chunks of a document in block order. It is the
-    piece number plus the pieces of the blocks before, counted on block rows
-    without their text; the upload limit bounds the blocks of one document.
+    The ordinal runs over all chunks of a document in block order: the piece
+    number plus the pieces of the blocks before. This is the only shuffle, by
+    document; the upload limit bounds what one document can hold.
     """
     cut = cut_blocks(blocks, settings.chunk_size, settings.chunk_overlap)
     order = Window.partitionBy("doc_id").orderBy("page", "block_no")

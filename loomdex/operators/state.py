@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.session import bounded_broadcast
+
 
 def new_id(*parts: Column) -> Column:
     """Twelve hex characters that depend only on the parts."""
@@ -121,7 +123,9 @@ def reconcile_indexed(documents: DataFrame, pending: DataFrame) -> DataFrame:
 
 def mark_suspicious(chunks: DataFrame, flagged: DataFrame) -> DataFrame:
     """Chunks with ``suspicious`` raised for the flagged ids; a raised flag stays."""
-    flags = flagged.select("chunk_id").distinct().withColumn("_flag", F.lit(True))
+    flags = bounded_broadcast(
+        flagged.select("chunk_id").distinct().withColumn("_flag", F.lit(True))
+    )
     raised = F.coalesce("suspicious", F.lit(False)) | F.col("_flag").isNotNull()
     return chunks.join(flags, "chunk_id", "left").withColumn("suspicious", raised).drop("_flag")
 

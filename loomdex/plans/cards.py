@@ -22,7 +22,7 @@ from loomdex.plans.embedding import QUERY_PREFIX, Embedder, embed_texts
 from loomdex.plans.models import Agent, ModelClient
 from loomdex.plans.retrieval import Corpus, search
 from loomdex.schemas import CARD, CRITIQUE, EMPTY_LIST, FACTS, INJECTION_VERDICT
-from loomdex.session import durable
+from loomdex.session import bounded_broadcast, durable
 from loomdex.settings import DEFAULTS, Settings
 
 DEFAULT_QUERY = "карточка товара характеристики"
@@ -135,6 +135,7 @@ class CardFlow:
                 .when(F.col("parsed").isNull(), "no JSON object in the answer")
                 .when(broken != "", broken),
             )
+            checked = durable(checked)
             if chunks is not None:
                 cited = contract.cited_chunks(checked, chunks)
                 checked = cited.withColumn(
@@ -148,7 +149,7 @@ class CardFlow:
                 ).withColumn(
                     "card", contract.enrich_sources(F.col("card"), F.col("cited"), F.col("scores"))
                 )
-            checked = durable(checked)
+                checked = durable(checked)
             done = F.col("problem").isNull()
             finished.append(
                 checked.filter(done).select(
@@ -288,9 +289,9 @@ class CardFlow:
         named = jobs.filter(F.size("document_ids") > 0).select(
             "job_id", F.explode(F.array_distinct("document_ids")).alias("doc_id")
         )
+        wanted = corpus.documents.select("doc_id", "filename").join(bounded_broadcast(named), "doc_id")
         listed = (
-            corpus.chunks.join(named, "doc_id")
-            .join(corpus.documents.select("doc_id", "filename"), "doc_id")
+            corpus.chunks.join(bounded_broadcast(wanted), "doc_id")
             .withColumn("rank", F.struct("doc_id", "ordinal").cast(rank_type))
             .withColumn("score", F.lit(None).cast("double"))
             .select(*columns)
@@ -347,6 +348,19 @@ class CardFlow:
         """Cards from documents. ``jobs``: job_id, document_ids, product_hint."""
         self._publish(jobs, "retrieving")
         contexts, reports, blocked = self.retrieve(jobs, corpus, make_embedder)
+        self._clock += 1
+        self._traces.append(
+            contexts.select(
+                "job_id",
+                F.lit(self._clock).alias("position"),
+                F.lit("rag_context").alias("step"),
+                F.lit("retrieval").alias("agent"),
+                F.lit(None).cast("string").alias("model"),
+                F.lit(None).cast("string").alias("prompt_text"),
+                F.col("context").alias("raw_completion"),
+                F.lit(None).cast("string").alias("usage_json"),
+            )
+        )
         material = contexts.withColumn("material", F.concat(F.lit(CONTEXT_RULES), "context"))
         rounds = self._rounds(material, "material", models.CARD_GENERATOR, corpus.chunks)
         guarded = rounds.withColumn("g", guard_output(F.to_json("draft")))

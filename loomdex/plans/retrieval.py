@@ -197,4 +197,5 @@ def chunks_of_documents(corpus: Corpus, doc_ids: DataFrame | list) -> DataFrame:
         wanted = corpus.documents.join(ids, "doc_id", "left_semi")
     else:
         wanted = corpus.documents.filter(F.col("doc_id").isin(list(doc_ids)))
-    return corpus.chunks.join(wanted.select("doc_id", "filename"), "doc_id")
+    # While the list is short the texts of all other documents are not shuffled.
+    return corpus.chunks.join(bounded_broadcast(wanted.select("doc_id", "filename")), "doc_id")

@@ -35,10 +35,27 @@ def _xml(archive: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
 
 
 def _paragraph_text(paragraph: ElementTree.Element) -> str:
-    marks = {W + "tab": "\t", W + "br": "\n", W + "cr": "\n"}
+    marks = {W + "tab": "\t", W + "br": "\n", W + "cr": "\n", W + "noBreakHyphen": "-"}
     return "".join(n.text or "" if n.tag == W + "t" else marks.get(n.tag, "") for n in paragraph.iter())
 
 
+def _table_rows(table: ElementTree.Element) -> list[list[str]]:
+    """Cell texts by grid column: a merged cell counts once per column it spans,
+    and a cell continued from above repeats the text above."""
+    rows: list[list[str]] = []
+    for row in table.findall(W + "tr"):
+        cells: list[str] = []
+        for cell in row.findall(W + "tc"):
+            text = "\n".join(_paragraph_text(p) for p in cell.findall(W + "p")).strip()
+            span = cell.find(f"{W}tcPr/{W}gridSpan")
+            merge = cell.find(f"{W}tcPr/{W}vMerge")
+            if merge is not None and merge.get(W + "val") != "restart" and rows:
+                text = rows[-1][len(cells)] if len(cells) < len(rows[-1]) else text
+            cells += [text] * (int(span.get(W + "val", "1")) if span is not None else 1)
+        rows.append(cells)
+    return rows
+
+
 def parse_docx(data: bytes) -> list[Block]:
     """All paragraphs, then all tables; a table belongs to the last section."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
@@ -62,13 +79,7 @@ def parse_docx(data: bytes) -> list[Block]:
             section = text
         blocks.append(("text", text, 1, section, None))
     for table in body.findall(W + "tbl"):
-        rows = [
-            [
-                "\n".join(_paragraph_text(p) for p in cell.findall(W + "p")).strip()
-                for cell in row.findall(W + "tc")
-            ]
-            for row in table.findall(W + "tr")
-        ]
+        rows = _table_rows(table)
         blocks.append(("table", "", 1, section, rows))
     return blocks
 
@@ -102,6 +113,8 @@ def _cell_value(cell: ElementTree.Element, shared: list[str]) -> str:
         return shared[int(raw)].strip()
     if cell.get("t") == "b":
         return "True" if raw == "1" else "False"
+    if cell.get("t", "n") == "n" and re.search(r"[.eE]", raw):
+        return str(float(raw))
     return raw.strip()
 
 

@@ -83,6 +83,8 @@ def test_rag_cards_reach_every_terminal_state(spark):
     assert counts[("job_never", "Critic", "ok")] == 3
     # Both suspicious chunks of job_bad; the search found neither.
     assert counts[(None, "InjectionDetector", "ok")] == 2
+    steps = [r["step"] for r in run.traces.filter("job_id = 'job_ok'").orderBy("position").collect()]
+    assert steps == ["rag_context", "CardGenerator", "Critic"]
     prompts = run.traces.filter("agent = 'CardGenerator'").select("prompt_text").collect()
     assert not any("555-14-08" in p["prompt_text"] for p in prompts)
 

@@ -20,6 +20,22 @@ def test_docx_tables_come_last_and_share_the_last_section():
     assert blocks[-1][4][2] == ["Артикул", "BLD-800"]
 
 
+def test_docx_merged_cells():
+    from xml.etree import ElementTree
+
+    from files import W as NAMESPACE
+    from loomdex.sources.parsers import _table_rows
+
+    def cell(text, extra=""):
+        return f"<w:tc><w:tcPr>{extra}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+
+    xml = (
+        f"<w:tbl {NAMESPACE}><w:tr>{cell('wide', '<w:gridSpan w:val=\"2\"/>')}{cell('c', '<w:vMerge w:val=\"restart\"/>')}</w:tr>"
+        f"<w:tr>{cell('a')}{cell('b')}{cell('', '<w:vMerge/>')}</w:tr></w:tbl>"
+    )
+    assert _table_rows(ElementTree.fromstring(xml)) == [["wide", "wide", "c"], ["a", "b", "c"]]
+
+
 def test_xlsx_rows():
     blocks = parse_xlsx(SPEC)
     assert [b[1] for b in blocks] == ["KTL-22: Артикул: KTL-22; Мощность: 2200", "Мощность: 1.5; Цвет: белый"]
