@@ -57,9 +57,11 @@ def postings(chunks: DataFrame, analyzer: str = "simple") -> DataFrame:
 def postings_for(chunks: DataFrame, lexemes: DataFrame, analyzer: str = "simple") -> DataFrame:
     """Postings of the query lexemes only, for searches without a stored index.
 
-    Word occurrences are dropped before anything is shuffled. With a stemming
-    analyzer the distinct words of the corpus are stemmed once, and the forms
-    that lead to a query lexeme become the filter.
+    Word occurrences are dropped before anything is shuffled. The one shuffle is
+    by chunk, which serves this count and the sums per (query, chunk) that
+    follow; those sums have far more rows than the matched words. With a
+    stemming analyzer the distinct words of the corpus are stemmed once, and the
+    forms that lead to a query lexeme become the filter.
     """
     keys = ("chunk_id", "doc_id")
     vocabulary = lexemes.select("lexeme").distinct()
@@ -69,8 +71,8 @@ def postings_for(chunks: DataFrame, lexemes: DataFrame, analyzer: str = "simple"
     else:
         known = _lexemes(widen(rows.select("word").distinct()), analyzer)
         forms = known.join(bounded_broadcast(vocabulary), "lexeme", "left_semi")
-    matched = rows.join(bounded_broadcast(forms), "word")
-    return matched.groupBy("lexeme", *keys).agg(F.count("*").alias("tf"))
+    matched = rows.join(bounded_broadcast(forms), "word").select(*keys, "lexeme")
+    return matched.repartition("chunk_id").groupBy("lexeme", *keys).agg(F.count("*").alias("tf"))
 
 
 def fts_scores(lexemes: DataFrame, index: DataFrame) -> DataFrame:
