@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomdex.llm.common import table
 from loomdex.llm.exact_dedup import exact_dedup
+from loomdex.llm.sharding import shard_rows
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +32,22 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM n JOIN g ON n.low = g.low""")
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH bits AS (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+              FROM (SELECT unnest(range(256)) AS b)),
+tab AS (SELECT list(v ORDER BY b) AS t FROM bits),
+d AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 16 AS size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32,
+  md5('loomdex:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents, tab),
+r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY k, doc_id, text_crc32, size) * 2 - 1)::DOUBLE
+             / (count(*) OVER (PARTITION BY source) * 2)::DOUBLE AS place FROM d),
+o AS (SELECT *, row_number() OVER (ORDER BY place, source NULLS FIRST, k, doc_id, text_crc32, size) - 1 AS i,
+             count(*) OVER () AS n FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, ((i * 40) // n)::INT AS shard,
+       i - ((i * 40) // n * n + 39) // 40 AS slot, NULL::INT AS grown_shard, source FROM o""")
+def op10_proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"), n_shards=40)
