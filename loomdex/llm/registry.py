@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomdex.llm.common import table
 from loomdex.llm.exact_dedup import exact_dedup
 from loomdex.llm.sharding import shard_rows
+from loomdex.llm.url_filter import judge_urls
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +52,38 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, ((i * 40) // n)::INT AS shard,
        i - ((i * 40) // n * n + 39) // 40 AS slot, NULL::INT AS grown_shard, source FROM o""")
 def op10_proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), n_shards=40)
+
+
+# Aliases in SQL: absolute links only, which is the common form; the tests compare
+# relative ones with a brute-force version.
+@query("""
+WITH RECURSIVE
+links AS (
+  SELECT url, CASE WHEN regexp_matches(tag, '(?i)\\brel\\s*=\\s*[''"]?canonical\\b') THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*[''"]?([^''">\\s]+)', 1)
+                   WHEN regexp_matches(tag, '(?i)\\bhttp-equiv\\s*=\\s*[''"]?refresh\\b') THEN regexp_extract(tag, '(?i)\\burl\\s*=\\s*[''"]?([^''">\\s]+)', 1) END AS target
+  FROM (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages)),
+addr(url, address, host, path) AS (
+  SELECT url, CASE WHEN h <> '' THEN h || CASE WHEN p = '' THEN '/' ELSE p END || regexp_extract(url, '://[^?#]*(\\?[^#]*)', 1) END, h, p
+  FROM (SELECT url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
+               coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS p
+        FROM (SELECT url FROM pages UNION SELECT target FROM links))),
+edges AS (
+  SELECT a.address AS u, b.address AS v FROM links l JOIN addr a ON a.url = l.url JOIN addr b ON b.url = l.target
+  WHERE a.address IS NOT NULL AND b.address IS NOT NULL),
+ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reach(s, x) AS (SELECT u, u FROM ways UNION SELECT r.s, w.v FROM reach r JOIN ways w ON w.u = r.x),
+ruled AS (
+  SELECT url, address, host, path,
+    CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM addr),
+spread AS (
+  SELECT r.s AS address FROM reach r JOIN ruled k ON k.address = r.x GROUP BY r.s
+  HAVING bool_or(k.rule IN ('net/', 'example.com/de/')) AND NOT bool_or(coalesce(k.rule IN ('example.net/en/', 'org/fr/'), false)))
+SELECT p.page_id, k.host, k.path, k.rule,
+  CASE WHEN k.rule IN ('net/', 'example.com/de/') THEN 'block' WHEN k.rule IS NOT NULL THEN 'allow'
+       WHEN k.address IN (SELECT address FROM spread) THEN 'block' ELSE 'allow' END AS verdict, k.address
+FROM pages p JOIN ruled k ON k.url IS NOT DISTINCT FROM p.url""")
+def op7_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
