@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomdex.llm.common import table
 from loomdex.llm.exact_dedup import exact_dedup
+from loomdex.llm.language_id import identify_language
+from loomdex.llm.piece_encoding import encode_pieces
+from loomdex.llm.quality import score_quality
 from loomdex.llm.sharding import shard_rows
 from loomdex.llm.url_filter import judge_urls
 
@@ -87,3 +92,24 @@ SELECT p.page_id, k.host, k.path, k.rule,
 FROM pages p JOIN ruled k ON k.url IS NOT DISTINCT FROM p.url""")
 def op7_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op2_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op5_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
