@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm.common import table
+from loomdex.llm.decontaminate import find_contamination
 from loomdex.llm.exact_dedup import exact_dedup
 from loomdex.llm.language_id import identify_language
 from loomdex.llm.piece_encoding import encode_pieces
 from loomdex.llm.quality import score_quality
 from loomdex.llm.sharding import shard_rows
 from loomdex.llm.url_filter import judge_urls
+from loomdex.llm.warc import archive_and_read
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +115,52 @@ def op5_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+m AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS owner FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM m""")
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive_and_read(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+DECONTAMINATION_WORDS = (
+    "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {DECONTAMINATION_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {DECONTAMINATION_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n,
+              array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS gram
+       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS gram
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT dw.doc_id, dw.s, dw.n, bw.item_id FROM dw JOIN bw ON bw.n = dw.n AND bw.gram = dw.gram),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id""")
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
