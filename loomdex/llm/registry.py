@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from loomdex.llm.common import table
 from loomdex.llm.decontaminate import find_contamination
 from loomdex.llm.exact_dedup import exact_dedup
 from loomdex.llm.language_id import identify_language
+from loomdex.llm.ngram_join import JaccardSettings, join_similar
 from loomdex.llm.piece_encoding import encode_pieces
 from loomdex.llm.quality import score_quality
 from loomdex.llm.sharding import shard_rows
@@ -164,3 +167,8 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query()
+def op1_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_similar(table(spark, sf_dir, "documents"), JaccardSettings(width=4, threshold=Fraction(85, 100)))
