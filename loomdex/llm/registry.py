@@ -16,6 +16,7 @@ from loomdex.llm.ngram_join import JaccardSettings, join_similar
 from loomdex.llm.piece_encoding import encode_pieces
 from loomdex.llm.quality import score_quality
 from loomdex.llm.sharding import shard_rows
+from loomdex.llm.suffix_dedup import remove_repeats
 from loomdex.llm.url_filter import judge_urls
 from loomdex.llm.warc import archive_and_read
 
@@ -172,3 +173,15 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_similar(table(spark, sf_dir, "documents"), JaccardSettings(width=4, threshold=Fraction(85, 100)))
+
+
+@query()
+def op8_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
