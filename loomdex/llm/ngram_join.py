@@ -109,7 +109,8 @@ def packed(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             bucket = bucket[order]
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             ends = np.r_[starts[1:], len(bucket)]
-            columns = [[x[order][s:e] for s, e in zip(starts, ends, strict=True)] for x in (signatures, *rows)]
+            ordered = [x[order] for x in (signatures, *rows)]
+            columns = [[x[s:e] for s, e in zip(starts, ends, strict=True)] for x in ordered]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket[starts], pa.int32()), *(binaries(c) for c in columns)], ["bucket", "signatures", "sets", "blocks"]
             )
