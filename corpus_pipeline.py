@@ -1,29 +1,75 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``.
+
+Each stage reads what its predecessor wrote to the shared folder and judges it anew
+(the near-duplicate groups, for example, are those of the documents that are left).
+All but the last return the columns of ``documents``; a row is dropped by its id and
+text together, so rows that repeat an id are judged by their own texts.
+
+Cases: as in the operators. Rows without id are kept or dropped like others, but stand
+for no group. Extra columns are carried along, except that the last stage's own names
+replace columns of the same name. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomdex.llm.common import new_folder, table
+from loomdex.llm.common import new_folder, table, without
+from loomdex.llm.decontaminate import find_contamination
 from loomdex.llm.exact_dedup import exact_dedup
+from loomdex.llm.ngram_join import join_similar
+from loomdex.llm.piece_encoding import encode_pieces
+from loomdex.llm.quality import score_quality
+
+MODEL = "piece_bpe_32k.model"
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    judged = score_quality(docs, table(spark, sf_dir, "labels"))
+    return without(docs, judged.filter("predicted = 0"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return without(docs, exact_dedup(docs).filter("NOT kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a component of similar texts (five words, 0.8), the least doc_id stays."""
+    return without(docs, join_similar(docs).filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, found.filter("contaminated"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents with ids, n_tokens and the SHA-256 of the decoded text."""
+    keep = tuple(c for c in docs.columns if c not in ("ids", "decoded", "n_tokens", "decoded_sha256"))
+    coded = encode_pieces(docs, public_tokenizers.path(MODEL), keep=keep)
+    return coded.select(*keep, "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("exact dedup", drop_exact_copies)]
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("SentencePiece encoding", encode),
+]
 
-# Language, hashing and tokenizer stages have no SQL form.
+# Trained scores, set similarity over components and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = new_folder(spark, "pipeline-" + name.replace(" ", "-"))
+    for number, (_, stage) in enumerate(STAGES, 1):
+        path = new_folder(spark, f"pipeline-{number}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

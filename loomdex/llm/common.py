@@ -121,3 +121,24 @@ class RangeHash:
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+
+
+#: Up to so many narrow rows (a few numbers each) are broadcast; more are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint behind a count of the rows; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def with_hash(documents: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text); the first two tell rows apart for ``without``."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def without(documents: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose (doc_id, text_hash) is not among ``dropped``."""
+    names = staged(dropped.select(F.col("doc_id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash")).distinct(), "dropped")
+    same = documents["doc_id"].eqNullSafe(F.col("_drop_id")) & (F.xxhash64(documents["text"]) == F.col("_drop_hash"))
+    return documents.join(maybe_broadcast(names), same, "left_anti")

@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import staged
+from loomdex.llm.common import staged, with_hash
 
 WINDOW = 13
 GRAM = 8
@@ -102,7 +102,7 @@ def hits_of(documents: DataFrame, prints: DataFrame, lengths: list[int]) -> Data
 
         return let(F.transform(words, lambda w: F.xxhash64(w)), all_prints)
 
-    rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), let(words_of(F.col("text")), marks).alias("m"))
+    rows = documents.select("doc_id", "text_hash", let(words_of(F.col("text")), marks).alias("m"))
     rows = rows.select("doc_id", "text_hash", "m.n_words", F.explode("m.prints").alias("print"))
     rows = rows.select("doc_id", "text_hash", "n_words", "print.hash", "print.place")
     if prints.count() <= BROADCAST_ROWS:
@@ -118,7 +118,7 @@ def extended(hits: DataFrame, documents: DataFrame, items: DataFrame) -> DataFra
     listed = pairs.join(items, "item_id").groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.struct("item_id", "offset", "item_words")).alias("hits")
     )
-    texts = documents.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    texts = documents.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "text")
     texts = listed.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     texts = texts.dropDuplicates(["doc_id", "text_hash"])
 
@@ -146,8 +146,8 @@ def extended(hits: DataFrame, documents: DataFrame, items: DataFrame) -> DataFra
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, hit places (word numbers from 0), item ids, contaminated."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, n_words, hit places (word numbers from 0), item ids, contaminated, text_hash."""
+    docs = with_hash(documents)
     items = item_table(benchmark)
     short = items.select(F.size("item_words").alias("n")).filter(F.col("n") < WINDOW).distinct()
     # At most WINDOW - 1 lengths.
@@ -164,4 +164,5 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         places_hit.alias("places"),
         F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
+        "text_hash",
     )

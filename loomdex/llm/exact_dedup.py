@@ -14,7 +14,7 @@
 Cases: null text counts as empty. Rows with a null id are rows of their group; they
 stay only if no row of the group has an id. Repeated rows count as rows, and all
 rows that carry the id that stays are kept. An empty table gives an empty result.
-Columns beside ``id`` and ``text`` play no part and are not returned.
+Columns beside doc_id and text play no part and are not returned.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import ascii_lower, new_folder, raw_text
+from loomdex.llm.common import ascii_lower, new_folder, raw_text, with_hash
 
 ENTRY = "hash long, sha string, keep_id long, rows long, bytes long, text binary"
 
@@ -54,10 +54,10 @@ def lowered(batch: pa.RecordBatch) -> Iterator[bytes]:
 
 
 def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, sha) of every row."""
+    """(doc_id, text_hash, sha) of every row."""
     for batch in batches:
-        shas = [digests(raw)[1] for raw in lowered(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shas, pa.string())], ["doc_id", "sha"])
+        shas = pa.array([digests(raw)[1] for raw in lowered(batch)], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), shas], ["doc_id", "text_hash", "sha"])
 
 
 def entry_batch(found: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +169,11 @@ def build_index(docs: DataFrame, settings: IndexSettings = IndexSettings()) -> D
     return merged.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
-def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: IndexSettings = IndexSettings()) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def exact_dedup(documents: DataFrame, settings: IndexSettings = IndexSettings()) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and text_hash of every row."""
+    docs = with_hash(documents)
     groups = build_index(docs, settings).filter("group_size > 1")
-    rows = docs.mapInArrow(keys, "doc_id long, sha string")
+    rows = docs.mapInArrow(keys, "doc_id long, text_hash long, sha string")
     joined = rows.join(groups, "sha", "left")
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
@@ -183,4 +183,5 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        "text_hash",
     )

@@ -35,15 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import pieces, staged
+from loomdex.llm.common import maybe_broadcast, pieces, staged, with_hash
 from loomdex.llm.components import Forest, connected_components
 from loomdex.llm.shingles import Shingler, Signatures, set_id
 
 BLOCK = 256
 QUERIES = 1024
 BUCKET_BYTES = 8 << 20
-#: Up to so many narrow rows (of five numbers) are broadcast; more are shuffled.
-BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -228,13 +226,9 @@ def opened(threshold: Fraction) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def join_similar(documents: DataFrame, settings: JaccardSettings = JaccardSettings()) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every row of (doc_id, text)."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    """doc_id, n_shingles, component_id, n_links and text_hash of every row."""
+    docs = with_hash(documents)
     rows = docs.mapInArrow(sketched(settings), "doc_id long, text_hash long, size long, set_id long, least long, signatures binary")
     rows = staged(rows, "sketches")
     light = rows.select("doc_id", "text_hash", "size", "set_id", "least")
@@ -280,5 +274,9 @@ def join_similar(documents: DataFrame, settings: JaccardSettings = JaccardSettin
     )
     joined = light.join(of_set, "set_id", "left")
     return joined.select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "doc_id",
+        F.col("size").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "text_hash",
     )

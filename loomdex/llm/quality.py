@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import pieces, raw_text, staged
+from loomdex.llm.common import pieces, raw_text, staged, with_hash
 
 #: What is counted in every text.
 COUNTS = (
@@ -103,7 +103,8 @@ def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = counts_of(batch.column("text"), classes)
         ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(COUNTS))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], ["doc_id", "x"]
+            [batch.column("doc_id"), batch.column("text_hash"), pa.ListArray.from_arrays(ends, pa.array(values.ravel()))],
+            ["doc_id", "text_hash", "x"],
         )
 
 
@@ -168,7 +169,8 @@ def scorer(model: Discriminant | float, corpus: np.ndarray, pseudo: float) -> Ca
         for batch in batches:
             x = matrix(batch.column("x"))
             scores = np.full(len(x), model) if isinstance(model, float) else model.score(transformed(x, corpus, pseudo))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(scores, 9))], ["doc_id", "score"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.round(scores, 9))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "score"])
 
     return run
 
@@ -178,9 +180,9 @@ def remainder(fold: int):
 
 
 def score_quality(documents: DataFrame, labels: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of (doc_id, text)."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = staged(texts.mapInArrow(described, "doc_id long, x array<double>"), "quality-statistics")
+    """doc_id, held_out, score, predicted and text_hash of every row."""
+    kind = "doc_id long, text_hash long, x array<double>"
+    rows = staged(with_hash(documents).mapInArrow(described, kind), "quality-statistics")
     totals = rows.agg(*(F.sum(F.col("x")[k]) for k in range(len(COUNTS)))).first()
     corpus = np.array([t or 0.0 for t in totals])
     known = labels.filter("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
@@ -191,10 +193,11 @@ def score_quality(documents: DataFrame, labels: DataFrame, settings: QualitySett
     for row in parts.groupBy("label", "element").agg(F.sum("value").alias("value")).collect():
         sums[row["label"], row["element"]] = row["value"]
     model = fitted(sums.reshape(2, size, size), settings)
-    scored = rows.mapInArrow(scorer(model, corpus, settings.pseudo_count), "doc_id long, score double")
+    scored = rows.mapInArrow(scorer(model, corpus, settings.pseudo_count), "doc_id long, text_hash long, score double")
     return scored.select(
         "doc_id",
         (remainder(settings.fold) == settings.held_out).alias("held_out"),
         "score",
         (F.col("score") >= settings.threshold).cast("int").alias("predicted"),
+        "text_hash",
     )

@@ -43,7 +43,7 @@ g AS (SELECT low, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, n.text_sha256
 FROM n JOIN g ON n.low = g.low""")
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query("""
@@ -102,7 +102,7 @@ def op7_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op2_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 @query()
@@ -172,7 +172,7 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op1_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_similar(table(spark, sf_dir, "documents"), JaccardSettings(width=4, threshold=Fraction(85, 100)))
+    return join_similar(table(spark, sf_dir, "documents"), JaccardSettings(width=4, threshold=Fraction(85, 100))).drop("text_hash")
 
 
 @query()

@@ -36,9 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import RangeHash, partitions, raw_text, staged
+from loomdex.llm.common import RangeHash, maybe_broadcast, partitions, raw_text, staged
 
-BROADCAST_ROWS = 500_000
 BLOCK = "block long, keys binary, offsets binary, body binary"
 
 
@@ -264,10 +263,6 @@ def answered(hashes: DataFrame, bits: int, name: str) -> DataFrame:
     return staged(masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias(name)), name)
 
 
-def maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def named(documents: DataFrame) -> DataFrame:
     """Rows with three numbers that tell texts apart (two hashes and the length)."""
     text = F.coalesce("text", F.lit(""))
