@@ -86,7 +86,7 @@ def item_fingerprints(items: DataFrame, lengths: list[int]) -> DataFrame:
     size = F.size("item_words")
     prints = F.when(size >= WINDOW, let(codes, winnowed))
     for length in lengths:
-        prints = prints.when(size == length, let(codes, lambda c, n=length: whole_grams(c, n)))
+        prints = prints.when(size == length, whole_grams(codes, length))
     return items.select("item_id", F.explode(prints).alias("print")).select("item_id", "print.hash", F.col("print.place").alias("item_place"))
 
 
