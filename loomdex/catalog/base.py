@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions.vectors import l2_normalize
 from loomdex.plans.retrieval import Corpus
-from loomdex.session import bounded_broadcast, read_table
+from loomdex.session import read_table
 
 
 def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str, analyzer: str = "simple") -> Corpus:
     """One chunk per document; documents without a vector row are pending."""
-    chunks = read_table(spark, sf_dir, "documents", spread_by="doc_id").select(
+    chunks = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_id"),
         "doc_id",
         "text",
@@ -58,17 +58,16 @@ def family_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text is a query; its vector is that of the family it is
     assigned to in turn."""
-    vectors = bounded_broadcast(family_vectors(spark, sf_dir))
-    return query_families(spark, sf_dir).join(vectors, "family", "left")
+    return query_families(spark, sf_dir).join(family_vectors(spark, sf_dir), "family", "left")
 
 
 def query_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, query_text, family) of every search."""
-    families = read_table(spark, sf_dir, "embeddings").agg(F.max("label")).first()[0] + 1
+    families = read_table(spark, sf_dir, "embeddings").agg(F.max("label") + 1).scalar()
     return read_table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"),
         F.col("text").alias("query_text"),
-        F.pmod(F.col("item_id"), F.lit(families)).cast("int").alias("family"),
+        F.pmod(F.col("item_id"), families).cast("int").alias("family"),
     )
 
 

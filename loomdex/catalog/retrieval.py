@@ -265,7 +265,6 @@ def first_foreign_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
         _vector_legs(spark, sf_dir),
         query_families(spark, sf_dir),
         chunk_families(spark, sf_dir),
-        2 * TOP_K,
     )
     return first.select(
         "query_id", F.col("rank").cast("long").alias("rank"), F.round("cosine", 6).alias("score")
@@ -284,7 +283,6 @@ def first_foreign_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         _vector_legs(spark, sf_dir),
         query_families(spark, sf_dir),
         chunk_families(spark, sf_dir),
-        2 * TOP_K,
     )
     summary = sweep.foreign_summary(first)
     return summary.select(

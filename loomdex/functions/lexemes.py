@@ -10,7 +10,8 @@ from loomdex.functions.stopwords import ENGLISH_STOP, RUSSIAN_STOP
 from loomdex.functions.text import WORD
 
 # Fixed values of the ranking function: the weight of an unlabelled lexeme, the
-# limit of sum(1/j^2), and the positions kept per lexeme and chunk.
+# limit of sum(1/j^2), and the positions kept per lexeme and chunk (the documented
+# limit of the ranking's own index; further occurrences add nothing to a rank).
 LEXEME_WEIGHT = 0.1
 INVERSE_SQUARE_LIMIT = 1.64493406685
 MAX_POSITIONS = 255
@@ -39,15 +40,11 @@ def lexeme_of(word: Column, analyzer: str) -> Column:
     ).otherwise(F.when(~word.isin(*RUSSIAN_STOP), russian_stem(word)))
 
 
-def _weight_table() -> list[float]:
+def weight_table() -> list[float]:
+    """Rank contribution of a lexeme that occurs 1, 2, ... times in a chunk; the
+    last entry holds for all higher counts."""
     table, series = [], 0.0
     for j in range(1, MAX_POSITIONS + 1):
         series += 1.0 / (j * j)
         table.append(LEXEME_WEIGHT * series / INVERSE_SQUARE_LIMIT)
     return table
-
-
-def term_weight(tf: Column) -> Column:
-    """Rank contribution of a lexeme that occurs ``tf`` times: a constant-array lookup."""
-    position = F.least(tf, F.lit(MAX_POSITIONS)).cast("int")
-    return F.element_at(F.array(*[F.lit(w) for w in _weight_table()]), position)

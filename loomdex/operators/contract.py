@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from loomdex.functions.text import evidence_key, is_blank
 from loomdex.schemas import CARD, EMPTY_LIST, EMPTY_MAP, SOURCE
-from loomdex.session import bounded_broadcast
 from loomdex.settings import DEFAULTS, Settings
 
 
@@ -103,14 +102,11 @@ def cited_chunks(cards: DataFrame, chunks: DataFrame) -> DataFrame:
     """``cards`` (job_id, card) with ``cited``: ARRAY<STRUCT<chunk_id, doc_id, page,
     text>> of the cited chunks that exist.
 
-    The cited (job, chunk) pairs are distinct and, while they are few, broadcast,
-    so the chunk texts stay where they are; beyond that the join shuffles and AQE
-    splits a chunk that very many cards cite. A card cites few chunks, so its
-    list is one small row.
+    The cited (job, chunk) pairs are distinct. Spark picks the join by the sizes it
+    sees, and splits a chunk that very many cards cite. A card cites few chunks,
+    so its list is one small row.
     """
-    pairs = bounded_broadcast(
-        cards.select("job_id", F.explode(cited_ids(F.col("card"))).alias("chunk_id"))
-    )
+    pairs = cards.select("job_id", F.explode(cited_ids(F.col("card"))).alias("chunk_id"))
     payload = chunks.select("chunk_id", "doc_id", F.col("metadata.page").alias("page"), "text")
     grouped = (
         payload.join(pairs, "chunk_id")

@@ -1,95 +1,150 @@
-"""OR full-text ranking: lexeme postings joined with a block of queries."""
+"""OR full-text ranking of whole texts against a batch of queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from loomdex.functions.lexemes import lexeme_of, term_weight, words
-from loomdex.session import bounded_broadcast, widen
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-def _words(df: DataFrame, text_column: str, *keys: str) -> DataFrame:
-    return df.select(*keys, F.explode(words(F.col(text_column))).alias("word"))
+from loomdex.functions.lexemes import lexeme_of, weight_table, words
+from loomdex.operators.local_best import SCORE_CELLS, LocalBest, merged, slices
+from loomdex.operators.query_batch import QueryBlock
 
+# Scores are compared at this many decimals, so that equal ones tie exactly.
+SCORE_DECIMALS = 12
+# Rows of texts that are counted at once in a task.
+TEXT_ROWS = 256
 
-def _lexemes(word_rows: DataFrame, analyzer: str) -> DataFrame:
-    """Adds ``lexeme`` and drops stop words.
 
-    The explode of a zero-or-one element array evaluates a stem once per row; a
-    plain filter would be pushed below the distinct and evaluated per occurrence.
-    """
+def lexemes_of(text: Column, analyzer: str) -> Column:
+    """All lexemes of a text, with repetitions; a stem is made once per word and text."""
     if analyzer == "simple":
-        return word_rows.withColumn("lexeme", F.col("word"))
-    lexeme = lexeme_of(F.col("word"), analyzer)
-    return word_rows.withColumn("lexeme", F.explode(F.array_compact(F.array(lexeme))))
+        return words(text)
+    found = F.transform(words(text), lambda w: lexeme_of(w, analyzer))
+    return F.array_compact(found)
 
 
 def query_lexemes(queries: DataFrame, analyzer: str = "simple") -> DataFrame:
-    """``(query_id, lexeme, query_size)``: the distinct lexemes of every query.
-
-    A query without lexemes has no rows here and therefore finds nothing.
+    """``(query_id, lexemes)``: the distinct lexemes of every query; a query
+    without lexemes has none and therefore finds nothing."""
+    return queries.select("query_id", F.array_distinct(lexemes_of(F.col("query_text"), analyzer)).alias("lexemes"))
+
+
+class QueryTerms:
+    """The lexemes of a batch, and for each the queries that have it with their weights."""
+
+    def __init__(self, ids: list, lexemes: list[list[str]]) -> None:
+        self.ids = ids
+        number: dict[str, int] = {}
+        owner, term = [], []
+        for query, found in enumerate(lexemes):
+            for lexeme in found or ():
+                owner.append(query)
+                term.append(number.setdefault(lexeme, len(number)))
+        self.vocabulary = list(number)
+        order = np.argsort(term, kind="stable")
+        self.queries = np.array(owner, np.int64)[order]
+        self.starts = np.searchsorted(np.array(term, np.int64)[order], np.arange(len(number) + 1))
+        self.sizes = np.array([len(found or ()) for found in lexemes], np.float64)
+
+
+def fulltext_leg(block: QueryBlock, chunks: DataFrame, k: int, analyzer: str = "simple") -> DataFrame:
+    """``(query_id, chunk_id, rank, score)`` for the k best chunks per query.
+
+    All words of a chunk are in its row, so the chunk is scored for every query
+    where it is read: counts of the query lexemes in it, times the queries that
+    have them. Each task keeps its own k best per query, so neither words nor
+    (query, chunk) pairs are shuffled and a common word is no hot key.
     """
-    found = F.transform(words(F.col("query_text")), lambda w: lexeme_of(w, analyzer))
-    rows = queries.select("query_id", F.array_distinct(F.array_compact(found)).alias("lexemes"))
-    return bounded_broadcast(
-        rows.select(
-            "query_id", F.explode("lexemes").alias("lexeme"), F.size("lexemes").alias("query_size")
-        )
+    rows = query_lexemes(block.frame, analyzer).toArrow()
+    terms = QueryTerms(rows.column("query_id").to_pylist(), rows.column("lexemes").to_pylist())
+    counted = chunks.select("chunk_id", lexemes_of(F.col("text"), analyzer).alias("lexemes"))
+    return _ranked(counted, block, terms, k)
+
+
+def _ranked(counted: DataFrame, block: QueryBlock, terms: QueryTerms, k: int) -> DataFrame:
+    id_types = (block.frame.schema["query_id"].dataType, counted.schema["chunk_id"].dataType)
+    schema = T.StructType(
+        [
+            T.StructField("query_id", id_types[0]),
+            T.StructField("chunk_id", id_types[1]),
+            T.StructField("score", T.DoubleType()),
+        ]
     )
+    if not terms.vocabulary:
+        return merged(counted.sparkSession.createDataFrame([], schema), k, "score")
+    shipped = counted.sparkSession.sparkContext.broadcast(terms)
+    return merged(counted.mapInArrow(_local_best(shipped, k, id_types), schema), k, "score")
+
+
+def _local_best(shipped, k: int, id_types):
+    arrow_types = tuple(to_arrow_type(t) for t in id_types)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms: QueryTerms = shipped.value
+        weights = np.array(weight_table())
+        vocabulary = pa.array(terms.vocabulary, pa.string())
+        count = len(terms.ids)
+        best = LocalBest(count, k)
+        for batch in slices(batches, min(TEXT_ROWS, max(1, SCORE_CELLS // count))):
+            column = batch.column("lexemes")
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            known = pc.index_in(column.flatten(), value_set=vocabulary)
+            found = pc.is_valid(known).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), lengths)[found]
+            term = known.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            # (row, lexeme) with its count, in lexeme order within a row.
+            pair, tf = np.unique(row * len(vocabulary) + term, return_counts=True)
+            row, term = pair // len(vocabulary), pair % len(vocabulary)
+            weight = weights[np.minimum(tf, len(weights)) - 1]
+            # Every pair meets the queries that have its lexeme.
+            spread = terms.starts[term + 1] - terms.starts[term]
+            ends = np.cumsum(spread)
+            at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - spread, spread) + np.repeat(terms.starts[term], spread)
+            query = terms.queries[at]
+            cell = np.repeat(row, spread) * count + query
+            sums = np.bincount(cell, np.repeat(weight, spread) / terms.sizes[query], batch.num_rows * count)
+            scores = np.round(sums.reshape(batch.num_rows, count), SCORE_DECIMALS)
+            best.add(np.where(scores > 0, scores, -np.inf), batch.column("chunk_id"))
+        yield from best.rows(terms.ids, arrow_types, "score")
+
+    return scan
 
 
 def postings(chunks: DataFrame, analyzer: str = "simple") -> DataFrame:
-    """Inverted table ``(lexeme, chunk_id, doc_id, tf)`` of whole chunk texts.
-
-    All occurrences of a chunk sit in one input row, so the map-side combine
-    already yields the counts and only (chunk, word) pairs are shuffled; a
-    frequent word is spread over its chunks. Words are counted before they are
-    stemmed, so a stem is computed once per chunk and word.
-    """
-    keys = ("chunk_id", "doc_id")
-    counted = _words(chunks, "text", *keys).groupBy(*keys, "word").agg(F.count("*").alias("n"))
-    if analyzer == "simple":
-        return counted.select(F.col("word").alias("lexeme"), *keys, F.col("n").alias("tf"))
-    return _lexemes(counted, analyzer).groupBy("lexeme", *keys).agg(F.sum("n").alias("tf"))
-
-
-def postings_for(chunks: DataFrame, lexemes: DataFrame, analyzer: str = "simple") -> DataFrame:
-    """Postings of the query lexemes only, for searches without a stored index.
-
-    Word occurrences are dropped before anything is shuffled. The one shuffle is
-    by chunk, which serves this count and the sums per (query, chunk) that
-    follow; those sums have far more rows than the matched words. With a
-    stemming analyzer the distinct words of the corpus are stemmed once, and the
-    forms that lead to a query lexeme become the filter.
-    """
+    """Inverted table ``(lexeme, chunk_id, doc_id, tf)`` of whole chunk texts, made in
+    one narrow pass: a chunk's counts are complete where it is read."""
     keys = ("chunk_id", "doc_id")
-    vocabulary = lexemes.select("lexeme").distinct()
-    rows = _words(chunks, "text", *keys)
-    if analyzer == "simple":
-        forms = vocabulary.withColumn("word", F.col("lexeme"))
-    else:
-        known = _lexemes(widen(rows.select("word").distinct()), analyzer)
-        forms = known.join(bounded_broadcast(vocabulary), "lexeme", "left_semi")
-    matched = rows.join(bounded_broadcast(forms), "word").select(*keys, "lexeme")
-    return matched.repartition("chunk_id").groupBy("lexeme", *keys).agg(F.count("*").alias("tf"))
-
-
-def fts_scores(lexemes: DataFrame, index: DataFrame) -> DataFrame:
-    """``(query_id, chunk_id, doc_id, score)`` for every chunk sharing a lexeme."""
-    matched = index.join(lexemes, "lexeme")
-    weighted = matched.withColumn("weight", term_weight(F.col("tf")) / F.col("query_size"))
-    return weighted.groupBy("query_id", "chunk_id", "doc_id").agg(
-        F.round(F.sum("weight"), 12).alias("score")
-    )
-
-
-def best_per_query(scores: DataFrame, k: int) -> DataFrame:
-    """``(query_id, chunk_id, rank, score)``: every task prunes its share to k
-    rows per query before the shuffle."""
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return (
-        scores.withColumn("rank", F.row_number().over(best_first))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "chunk_id", "rank", "score")
-    )
+    lexemes = lexemes_of(F.col("text"), analyzer)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, TEXT_ROWS):
+            for row, found in enumerate(batch.column("lexemes").to_pylist()):
+                tally: dict[str, int] = {}
+                for lexeme in found or ():
+                    tally[lexeme] = tally.get(lexeme, 0) + 1
+                if tally:
+                    ids = [pa.repeat(batch.column(c)[row], len(tally)) for c in keys]
+                    columns = [pa.array(list(tally), pa.string()), *ids, pa.array(list(tally.values()), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["lexeme", *keys, "tf"])
+
+    fields = [T.StructField("lexeme", T.StringType()), *(chunks.schema[c] for c in keys), T.StructField("tf", T.LongType())]
+    return chunks.select(*keys, lexemes.alias("lexemes")).mapInArrow(count, T.StructType(fields))
+
+
+def stored_leg(block: QueryBlock, index: DataFrame, k: int, analyzer: str = "simple") -> DataFrame:
+    """The same ranking out of stored postings. Only rows of the query lexemes are
+    read (the filter reaches the scan, whose files are clustered by lexeme); they
+    meet per chunk, which is a shuffle of matched postings and not of texts."""
+    rows = query_lexemes(block.frame, analyzer).toArrow()
+    terms = QueryTerms(rows.column("query_id").to_pylist(), rows.column("lexemes").to_pylist())
+    matched = index.filter(F.col("lexeme").isin(terms.vocabulary))
+    repeated = F.array_repeat("lexeme", F.col("tf").cast("int"))
+    counted = matched.groupBy("chunk_id").agg(F.flatten(F.collect_list(repeated)).alias("lexemes"))
+    return _ranked(counted, block, terms, k)

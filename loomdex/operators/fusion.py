@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from loomdex.functions.vectors import dot
 from loomdex.operators.nearest import COSINE_DECIMALS
 from loomdex.operators.query_batch import QueryBlock
-from loomdex.session import broadcast_within
 from loomdex.settings import DEFAULTS
 
 KEYS = ["query_id", "chunk_id"]
@@ -51,23 +50,14 @@ def fused_top_k(
     )
 
 
-def attach_cosine(hits: DataFrame, block: QueryBlock, vectors: DataFrame, k: int) -> DataFrame:
+def attach_cosine(hits: DataFrame, block: QueryBlock, vectors: DataFrame) -> DataFrame:
     """Adds ``vec_score``: the cosine of every hit, also of those only the
-    full-text leg found; NULL when the chunk has no vector.
-
-    Cosines of the vector leg are reused; only the rest is looked up, and as
-    there are at most k hits per query the vectors are scanned in place.
-    """
+    full-text leg found; NULL when the chunk has no vector. Cosines of the vector
+    leg are reused; only the rest is looked up."""
     missing = hits.filter(F.col("cosine").isNull()).select(*KEYS)
-    wanted = missing.join(F.broadcast(block.frame.select("query_id", "query_vec")), "query_id")
-    found = (
-        vectors.select("chunk_id", "embedding")
-        .join(broadcast_within(wanted, block.size * k), "chunk_id")
-        .filter(F.size("embedding") == F.size("query_vec"))
-        .select(
-            *KEYS,
-            F.round(dot(F.col("embedding"), F.col("query_vec")), COSINE_DECIMALS).alias("found"),
-        )
+    wanted = missing.join(block.frame.select("query_id", "query_vec"), "query_id")
+    found = vectors.select("chunk_id", "embedding").join(wanted, "chunk_id").select(
+        *KEYS, F.round(dot(F.col("embedding"), F.col("query_vec")), COSINE_DECIMALS).alias("found")
     )
-    joined = hits.join(broadcast_within(found, block.size * k), KEYS, "left")
+    joined = hits.join(found, KEYS, "left")
     return joined.withColumn("vec_score", F.coalesce("cosine", "found")).drop("found")

@@ -6,46 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loomdex.functions.vectors import dot
+from loomdex.operators.local_best import SCORE_CELLS, LocalBest, merged, slices
 from loomdex.operators.query_batch import QueryBlock
 
 # Cosines are compared at this many decimals, so that equal vectors tie exactly
 # and the chunk id breaks the tie.
 COSINE_DECIMALS = 12
-# Scores computed at once in a task: bounds its memory for any block and batch.
-SCORE_CELLS = 4_000_000
-
-
-def cosine_to(embedding: Column, query_vector: list[float]) -> Column:
-    """Cosine of a unit vector column with one literal unit query vector."""
-    literal = F.array(*[F.lit(float(x)) for x in query_vector])
-    return F.round(dot(embedding, literal), COSINE_DECIMALS)
-
-
-def single_query_top_k(
-    chunks: DataFrame, query_vector: list[float], k: int, threshold: float | None = None
-) -> DataFrame:
-    """Top-k chunks for one query: filter, then ``TakeOrderedAndProject``; no shuffle."""
-    scored = chunks.filter(F.size("embedding") == len(query_vector)).withColumn(
-        "score", cosine_to(F.col("embedding"), query_vector)
-    )
-    if threshold is not None:
-        scored = scored.filter(F.col("score") >= threshold)
-    return scored.drop("embedding").orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
 def vector_leg(block: QueryBlock, vectors: DataFrame, k: int) -> DataFrame:
     """``(query_id, chunk_id, rank, cosine)`` for the k nearest chunks per query.
 
-    Every task multiplies its Arrow batches with the query block and keeps its
-    own k best per query, so no (query, chunk) pair beyond those leaves a task:
-    the shuffle carries at most ``tasks * queries * k`` small rows whatever the
-    size of the vector table. The second ranking merges the tasks' lists.
+    Every task multiplies its Arrow batches with the query matrix, one slice of
+    queries after the other, and keeps its own k best per query: no (query,
+    chunk) pair beyond those leaves a task. A stored vector of another width than
+    the queries is an error, as in a vector column of fixed width.
     """
     id_types = (block.frame.schema["query_id"].dataType, vectors.schema["chunk_id"].dataType)
     schema = T.StructType(
@@ -56,73 +36,27 @@ def vector_leg(block: QueryBlock, vectors: DataFrame, k: int) -> DataFrame:
         ]
     )
     ids, matrix = block.matrix()
-    if ids:
-        local = (
-            vectors.select("chunk_id", "embedding")
-            .filter(F.size("embedding") == matrix.shape[1])
-            .mapInArrow(_local_top_k(ids, matrix, k, id_types), schema)
-        )
-    else:
-        local = vectors.sparkSession.createDataFrame([], schema)
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "chunk_id")
-    return (
-        local.withColumn("rank", F.row_number().over(best_first))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "chunk_id", "rank", "cosine")
-    )
-
-
-def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+    if not ids:
+        return merged(vectors.sparkSession.createDataFrame([], schema), k, "cosine")
+    width = matrix.shape[1]
+    message = F.concat(F.lit(f"expected {width} dimensions, not "), F.size("embedding").cast("string"))
+    checked = F.when(F.size("embedding") == width, F.col("embedding")).otherwise(F.raise_error(message))
+    stored = vectors.filter("embedding IS NOT NULL").select("chunk_id", checked.alias("embedding"))
+    shipped = vectors.sparkSession.sparkContext.broadcast((ids, np.ascontiguousarray(matrix.T)))
+    return merged(stored.mapInArrow(_local_top_k(shipped, k, id_types), schema), k, "cosine")
 
 
-def _local_top_k(ids: list, matrix: np.ndarray, k: int, id_types):
-    query_arrow, chunk_arrow = (to_arrow_type(t) for t in id_types)
-    transposed = np.ascontiguousarray(matrix.T)
+def _local_top_k(shipped, k: int, id_types):
+    arrow_types = tuple(to_arrow_type(t) for t in id_types)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, transposed = shipped.value
         width, count = transposed.shape
-        # A candidate must reach its query's bar: the k-th best value seen so far.
-        bar = np.full(count, -np.inf)
-        best_query = np.empty(0, dtype=np.int64)
-        best_score = np.empty(0, dtype=np.float64)
-        best_chunk = None
-        for batch in _slices(batches, max(k, SCORE_CELLS // count)):
+        best = LocalBest(count, k)
+        for batch in slices(batches, max(k, SCORE_CELLS // count)):
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            scores = np.round(
-                flat.astype(np.float64).reshape(batch.num_rows, width) @ transposed,
-                COSINE_DECIMALS,
-            )
-            if batch.num_rows >= k:
-                bar = np.maximum(bar, np.partition(scores, -k, axis=0)[-k])
-            row, query = np.nonzero(scores >= bar)
-            chunk_ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-            if chunk_ids.dtype == object:
-                chunk_ids = chunk_ids.astype(str)
-            candidate = chunk_ids[row]
-            best_chunk = candidate if best_chunk is None else np.concatenate([best_chunk, candidate])
-            best_query = np.concatenate([best_query, query])
-            best_score = np.concatenate([best_score, scores[row, query]])
-            order = np.lexsort((best_chunk, -best_score, best_query))
-            position = np.arange(order.size)
-            sorted_query = best_query[order]
-            starts = np.searchsorted(sorted_query, sorted_query, side="left")
-            keep = order[position - starts < k]
-            best_query, best_score, best_chunk = best_query[keep], best_score[keep], best_chunk[keep]
-            full = np.bincount(best_query, minlength=count) >= k
-            worst = np.full(count, np.inf)
-            np.minimum.at(worst, best_query, best_score)
-            bar = np.where(full, worst, bar)
-        if best_chunk is not None and best_chunk.size:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[i] for i in best_query], type=query_arrow),
-                    pa.array(best_chunk.tolist(), type=chunk_arrow),
-                    pa.array(best_score, type=pa.float64()),
-                ],
-                names=["query_id", "chunk_id", "cosine"],
-            )
+            scores = flat.astype(np.float64).reshape(batch.num_rows, width) @ transposed
+            best.add(np.round(scores, COSINE_DECIMALS), batch.column("chunk_id"))
+        yield from best.rows(ids, arrow_types, "cosine")
 
     return scan

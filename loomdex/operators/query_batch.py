@@ -1,4 +1,4 @@
-"""A batch of searches, cut into blocks small enough to ship to every task."""
+"""A batch of searches, fetched once and shipped to every task."""
 
 from __future__ import annotations
 
@@ -10,9 +10,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Searches per block. Larger batches run block by block, each one pass over the
-# chunk table, so neither the driver nor a task ever holds more than a block.
-QUERY_BLOCK = 4096
+# Searches that are answered in one pass over the corpus. Their vectors and
+# lexemes are a broadcast variable (1000 doubles each: about 500 MB in all), which
+# tasks work through in slices; only a larger batch takes another pass.
+QUERY_BLOCK = 65_536
 
 COLUMNS = ("query_id", "query_text", "query_vec")
 

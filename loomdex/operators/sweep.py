@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.operators.fusion import fused_top_k
-from loomdex.session import broadcast_within
 from loomdex.settings import DEFAULTS
 
 # The measured grid, and the tolerance of the plateau.
@@ -49,9 +48,8 @@ def purity(
     nothing counts as zero. ``queries`` has query_id and family, ``families``
     chunk_id and family.
     """
-    bound = queries.count() * len(thresholds) * k
     picked = results.select("query_id", "threshold", "chunk_id")
-    found = families.join(broadcast_within(picked, bound), "chunk_id")
+    found = families.join(picked, "chunk_id")
     hits = (
         found.withColumnRenamed("family", "chunk_family")
         .join(queries.select("query_id", "family"), "query_id")
@@ -69,13 +67,9 @@ def purity(
     )
 
 
-def first_foreign(
-    legs: DataFrame, queries: DataFrame, families: DataFrame, depth: int
-) -> DataFrame:
-    """``(query_id, rank, cosine)`` of the best ranked chunk of another family;
-    ``depth`` is the length of the vector leg."""
+def first_foreign(legs: DataFrame, queries: DataFrame, families: DataFrame) -> DataFrame:
+    """``(query_id, rank, cosine)`` of the best ranked chunk of another family."""
     ranked = legs.filter(F.col("vec_rank").isNotNull())
-    ranked = broadcast_within(ranked, queries.count() * depth)
     foreign = (
         families.withColumnRenamed("family", "chunk_family")
         .join(ranked, "chunk_id")
@@ -87,23 +81,24 @@ def first_foreign(
     )
 
 
-def upper_median(column: str) -> Column:
-    """Element ``n div 2`` of the sorted values; the input is one value per query
-    of a batch, so the list is small."""
-    values = F.sort_array(F.collect_list(column))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def upper_median(values: DataFrame, column: str) -> DataFrame:
+    """One row, ``<column>_median``: element ``n div 2`` of the sorted values, found
+    in the running sums of a count per value."""
+    counts = values.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    running = counts.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy())})
+    middle = F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col(column))
+    return running.agg(F.min(middle).alias(f"{column}_median"))
 
 
 def foreign_summary(first: DataFrame) -> DataFrame:
     """Median, minimum and maximum of the rank and cosine of the first foreign chunk."""
+    first = first.withColumn("cosine", F.round("cosine", 6))
     columns = []
     for name in ("rank", "cosine"):
-        columns += [
-            upper_median(name).alias(f"{name}_median"),
-            F.min(name).alias(f"{name}_min"),
-            F.max(name).alias(f"{name}_max"),
-        ]
-    return first.agg(*columns)
+        columns += [F.min(name).alias(f"{name}_min"), F.max(name).alias(f"{name}_max")]
+    medians = {f"{name}_median": upper_median(first, name).scalar() for name in ("rank", "cosine")}
+    return first.agg(*columns).withColumns(medians)
 
 
 def recommend(

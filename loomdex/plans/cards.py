@@ -22,7 +22,7 @@ from loomdex.plans.embedding import QUERY_PREFIX, Embedder, embed_texts
 from loomdex.plans.models import Agent, ModelClient
 from loomdex.plans.retrieval import Corpus, search
 from loomdex.schemas import CARD, CRITIQUE, EMPTY_LIST, FACTS, INJECTION_VERDICT
-from loomdex.session import bounded_broadcast, durable
+from loomdex.session import durable
 from loomdex.settings import DEFAULTS, Settings
 
 DEFAULT_QUERY = "карточка товара характеристики"
@@ -289,9 +289,9 @@ class CardFlow:
         named = jobs.filter(F.size("document_ids") > 0).select(
             "job_id", F.explode(F.array_distinct("document_ids")).alias("doc_id")
         )
-        wanted = corpus.documents.select("doc_id", "filename").join(bounded_broadcast(named), "doc_id")
+        wanted = corpus.documents.select("doc_id", "filename").join(named, "doc_id")
         listed = (
-            corpus.chunks.join(bounded_broadcast(wanted), "doc_id")
+            corpus.chunks.join(wanted, "doc_id")
             .withColumn("rank", F.struct("doc_id", "ordinal").cast(rank_type))
             .withColumn("score", F.lit(None).cast("double"))
             .select(*columns)

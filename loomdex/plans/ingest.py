@@ -14,7 +14,7 @@ from loomdex.operators.blocks import normalize_blocks, table_text
 from loomdex.operators.chunking import chunk_blocks
 from loomdex.operators.state import register_uploads
 from loomdex.plans.embedding import Embedder, embed_texts
-from loomdex.session import bounded_broadcast, durable
+from loomdex.session import durable
 from loomdex.settings import DEFAULTS, Settings
 from loomdex.sources.parsers import NO_TEXT_LAYER, PARSERS, NoTextLayer
 
@@ -93,9 +93,7 @@ def ingest(
     error) or ``embed_failed`` (chunks kept, vectors missing).
     """
     registered = register_uploads(uploads, existing).filter("created")
-    # The list of new documents is broadcast while it is short, as it is in every
-    # micro-batch; then no file content is shuffled.
-    new = bounded_broadcast(registered.select("first_seq", "doc_id", "kind"))
+    new = registered.select("first_seq", "doc_id", "kind")
     contents = uploads.select(F.col("seq").alias("first_seq"), "content")
     files = contents.join(new, "first_seq").select("doc_id", "kind", "content")
     raw = durable(parse_files(files))

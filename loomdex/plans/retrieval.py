@@ -10,11 +10,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.operators.fulltext import best_per_query, fts_scores, postings_for, query_lexemes
+from loomdex.operators.fulltext import fulltext_leg, stored_leg
 from loomdex.operators.fusion import attach_cosine, fuse_legs, fused_top_k
 from loomdex.operators.nearest import vector_leg
 from loomdex.operators.query_batch import QueryBlock, per_block
-from loomdex.session import bounded_broadcast, broadcast_within
 from loomdex.settings import DEFAULTS, Settings, threshold_or_default, top_k_or_default
 
 DocIds = DataFrame | list | None
@@ -30,7 +29,8 @@ class Corpus:
     ``index``      optional stored postings: lexeme, chunk_id, doc_id, tf
 
     Texts, vectors and postings are separate tables because each leg reads only
-    its own; tables bucketed by doc_id join the documents without a shuffle.
+    its own. A chunk's document must be in ``documents``. Stored tables that carry
+    ``status`` beside doc_id are filtered without a join.
     """
 
     chunks: DataFrame
@@ -45,31 +45,29 @@ class Corpus:
         vectors = chunks.select("chunk_id", "doc_id", "embedding").filter("embedding IS NOT NULL")
         return cls(chunks.drop("embedding"), vectors, documents, **rest)
 
-    def searchable_docs(self, doc_ids: DocIds = None) -> DataFrame:
-        """Indexed documents, restricted to ``doc_ids``; empty means unrestricted."""
-        indexed = self.documents.filter(F.col("status") == "indexed").select("doc_id")
-        if isinstance(doc_ids, DataFrame):
-            return indexed.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        if doc_ids:
-            return indexed.filter(F.col("doc_id").isin(list(doc_ids)))
-        return indexed
+
+def searchable(table: DataFrame, corpus: Corpus, doc_ids: DocIds) -> DataFrame:
+    """Rows of indexed documents. A table that carries ``status`` (stored corpora)
+    is filtered in place; else the few documents that are not indexed are taken
+    out, so while they are few no text or vector is shuffled for it."""
+    if "status" in table.columns:
+        table = table.filter(F.col("status") == "indexed")
+    else:
+        hidden = corpus.documents.filter(~F.col("status").eqNullSafe("indexed")).select("doc_id")
+        table = table.join(hidden, "doc_id", "left_anti")
+    if isinstance(doc_ids, DataFrame):
+        return table.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return table.filter(F.col("doc_id").isin(list(doc_ids))) if doc_ids else table
 
 
 def _vector_leg(block: QueryBlock, corpus: Corpus, k: int, doc_ids: DocIds) -> DataFrame:
-    pool = corpus.vectors.join(corpus.searchable_docs(doc_ids), "doc_id", "left_semi")
-    return vector_leg(block, pool, k)
+    return vector_leg(block, searchable(corpus.vectors, corpus, doc_ids), k)
 
 
 def _fts_leg(block: QueryBlock, corpus: Corpus, k: int, doc_ids: DocIds) -> DataFrame:
-    lexemes = query_lexemes(block.frame, corpus.analyzer)
-    index = corpus.index
-    if index is None:
-        index = postings_for(corpus.chunks, lexemes, corpus.analyzer)
-    # The document filter meets the scored rows, not the texts: same result,
-    # since ranks are given afterwards, and no text is shuffled for the join.
-    scores = fts_scores(lexemes, index)
-    pool = scores.join(corpus.searchable_docs(doc_ids), "doc_id", "left_semi")
-    return best_per_query(pool, k)
+    if corpus.index is not None:
+        return stored_leg(block, searchable(corpus.index, corpus, doc_ids), k, corpus.analyzer)
+    return fulltext_leg(block, searchable(corpus.chunks, corpus, doc_ids), k, corpus.analyzer)
 
 
 def search_vector(
@@ -139,7 +137,7 @@ def search_hybrid(
     def run(block: QueryBlock) -> DataFrame:
         legs = _block_legs(block, corpus, k * settings.leg_factor, doc_ids)
         top = fused_top_k(legs, k, F.lit(cut))
-        return attach_cosine(top, block, corpus.vectors, k)
+        return attach_cosine(top, block, corpus.vectors)
 
     return per_block(queries, run).select(
         "query_id", "rank", "chunk_id", "rrf_score", F.col("vec_score").alias("score")
@@ -166,25 +164,22 @@ def search(
     if mode not in SEARCHERS:
         raise ValueError(f"unknown search mode: {mode}")
     hits = SEARCHERS[mode](queries, corpus, top_k=top_k, settings=settings, **options)
-    bound = queries.count() * top_k_or_default(top_k, settings)
-    found = with_payload(hits, corpus, bound)
+    found = with_payload(hits, corpus)
     if brand:
         found = found.filter(F.col("metadata.brand") == brand)
     return found
 
 
-def with_payload(hits: DataFrame, corpus: Corpus, max_hits: int) -> DataFrame:
-    """Text, metadata and file name, joined only to the final few rows per query;
-    ``max_hits`` is the known bound of the hit list."""
+def with_payload(hits: DataFrame, corpus: Corpus) -> DataFrame:
+    """Text, metadata and file name of the final few rows per query."""
     payload = [c for c in ("chunk_id", "doc_id", "text", "metadata") if c in corpus.chunks.columns]
-    found = corpus.chunks.select(*payload).join(broadcast_within(hits, max_hits), "chunk_id")
-    filenames = corpus.documents.select("doc_id", "filename")
-    return filenames.join(broadcast_within(found, max_hits), "doc_id")
+    found = corpus.chunks.select(*payload).join(hits, "chunk_id")
+    return found.join(corpus.documents.select("doc_id", "filename"), "doc_id")
 
 
 def chunks_by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     """The chunks of an id list; unknown ids find nothing."""
-    return chunks.join(bounded_broadcast(ids.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    return chunks.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
 
 def chunks_of_documents(corpus: Corpus, doc_ids: DataFrame | list) -> DataFrame:
@@ -197,5 +192,4 @@ def chunks_of_documents(corpus: Corpus, doc_ids: DataFrame | list) -> DataFrame:
         wanted = corpus.documents.join(ids, "doc_id", "left_semi")
     else:
         wanted = corpus.documents.filter(F.col("doc_id").isin(list(doc_ids)))
-    # While the list is short the texts of all other documents are not shuffled.
-    return corpus.chunks.join(bounded_broadcast(wanted.select("doc_id", "filename")), "doc_id")
+    return corpus.chunks.join(wanted.select("doc_id", "filename"), "doc_id")

@@ -8,10 +8,6 @@ from types import ModuleType
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A broadcast side must have at most this many rows; see bounded_broadcast.
-BROADCAST_MAX_ROWS = 100_000
 
 
 def build_session(app_name: str = "loomdex", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,53 +44,21 @@ def ship_with_tasks(*modules: ModuleType) -> None:
         cloudpickle.register_pickle_by_value(module)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint for a side whose row count was checked, else a plain join side.
-
-    The check fetches at most ``max_rows + 1`` rows; a side within the bound is
-    broadcast from what was fetched, so it is computed once. A larger side is
-    returned as it is: the join then shuffles and AQE may split its skewed keys.
-    """
-    fetched = df.limit(max_rows + 1).toArrow()
-    if fetched.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(fetched, df.schema))
-
-
-def broadcast_within(df: DataFrame, row_bound: int) -> DataFrame:
-    """Broadcast hint for a side whose row bound follows from how it was made,
-    for example k rows for each of n queries; no count runs."""
-    return F.broadcast(df) if row_bound <= BROADCAST_MAX_ROWS else df
-
-
-def widen(df: DataFrame) -> DataFrame:
-    """Spread few but expensive rows over all shuffle partitions; a fixed count is
-    kept by AQE, which would otherwise merge them by their small size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the cluster's shared folder.
 
     Used after every stage whose output must not be computed twice (model
-    answers). The folder comes from ``spark.checkpoint.dir``; one is made only
-    where that is unset, which is the case in tests.
+    answers). The folder comes from ``spark.checkpoint.dir``; only a session on one
+    machine (tests) gets one where that is unset.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", "")
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomdex-ckpt-"))
     return df.checkpoint(eager=True)
 
 
-def read_table(spark: SparkSession, base_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """One parquet table. ``spread_by`` names a unique key for tables whose rows
-    are expensive to process: a scan of fewer splits than there are cores (one
-    small file) is hashed over all cores; a scan of many splits is left alone."""
-    table = spark.read.parquet(os.path.join(base_dir, f"{name}.parquet"))
-    if spread_by is not None:
-        cores = spark.sparkContext.defaultParallelism
-        if table.rdd.getNumPartitions() < cores:
-            return table.repartition(cores, spread_by)
-    return table
+def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(base_dir, f"{name}.parquet"))

@@ -1,14 +1,16 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomdex.functions.lexemes import weight_table
 from loomdex.functions.vectors import l2_normalize, stored_precision
 from loomdex.operators import query_batch, sweep
 from loomdex.operators.context import build_context, context_chunk_ids, pack_order
-from loomdex.operators.fulltext import postings, query_lexemes
-from loomdex.operators.nearest import single_query_top_k, vector_leg
+from loomdex.operators.fulltext import fulltext_leg, postings, query_lexemes, stored_leg
+from loomdex.operators.nearest import vector_leg
 from loomdex.operators.ordinals import group_ordinals
 from loomdex.plans.retrieval import (
     Corpus,
@@ -145,9 +147,60 @@ def test_vector_leg_equals_brute_force_with_ties(spark):
     for i, q in enumerate(queries):
         order = sorted(range(300), key=lambda j: (-round(float(vectors[j] @ q), 12), j))
         assert got[i] == [f"c{j:03d}" for j in order[:10]]
-        single = single_query_top_k(frame, q.tolist(), 10, threshold=-100.0)
-        assert [r["chunk_id"] for r in single.collect()] == got[i]
     assert 99 not in got
+    with pytest.raises(Exception, match="expected 4 dimensions, not 3"):
+        odd = spark.createDataFrame([("odd", [1.0, 2.0, 3.0])], "chunk_id STRING, embedding ARRAY<FLOAT>")
+        vector_leg(block, frame.union(odd), 10).collect()
+
+
+def test_fulltext_leg_equals_plain_counting(spark):
+    """Chunks of common and rare words, ties, repeated words, no words at all."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(vocabulary, size=n, p=np.arange(30, 0, -1) / 465)) for n in rng.integers(0, 60, size=300)]
+    texts[7], texts[8] = None, "w1 " * 400
+    chunks = spark.createDataFrame([(f"c{i:03d}", f"d{i}", t) for i, t in enumerate(texts)], "chunk_id STRING, doc_id STRING, text STRING")
+    asked = [" ".join(rng.choice(vocabulary, size=n)) for n in (1, 2, 5, 9)] + ["", "?!", "unknown", None]
+    batch = spark.createDataFrame(list(enumerate(asked)), "query_id INT, query_text STRING")
+    block = next(query_batch.query_blocks(batch))
+    got = {}
+    for r in fulltext_leg(block, chunks.repartition(5), 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
+    table = weight_table()
+    for i, query in enumerate(asked):
+        terms = set((query or "").split()) - {"?!"}
+        scored = []
+        for c, text in enumerate(texts):
+            counts = Counter((text or "").split())
+            hit = [table[min(counts[t], 255) - 1] for t in terms if counts[t]]
+            if hit:
+                scored.append((f"c{c:03d}", round(sum(h / len(terms) for h in hit), 12)))
+        best = sorted(scored, key=lambda x: (-x[1], x[0]))[:10]
+        assert [c for c, _ in got.get(i, [])] == [c for c, _ in best]
+        assert [s for _, s in got.get(i, [])] == pytest.approx([s for _, s in best], abs=1e-11)
+    stored = stored_leg(block, postings(chunks), 10).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["chunk_id"]) for r in stored] == [(i, c) for i in sorted(got) for c, _ in got[i]]
+
+
+def exchanges(frame):
+    """What is shuffled, for a plan in which nothing is broadcast."""
+    spark = frame.sparkSession
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line]
+
+
+def test_legs_shuffle_only_the_best_of_each_task(spark):
+    corpus = make_corpus(spark)
+    stored = Corpus(
+        *(t.withColumn("status", F.lit("indexed")) for t in (corpus.chunks, corpus.vectors)), corpus.documents
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for searcher in (search_vector, search_fts):
+            found = exchanges(searcher(ask(spark, "мощность блендера"), stored))
+            assert len(found) == 1 and "hashpartitioning(query_id" in found[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_many_queries_run_in_blocks(spark, monkeypatch):
@@ -168,7 +221,7 @@ def test_vectors(spark):
 
 def test_query_lexemes_are_distinct(spark):
     rows = query_lexemes(ask(spark, "да да нет", "")).collect()
-    assert sorted((r["lexeme"], r["query_size"]) for r in rows) == [("да", 2), ("нет", 2)]
+    assert sorted(sorted(r["lexemes"]) for r in rows) == [[], ["да", "нет"]]
 
 
 def simulate(vec, fts, threshold, k):
@@ -206,7 +259,7 @@ def test_sweep_matches_a_per_query_simulation(spark):
     pure = {r["threshold"]: r for r in sweep.purity(
         sweep.hybrid_by_threshold(frame, 3, grid), queries, families, 3, grid).collect()}
     assert pure[0.0]["in_family"] == pytest.approx(sum(c in "abd" for c in got[0.0]) / 2)
-    first = sweep.first_foreign(frame, queries, families, 4).collect()
+    first = sweep.first_foreign(frame, queries, families).collect()
     assert [(r["rank"], r["cosine"]) for r in first] == [(3, 0.3)]
     flat = spark.createDataFrame([(t, 4.0 if t < 0.3 else 3.5) for t in sweep.THRESHOLDS], "threshold DOUBLE, in_family DOUBLE")
     assert tuple(sweep.recommend(flat).collect()[0]) == (0.0, 0.25, 0.25)

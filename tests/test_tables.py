@@ -154,7 +154,7 @@ def test_reingest_rewrites_only_touched_slices(spark, tmp_path):
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
-    from loomdex.plans.retrieval import Corpus
+    from loomdex.plans.retrieval import Corpus, searchable
     from loomdex.sources.tables import save_bucketed, save_postings
 
     vectors = spark.createDataFrame([(f"c{i}", f"d{i % 7}", [1.0, float(i)]) for i in range(40)],
@@ -166,7 +166,7 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
     corpus = Corpus(stored_vectors, stored_vectors, stored_documents)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        pool = stored_vectors.join(corpus.searchable_docs(), "doc_id", "left_semi")
+        pool = searchable(stored_vectors, corpus, None)
         plan = pool._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and pool.count() == 40
     finally:
