@@ -73,18 +73,27 @@ def _mask_kind(
     """STRUCT<text, n> after replacing one kind."""
 
     def rebuild(segments: Column, matches: Column, accepted: Column) -> Column:
-        def part(segment: Column, i: Column) -> Column:
-            match, passed = F.get(matches, i - 1), F.get(accepted, i - 1)
-            number = F.size(F.filter(F.slice(accepted, F.lit(1), i), lambda ok: ok))
-            placeholder = F.concat(F.lit(f"[{kind.upper()}_"), number.cast("string"), F.lit("]"))
-            return F.when(i == 0, segment).otherwise(
-                F.concat(F.when(passed, placeholder).otherwise(match), segment)
+        # Every match with the text after it; between two accepted ones lies one
+        # slice, so the number of a placeholder is the number of its slice.
+        pairs = F.arrays_zip(matches.alias("match"), F.slice(segments, F.lit(2), F.size(matches)).alias("after"))
+        at = F.filter(F.sequence(F.lit(0), F.size(matches) - 1), lambda i: F.get(accepted, i))
+
+        def plain(start: Column, stop: Column, rows: Column) -> Column:
+            return F.array_join(F.transform(F.slice(rows, start + 1, stop - start), lambda x: F.concat(x["match"], x["after"])), "")
+
+        def joined(rows: Column, hits: Column) -> Column:
+            def piece(i: Column, k: Column) -> Column:
+                placeholder = F.concat(F.lit(f"[{kind.upper()}_"), (k + 1).cast("string"), F.lit("]"))
+                stop = F.coalesce(F.get(hits, k + 1), F.size(rows))
+                return F.concat(placeholder, F.get(rows, i)["after"], plain(i + 1, stop, rows))
+
+            first = F.coalesce(F.get(hits, F.lit(0)), F.size(rows))
+            head = F.concat(F.get(segments, F.lit(0)), plain(F.lit(0), first, rows))
+            return F.struct(
+                F.concat(head, F.array_join(F.transform(hits, piece), "")).alias("text"), F.size(hits).alias("n")
             )
 
-        return F.struct(
-            F.array_join(F.transform(segments, part), "").alias("text"),
-            F.size(F.filter(accepted, lambda ok: ok)).alias("n"),
-        )
+        return let(pairs, lambda rows: let(at, lambda hits: joined(rows, hits)))
 
     def replace(t: Column) -> Column:
         def with_matches(matches: Column) -> Column:

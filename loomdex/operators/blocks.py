@@ -22,6 +22,9 @@ from loomdex.functions.text import (
 # Header words that mark a two-column parameter table.
 PARAMETER_HEADERS = ("параметр", "характеристика")
 
+# Fixed value: the key column of a specification sheet.
+SHEET_KEY = "Артикул"
+
 
 def text_blocks(pages: DataFrame) -> DataFrame:
     """``(doc_id, page, text)`` -> one text block per paragraph; a heading names
@@ -39,6 +42,28 @@ def text_blocks(pages: DataFrame) -> DataFrame:
     )
 
 
+def sheet_lines(rows: Column) -> Column:
+    """ARRAY of texts, one for each row below the header: ``key: value; ...`` of the
+    filled cells under a named column (of columns with the same name the last filled
+    one counts, at the first one's place), opened by the key column's value."""
+
+    def line(header: Column, row: Column) -> Column:
+        at = F.filter(
+            F.sequence(F.lit(0), F.least(F.size(header), F.size(row)) - 1),
+            lambda i: (F.get(header, i) != "") & (F.get(row, i) != ""),
+        )
+        names = F.array_distinct(F.transform(at, lambda i: F.get(header, i)))
+
+        def value(name: Column) -> Column:
+            return F.get(row, F.array_max(F.filter(at, lambda i: F.get(header, i) == name)))
+
+        pairs = F.array_join(F.transform(names, lambda n: F.concat(n, F.lit(": "), value(n))), "; ")
+        article = F.when(F.array_contains(names, SHEET_KEY), F.concat(value(F.lit(SHEET_KEY)), F.lit(": ")))
+        return F.concat(F.coalesce(article, F.lit("")), pairs)
+
+    return F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda row: line(F.get(rows, F.lit(0)), row))
+
+
 def table_text(rows: Column) -> Column:
     """Table rows (ARRAY<ARRAY<STRING>>) as lines; the first row is the header.
 

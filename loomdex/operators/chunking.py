@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,44 +19,48 @@ from loomdex.settings import DEFAULTS, Settings
 HEADER_MARK = "[шапка] "
 
 
+def window_spans(length: int, spaces: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Spans of the windows of a text. An inner window ends at the last of its
+    ``spaces`` (sorted positions) that lies in its second half, if there is one,
+    and the next window reaches ``overlap`` back from there."""
+    first = 0
+    while first + size < length:
+        at = bisect_left(spaces, first + size) - 1
+        least = first + max(size // 2, 1)
+        last = spaces[at] if at >= 0 and spaces[at] >= least else first + size
+        yield first, last
+        first = last - overlap
+    yield first, length
+
+
 def text_windows(text: str, size: int, overlap: int) -> list[str]:
-    """Windows of ``size`` characters; an inner window ends at the last space of
-    its second half, and the next one starts ``overlap`` before that end."""
+    """Overlapping windows of ``size`` characters, trimmed; a text that fits stays whole."""
     if len(text) <= size:
         return [text] if text else []
-    pieces, start = [], 0
-    while True:
-        end = start + size
-        if end >= len(text):
-            pieces.append(text[start:].strip())
-            break
-        space = text.rfind(" ", start + size // 2, end)
-        end = space if space > start else end
-        pieces.append(text[start:end].strip())
-        start = end - overlap
-    return [p for p in pieces if p]
+    spaces = [found.start() for found in re.finditer(" ", text)]
+    spans = window_spans(len(text), spaces, size, overlap)
+    return [piece for first, last in spans if (piece := text[first:last].strip())]
 
 
 def table_pieces(text: str, size: int) -> list[str]:
     """Whole lines packed up to ``size`` characters (line breaks not counted).
 
     A piece that would follow one not starting with the first line's key is
-    opened with a marked copy of the first line.
+    opened with a marked copy of the first line, which counts as that line. Where
+    a piece ends is looked up in the prefix sums of the line lengths.
     """
-    if not text:
-        return []
-    lines = text.split("\n")
-    key = lines[0].split(":")[0]
-    pieces: list[list[str]] = [[]]
-    used = 0
-    for line in lines:
-        if pieces[-1] and used + len(line) > size:
-            repeat = bool(lines[0]) and not pieces[-1][0].startswith(key)
-            pieces.append([HEADER_MARK + lines[0]] if repeat else [])
-            used = len(lines[0]) if repeat else 0
-        pieces[-1].append(line)
-        used += len(line)
-    return ["\n".join(p) for p in pieces]
+    lines = text.split("\n") if text else []
+    upto = list(accumulate(map(len, lines), initial=0))
+    pieces: list[str] = []
+    done = 0
+    while done < len(lines):
+        key = lines[0].partition(":")[0]
+        opened = bool(pieces and lines[0]) and not pieces[-1].startswith(key)
+        room = size - len(lines[0]) * opened
+        stop = max(done + 1, bisect_right(upto, upto[done] + room) - 1)
+        pieces.append("\n".join([HEADER_MARK + lines[0]] * opened + lines[done:stop]))
+        done = stop
+    return pieces
 
 
 def cut_blocks(blocks: DataFrame, size: int, overlap: int) -> DataFrame:

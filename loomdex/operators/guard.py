@@ -26,20 +26,35 @@ def screen_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
+def fragments(chunks: DataFrame, limit: int = DEFAULTS.detector_char_limit) -> DataFrame:
+    """``(chunk_id, start, fragment_id, text)``: the whole text of every chunk in
+    windows of ``limit`` characters that overlap by a tenth."""
+    overlap = limit // 10
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length("text") - overlap, F.lit(1)), F.lit(limit - overlap))
+    rows = chunks.select("chunk_id", "text", F.explode(starts).alias("start"))
+    name = F.concat_ws("#", F.col("chunk_id").cast("string"), F.col("start").cast("string"))
+    return rows.select("chunk_id", "start", name.alias("fragment_id"), F.substring("text", F.col("start"), F.lit(limit)).alias("text"))
+
+
 def confirm_suspicious(screened: DataFrame, detector: Detector | None = None) -> DataFrame:
     """Adds ``blocked`` and settles ``reason``.
 
-    ``detector`` takes (chunk_id, text) of suspicious chunks only and returns
-    (chunk_id, injection BOOLEAN, detail STRING). It runs on a branch of its own,
-    so clean chunks never reach the model. No verdict means blocked.
+    ``detector`` takes (fragment_id, text), the windows of suspicious chunks only,
+    and returns (fragment_id, injection BOOLEAN, detail STRING). It runs on a branch
+    of its own, so clean chunks never reach the model. A chunk is blocked if any of
+    its windows is, and a window without a verdict is.
     """
     if detector is None:
         return screened.withColumn("blocked", F.col("reason").isNotNull())
-    suspicious = screened.filter(F.col("reason").isNotNull()).select(
-        "chunk_id", F.substring("text", 1, DEFAULTS.detector_char_limit).alias("text")
+    suspicious = screened.filter(F.col("reason").isNotNull()).select("chunk_id", "text")
+    asked = fragments(suspicious.dropDuplicates(["chunk_id"]))
+    verdicts = detector(asked.select("fragment_id", "text")).select("fragment_id", "injection", "detail")
+    yes = F.coalesce("injection", F.lit(True))
+    found = asked.select("chunk_id", "start", "fragment_id").join(verdicts, "fragment_id", "left")
+    settled = found.groupBy("chunk_id").agg(
+        F.max(yes).alias("injection"), F.min_by("detail", F.struct(~yes, F.col("start"))).alias("detail")
     )
-    verdicts = detector(suspicious.dropDuplicates(["chunk_id"]))
-    joined = screened.join(verdicts.select("chunk_id", "injection", "detail"), "chunk_id", "left")
+    joined = screened.join(settled, "chunk_id", "left")
     suspect = F.col("reason").isNotNull()
     return (
         joined.withColumn("blocked", suspect & F.coalesce("injection", F.lit(True)))

@@ -97,7 +97,7 @@ class CardFlow:
     def detector(self, suspicious: DataFrame) -> DataFrame:
         """Second opinion on suspicious chunks; an unreadable verdict counts as none."""
         prompts = suspicious.select(
-            F.col("chunk_id").alias("job_id"), F.concat(F.lit("FRAGMENT:\n"), "text").alias("prompt")
+            F.col("fragment_id").alias("job_id"), F.concat(F.lit("FRAGMENT:\n"), "text").alias("prompt")
         )
         stage = models.ask(
             prompts,
@@ -112,8 +112,8 @@ class CardFlow:
         )
         self._calls.append(calls.withColumn("job_id", F.lit(None).cast("string")))
         verdict = F.from_json(repaired_json(F.col("answer")), INJECTION_VERDICT)
-        return stage.select(F.col("job_id").alias("chunk_id"), verdict.alias("v")).select(
-            "chunk_id", F.col("v.injection").alias("injection"), F.col("v.reason").alias("detail")
+        return stage.select(F.col("job_id").alias("fragment_id"), verdict.alias("v")).select(
+            "fragment_id", F.col("v.injection").alias("injection"), F.col("v.reason").alias("detail")
         )
 
     def _drafts(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.functions.text import heading, paragraphs
-from loomdex.operators.blocks import normalize_blocks, table_text
+from loomdex.operators.blocks import normalize_blocks, sheet_lines, table_text
 from loomdex.operators.chunking import chunk_blocks
 from loomdex.operators.state import register_uploads
 from loomdex.plans.embedding import Embedder, embed_texts
 from loomdex.session import durable
 from loomdex.settings import DEFAULTS, Settings
-from loomdex.sources.parsers import NO_TEXT_LAYER, PARSERS, NoTextLayer
+from loomdex.sources.parsers import PARSERS, Block, NoTextLayer
 
 RAW_BLOCKS = (
     "doc_id STRING, position INT, kind STRING, content STRING, page INT, section STRING, "
@@ -31,7 +31,7 @@ class Ingested:
     vectors: DataFrame | None
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(files: DataFrame, parsers: Mapping[str, Callable[[bytes], list[Block]]] = PARSERS) -> DataFrame:
     """``(doc_id, kind, content BYTES)`` -> raw blocks, one file at a time.
 
     A file that cannot be parsed yields one row with the error and no block; it
@@ -42,12 +42,14 @@ def parse_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, kind, content in batch.itertuples(index=False):
                 try:
-                    blocks = PARSERS[kind](bytes(content))
+                    if kind not in parsers:
+                        raise ValueError(f"no parser for {kind}")
+                    blocks = parsers[kind](bytes(content))
                     rows = [(doc_id, i, *block, None) for i, block in enumerate(blocks)]
                 except NoTextLayer as exc:
                     rows = [(doc_id, None, None, None, None, None, None, str(exc))]
                 except Exception as exc:  # noqa: BLE001 - reported per document
-                    reason = f"parse: {type(exc).__name__}: {exc}"[: DEFAULTS.error_char_limit]
+                    reason = f"parse: {type(exc).__name__}: {exc}"
                     rows = [(doc_id, None, None, None, None, None, None, reason)]
                 names = ["doc_id", "position", "kind", "content", "page", "section", "rows", "error"]
                 frame = pd.DataFrame(rows, columns=names)
@@ -65,7 +67,11 @@ def to_blocks(raw: DataFrame) -> DataFrame:
     """
     good = raw.filter(F.col("error").isNull())
     single = F.when(F.col("rows").isNotNull(), table_text(F.col("rows"))).otherwise(F.col("content"))
-    parts = F.when(F.col("kind") == "page", paragraphs(F.col("content"))).otherwise(F.array(single))
+    parts = (
+        F.when(F.col("kind") == "page", paragraphs(F.col("content")))
+        .when(F.col("kind") == "sheet", sheet_lines(F.col("rows")))
+        .otherwise(F.array(single))
+    )
     exploded = good.select(
         "doc_id", "position", "kind", "page", "section", F.posexplode(parts).alias("part", "content")
     )
@@ -73,7 +79,7 @@ def to_blocks(raw: DataFrame) -> DataFrame:
     return exploded.select(
         "doc_id",
         F.struct("position", "part").alias("block_no"),
-        F.when(is_page, "text").otherwise(F.col("kind")).alias("kind"),
+        F.when(is_page, "text").when(F.col("kind") == "sheet", "table").otherwise(F.col("kind")).alias("kind"),
         "content",
         "page",
         F.when(is_page, heading(F.col("content"))).otherwise(F.col("section")).alias("section"),

@@ -8,6 +8,7 @@ lost task must not be asked twice for rows that are already used.
 from __future__ import annotations
 
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -117,6 +118,27 @@ def retry_delay(attempt: int) -> float:
     return min(0.5 * 2**attempt, 8.0) * (1 + random.random() / 4)
 
 
+def within(seconds: float, call, *args):
+    """The result of a call, or TimeoutError when it takes longer, whatever the
+    client does with the limit it is told. A late call runs out in its own thread."""
+    outcome: dict = {}
+
+    def run() -> None:
+        try:
+            outcome["value"] = call(*args)
+        except BaseException as exc:  # noqa: BLE001 - raised again below
+            outcome["error"] = exc
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        raise TimeoutError(f"no answer within {seconds} s")
+    if "error" in outcome:
+        raise outcome["error"]
+    return outcome["value"]
+
+
 def call_model(
     client: ModelClient, agent: Agent, prompt: str, settings: Settings, sleep=time.sleep
 ) -> tuple:
@@ -126,12 +148,12 @@ def call_model(
         attempt += 1
         started = time.monotonic()
         try:
-            done = client.complete(agent, prompt, settings.model_timeout_s)
+            done = within(settings.model_timeout_s, client.complete, agent, prompt, settings.model_timeout_s)
         except Exception as exc:  # noqa: BLE001 - becomes an accounted error row
             if attempt < settings.model_max_attempts and is_retryable(exc):
                 sleep(retry_delay(attempt))
                 continue
-            reason = f"{type(exc).__name__}: {exc}"[: settings.call_error_char_limit]
+            reason = f"{type(exc).__name__}: {exc}"
             return None, reason, None, None, int((time.monotonic() - started) * 1000)
         latency = int((time.monotonic() - started) * 1000)
         return done.text, None, done.prompt_tokens, done.completion_tokens, latency

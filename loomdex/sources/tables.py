@@ -25,20 +25,29 @@ def save_postings(index: DataFrame, path: str, files: int) -> None:
     clustered.write.mode("overwrite").parquet(path)
 
 
-def replace_documents(df: DataFrame, path: str, slices: int, key: str = "doc_id") -> None:
+def replace_documents(df: DataFrame, path: str, slices: int, key: str = "doc_id", replaced: DataFrame | None = None) -> None:
     """Idempotent re-ingest: rewrite exactly the slices that ``df`` touches.
 
-    ``df`` must hold all rows of those slices (see ``merge_slices``). Choose the
-    number of slices so that none is left without a document: a slice that
-    becomes empty is not in ``df`` and so not rewritten.
+    ``df`` must hold all rows of those slices (see ``merge_slices``). ``replaced``
+    are the ids given to ``merge_slices``: a slice of theirs that has no document
+    left is not in ``df``, and its folder goes.
     """
-    sliced = df.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(slices)))
+    slice_of = F.pmod(F.xxhash64(key), F.lit(slices)).alias("slice")
+    sliced = df.withColumn("slice", slice_of)
+    emptied = []
+    if replaced is not None:
+        # At most ``slices`` numbers.
+        emptied = [r["slice"] for r in replaced.select(slice_of).distinct().join(sliced.select("slice").distinct(), "slice", "left_anti").collect()]
     (
         sliced.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("slice")
         .parquet(path)
     )
+    spark = df.sparkSession
+    for number in emptied:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/slice={number}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def merge_slices(stored: DataFrame, fresh: DataFrame, replaced: DataFrame, slices: int, key: str = "doc_id") -> DataFrame:

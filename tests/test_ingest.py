@@ -7,7 +7,9 @@ from loomdex.plans.ingest import ingest
 from loomdex.plans.models import Agent, Completion, ModelError, call_model, is_retryable
 from loomdex.settings import Settings
 from loomdex.sources.files import classify_uploads, golden_records, scan_files
-from loomdex.sources.parsers import parse_docx, parse_xlsx
+from loomdex.operators.blocks import sheet_lines
+from loomdex.plans.ingest import parse_files
+from loomdex.sources.parsers import NoTextLayer, page_blocks, parse_docx, parse_xlsx
 from loomdex.streaming.uploads import start_upload_stream
 
 
@@ -36,12 +38,27 @@ def test_docx_merged_cells():
     assert _table_rows(ElementTree.fromstring(xml)) == [["wide", "wide", "c"], ["a", "b", "c"]]
 
 
-def test_xlsx_rows():
+def test_xlsx_rows(spark):
+    def lines(blocks):
+        rows = spark.createDataFrame([(b[4],) for b in blocks], "rows ARRAY<ARRAY<STRING>>")
+        return [text for r in rows.select(sheet_lines(F.col("rows"))).collect() for text in r[0]]
+
     blocks = parse_xlsx(SPEC)
-    assert [b[1] for b in blocks] == ["KTL-22: Артикул: KTL-22; Мощность: 2200", "Мощность: 1.5; Цвет: белый"]
+    assert lines(blocks) == ["KTL-22: Артикул: KTL-22; Мощность: 2200", "Мощность: 1.5; Цвет: белый"]
     assert {b[3] for b in blocks} == {"Спецификация"}
-    assert [b[1] for b in parse_xlsx(SPEC, "Other")] == ["x: y"]
+    assert lines(parse_xlsx(SPEC, "Other")) == ["x: y"]
     assert parse_xlsx(xlsx({"E": [[None]]})) == []
+    assert lines([(0, 0, 0, 0, [["a", "b", "a", ""], ["1", "", "2", "3"], ["", "x"], [""]])]) == ["a: 2", "b: x", ""]
+
+
+def test_page_blocks(spark):
+    pages = [("first page", []), (" ", [[["a", None], ["1", " 2 "]]])]
+    assert page_blocks(pages) == [("page", "first page", 1, "", None), ("table", "", 2, "", [["a", ""], ["1", "2"]])]
+    with pytest.raises(NoTextLayer):
+        page_blocks([("", [])])
+    files = spark.createDataFrame([("d", "pdf", b"x"), ("e", "odd", b"x")], "doc_id STRING, kind STRING, content BINARY")
+    raw = parse_files(files, {"pdf": lambda content: page_blocks(pages)}).collect()
+    assert [(r["doc_id"], r["kind"]) for r in raw] == [("d", "page"), ("d", "table"), ("e", None)]
 
 
 def upload(spark, rows):
@@ -171,4 +188,4 @@ def test_model_retries():
     assert run(ModelError("bad", 400))[1] == "ModelError: bad"
     assert len(waits) == 4
     assert [is_retryable(e) for e in (ModelError("", 500), ModelError(""), ValueError())] == [True, True, False]
-    assert len(run(ModelError("y" * 900, 400))[1]) == 500
+    assert len(run(ModelError("y" * 900, 400))[1]) == 912

@@ -151,6 +151,12 @@ def test_reingest_rewrites_only_touched_slices(spark, tmp_path):
     replace_documents(merged, path, 4)
     rows = sorted((r["doc_id"], r["v"]) for r in spark.read.parquet(path).collect())
     assert rows == sorted([(f"d{i}", 0) for i in range(20) if i != 3] + [("d3", 1), ("d3", 2)])
+    # Deleting every document of a slice leaves nothing of it.
+    gone = spark.read.parquet(path).filter("slice = 1").select("doc_id").distinct()
+    names = {r["doc_id"] for r in gone.collect()}
+    left = durable(merge_slices(spark.read.parquet(path), fresh.limit(0), gone, 4))
+    replace_documents(left, path, 4, replaced=spark.createDataFrame([(n,) for n in names], "doc_id STRING"))
+    assert {r["doc_id"] for r in spark.read.parquet(path).collect()} == {f"d{i}" for i in range(20)} - names
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
