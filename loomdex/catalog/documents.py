@@ -330,7 +330,7 @@ def _ranked_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = document_table(spark, sf_dir).select("doc_id", "filename")
     return chunks.join(names, "doc_id").select(
         F.col("metadata.section").alias("job_id"),
-        (F.col("doc_id") * 100_000 + F.col("ordinal")).alias("rank"),
+        F.struct("doc_id", "ordinal").alias("rank"),
         "chunk_id",
         "filename",
         "metadata",
@@ -342,7 +342,7 @@ _BODY_SQL = (
     "'[' || chunk_id || ' | ' || filename || ' | стр. 1 | ' || section || ']' || chr(10) || text"
 )
 _PACK_SQL = (
-    f"bodies AS (SELECT section AS job_id, doc_id * 100000 + ordinal AS rank, chunk_id, {_BODY_SQL} AS body FROM doc_chunks), "
+    f"bodies AS (SELECT section AS job_id, (doc_id, ordinal) AS rank, chunk_id, {_BODY_SQL} AS body FROM doc_chunks), "
     "running AS (SELECT *, sum(length(body)) OVER w AS running_chars, row_number() OVER w AS position FROM bodies "
     "WINDOW w AS (PARTITION BY job_id ORDER BY rank, chunk_id)), "
     "packed AS (SELECT * FROM running WHERE running_chars <= 6000 OR position = 1)"
@@ -364,6 +364,23 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"WITH {CHUNK_CTES}, {_PACK_SQL} SELECT job_id, chunk_id, position, running_chars::BIGINT AS running_chars FROM packed"
+)
+def context_first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk comes again behind all others of its job and counts once."""
+    bodies = _ranked_bodies(spark, sf_dir).select(
+        "job_id", "chunk_id", "rank", F.char_length(chunk_body()).alias("body_chars")
+    )
+    again = F.struct((F.col("rank.doc_id") + (1 << 40)).alias("doc_id"), F.col("rank.ordinal").alias("ordinal"))
+    return pack_order(bodies.union(bodies.withColumn("rank", again))).select(
+        "job_id",
+        "chunk_id",
+        F.col("position").cast("long").alias("position"),
+        F.col("running_chars").cast("long").alias("running_chars"),
+    )
+
+
 @query(
     f"WITH {CHUNK_CTES}, {_PACK_SQL}, joined AS (SELECT job_id, string_agg(body, chr(10) || chr(10) ORDER BY position) AS context "
     "FROM packed GROUP BY job_id) SELECT job_id, md5(context) AS context_md5, length(context) AS length, "

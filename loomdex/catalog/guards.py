@@ -196,6 +196,28 @@ def blocked_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.blocked_chunks(guard.guard_context(transcript_chunks(spark, sf_dir)))
 
 
+@query(
+    f"WITH {_TURNS_SQL},"
+    + mask_sql("src")
+    + f""", screened AS (SELECT *, {REASON_SQL} AS reason FROM masked)
+    SELECT job_id, rank, reason IS NOT NULL AND job_id % 3 <> 1 AS blocked,
+      CASE WHEN reason IS NOT NULL AND job_id % 3 < 2 THEN 'verdict ' || (job_id % 3 = 0) ELSE reason END AS reason
+    FROM screened"""
+)
+def confirmed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of verdicts as the detector: a third of the conversations has a yes, a
+    third a no and a third has none, which blocks."""
+
+    def verdicts(asked: DataFrame) -> DataFrame:
+        conversation = F.split_part("fragment_id", F.lit("-"), F.lit(1)).cast("long")
+        yes = conversation % 3 == 0
+        detail = F.concat(F.lit("verdict "), yes.cast("string"))
+        return asked.filter(conversation % 3 < 2).select("fragment_id", yes.alias("injection"), detail.alias("detail"))
+
+    confirmed = guard.guard_context(transcript_chunks(spark, sf_dir), verdicts)
+    return confirmed.select("job_id", "rank", "blocked", "reason")
+
+
 @query(
     f"WITH src AS (SELECT conv_id, turn, text AS raw, to_json(struct_pack(title := role, description := text))::VARCHAR AS text FROM conversations),"
     + mask_sql("src")

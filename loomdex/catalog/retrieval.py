@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,12 @@ from loomdex.catalog.base import (
 )
 from loomdex.functions.vectors import l2_normalize, stored_precision
 from loomdex.operators import sweep
+from loomdex.operators.fulltext import postings
+from loomdex.operators.state import upsert_vectors
 from loomdex.plans import retrieval
 from loomdex.plans.retrieval import Corpus
-from loomdex.session import read_table
+from loomdex.session import read_table, scratch_folder
+from loomdex.sources.tables import save_postings
 
 TOP_K = 5
 THRESHOLD = 0.33
@@ -102,6 +107,32 @@ def fulltext_document_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    with_ctes(NO_FILTER, QUERY_SQL, FTS_LEG_SQL.format(depth=TOP_K))
+    + " SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM fleg"
+)
+def fulltext_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search out of postings that are stored first, with the status of
+    their documents, clustered by lexeme."""
+    queries, live = _inputs(spark, sf_dir)
+    index = postings(live.chunks).join(live.documents.select("doc_id", "status"), "doc_id")
+    path = scratch_folder(spark, "postings")
+    save_postings(index, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = replace(live, index=spark.read.parquet(path))
+    return _rounded(retrieval.search_fts(queries, stored, top_k=TOP_K))
+
+
+@query(
+    with_ctes(NO_FILTER, QUERY_SQL, FTS_LEG_SQL.format(depth=TOP_K))
+    + " SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM fleg WHERE query_id % 2 = 0"
+)
+def fulltext_wordless_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other query has no word and finds nothing."""
+    queries, live = _inputs(spark, sf_dir)
+    wordless = F.when(F.col("query_id") % 2 == 0, F.col("query_text")).otherwise("?! ...")
+    return _rounded(retrieval.search_fts(queries.withColumn("query_text", wordless), live, top_k=TOP_K))
+
+
 @query()
 def fulltext_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stemming analyzer has no SQL counterpart; checked on fixtures."""
@@ -324,6 +355,21 @@ def embedding_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """SELECT coalesce(e.vec_id, d.doc_id) AS chunk_id,
+        round(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE)) * CASE WHEN d.doc_id % 3 = 0 THEN -1 ELSE 1 END, 4) AS checksum
+    FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id
+    UNION ALL SELECT -1 - vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) FROM embeddings WHERE vec_id % 5 = 0"""
+)
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the stored vectors is replaced, and vectors of new chunks come in."""
+    vectors = corpus(spark, sf_dir).vectors.select("chunk_id", "embedding")
+    turned = vectors.filter("chunk_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    fresh = vectors.filter("chunk_id % 5 = 0").withColumn("chunk_id", -1 - F.col("chunk_id"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return upsert_vectors(vectors, turned.union(fresh)).select("chunk_id", F.round(total, 4).alias("checksum"))
+
+
 @query(
     """SELECT vec_id AS chunk_id,
         round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm,

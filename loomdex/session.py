@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from types import ModuleType
 
 from pyspark import cloudpickle
@@ -44,19 +45,28 @@ def ship_with_tasks(*modules: ModuleType) -> None:
         cloudpickle.register_pickle_by_value(module)
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the cluster's shared one, ``spark.checkpoint.dir``; only a
+    session on one machine (tests) gets one where that is unset."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not shared:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="loomdex-ckpt-"))
+        shared = context.getCheckpointDir()
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the cluster's shared folder.
 
     Used after every stage whose output must not be computed twice (model
-    answers). The folder comes from ``spark.checkpoint.dir``; only a session on one
-    machine (tests) gets one where that is unset.
+    answers).
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        if not shared and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomdex-ckpt-"))
+        context.setCheckpointDir(os.path.dirname(scratch_folder(df.sparkSession, "checkpoint")))
     return df.checkpoint(eager=True)
 
 
