@@ -37,7 +37,7 @@ class Corpus:
     vectors: DataFrame
     documents: DataFrame
     index: DataFrame | None = None
-    analyzer: str = "simple"
+    analyzer: str = "russian"
 
     @classmethod
     def from_chunk_table(cls, chunks: DataFrame, documents: DataFrame, **rest) -> Corpus:
