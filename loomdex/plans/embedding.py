@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -11,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomdex.functions.text import WORD
-
 # Task prefixes of the embedding model, and texts per call.
 QUERY_PREFIX = "task: search result | query: "
 DOCUMENT_PREFIX = "task: search result | title: none | text: "
@@ -29,25 +26,6 @@ class EmbeddingError(RuntimeError):
     pass
 
 
-class HashEmbedder:
-    """Deterministic stand-in: signed word hashes. For tests and dry runs."""
-
-    def __init__(self, dim: int = 64):
-        self.dim = dim
-
-    def embed(self, texts: list[str]) -> list[tuple[int, list[float]]]:
-        import regex
-
-        vectors = []
-        for index, text in enumerate(texts):
-            vector = np.zeros(self.dim)
-            for word in regex.findall(rf"[{WORD}]+", text.lower()):
-                digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
-                vector[int.from_bytes(digest[:4], "big") % self.dim] += 1 if digest[4] & 1 else -1
-            vectors.append((index, vector.tolist()))
-        return vectors
-
-
 def embed_batch(embedder: Embedder, texts: list[str], prefix: str) -> list[list[float]]:
     """Unit vectors in input order. A wrong number of answers is an error; a zero
     vector stays as the model gave it."""

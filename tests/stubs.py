@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from dataclasses import dataclass
 
+import numpy as np
+
 from loomdex.plans.models import Completion, ModelError
 
 
@@ -73,3 +76,20 @@ class StubClient:
 
 def make_client(agent):
     return StubClient(agent.name)
+
+
+class HashEmbedder:
+    """Deterministic stand-in: signed word hashes. For tests and dry runs."""
+
+    def __init__(self, dim: int = 64):
+        self.dim = dim
+
+    def embed(self, texts: list[str]) -> list[tuple[int, list[float]]]:
+        vectors = []
+        for index, text in enumerate(texts):
+            vector = np.zeros(self.dim)
+            for word in re.findall(r"\w+", text.lower()):
+                digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
+                vector[int.from_bytes(digest[:4], "big") % self.dim] += 1 if digest[4] & 1 else -1
+            vectors.append((index, vector.tolist()))
+        return vectors

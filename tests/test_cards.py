@@ -1,10 +1,10 @@
 from pyspark.sql import functions as F
 
 from loomdex.plans.cards import CardFlow
-from loomdex.plans.embedding import HashEmbedder, embed_texts
+from loomdex.plans.embedding import embed_texts
 from loomdex.plans.retrieval import Corpus
 from loomdex.schemas import CHUNK_METADATA
-from stubs import make_client
+from stubs import HashEmbedder, make_client
 
 TEXTS = {
     "ok": ["Блендер МиксерПро 800. Мощность: 800 Вт.", "Гарантия 24 месяца."],

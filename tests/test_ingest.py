@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from files import OFFER, SPEC, xlsx
-from loomdex.plans.embedding import DOCUMENT_PREFIX, EmbeddingError, HashEmbedder, embed_batch, embed_texts
+from loomdex.plans.embedding import DOCUMENT_PREFIX, EmbeddingError, embed_batch, embed_texts
 from loomdex.plans.ingest import ingest
 from loomdex.plans.models import Agent, Completion, ModelError, call_model, is_retryable
 from loomdex.settings import Settings
@@ -11,6 +11,7 @@ from loomdex.operators.blocks import sheet_lines
 from loomdex.plans.ingest import parse_files
 from loomdex.sources.parsers import NoTextLayer, page_blocks, parse_docx, parse_xlsx
 from loomdex.streaming.uploads import start_upload_stream
+from stubs import HashEmbedder
 
 
 def test_docx_tables_come_last_and_share_the_last_section():
