@@ -1,22 +1,23 @@
 """N-gram Jaccard join with a token-group matrix.
 
-1. Every text becomes a set of hashed word shingles. Equal sets are one set.
-2. Sets are partitioned into groups of similar ones: those with the same least
-   shingle hash (a min-hash), in blocks of at most about ``BLOCK`` sets.
-3. The matrix has a row for every signature (see ``shingles.Signatures``: two sets
-   over the threshold share one) and the blocks that hold it. A set and a block
-   that share a signature are a candidate; each pair of blocks is seen from one side.
-4. For a candidate, the set's overlap with the block's token union bounds its
-   overlap with every member. Only where the bound reaches ``t * |set|`` is the block
-   opened and each member's overlap counted.
-5. Links become components (``components``) and degrees; copies count in degrees
+1. Every distinct text becomes a set of hashed word shingles; the number of texts that
+   have each shingle is counted (hashes are shuffled, texts stay where they are).
+2. A set of n shingles needs ``ceil(t * n)`` of them in a partner. Where so many are
+   in no other text that this is impossible, it has no link. Of the others, the
+   ``n - ceil(t * n) + 1`` rarest shingles must hold one of any partner's (the prefix
+   filter); sets that share one are candidates, joined through one of them, and
+   components of candidates are the clusters within which links can be.
+3. Clusters are cut into groups (blocks) of similar sets, by their least hash, of
+   about ``GROUP_BYTES`` of shingles. The token-group matrix keeps each group's token union; a set's
+   overlap with the union bounds its overlap with every member. Only where the bound
+   reaches ``ceil(t * n)`` is the group opened and each member's overlap counted.
+4. Links become components (``components``) and degrees; copies count in degrees
    without being expanded.
 
-Shuffles carry hashes: of a text only its signatures, packed by bucket, and for sets
-with a partner (not for the rest of the corpus) the tokens. A block's queries are
-dealt over ``QUERIES`` at a time, so a hot block is no single task.
-Unlinked near copies of one text cost a comparison for each pair in step 4; there
-are no rows for them.
+Each pair of groups is looked at from one side. The sets that query a group are dealt
+out by ``QUERY_BYTES`` at a time, so a hot group is no single task. Near copies of one text
+that are *not* over the threshold cost a comparison for each pair within their
+cluster; there are no rows for pairs.
 
 Cases: null text and texts without words have the empty set and are linked with
 nothing. Rows that repeat an id are copies of a document and share its component. A
@@ -35,19 +36,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import maybe_broadcast, pieces, staged, with_hash
+from loomdex.llm.common import staged
 from loomdex.llm.components import Forest, connected_components
-from loomdex.llm.shingles import Shingler, Signatures, set_id
+from loomdex.llm.shingles import Shingler, set_id
+from loomdex.llm.text_blocks import KEY, answered, bucket_bits, named, parts_of, unpacked, write_blocks
 
-BLOCK = 256
-QUERIES = 1024
-BUCKET_BYTES = 8 << 20
+#: Bytes of shingle hashes of a group of sets, and of the sets that query it at once.
+GROUP_BYTES = 2 << 20
+QUERY_BYTES = 8 << 20
+#: Counts of texts with a shingle are exact below this.
+MANY = 255
 
 
 @dataclass(frozen=True)
 class JaccardSettings:
     width: int = 5
     threshold: Fraction = Fraction(8, 10)
+    block_bytes: int = 2 << 20
+    bucket_bytes: int = 16 << 20
 
 
 def binaries(arrays: list[np.ndarray]) -> pa.Array:
@@ -58,109 +64,90 @@ def numbers(column: pa.Array, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
-def sketched(settings: JaccardSettings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """doc_id, text_hash, size, set_id, least hash and signatures of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signatures = Shingler(settings.width), Signatures(settings.threshold)
-        seen: set[int] = set()
-        for batch in pieces(batches, "text"):
-            sizes, sets, least, found = [], [], [], []
-            for tokens in shingler.sets(batch.column("text")):
-                key = set_id(tokens)
-                # A set's signatures are needed once in a task.
-                fresh = len(tokens) > 0 and key not in seen
-                seen.add(key)
-                sizes.append(len(tokens))
-                sets.append(key if len(tokens) else None)
-                least.append(int(tokens[:1].view(np.int64)[0]) if len(tokens) else None)
-                found.append(signatures.of(tokens) if fresh else np.zeros(0, np.uint64))
-            if len(seen) > 1_000_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(least, pa.int64()), binaries(found)],
-                ["doc_id", "text_hash", "size", "set_id", "least", "signatures"],
-            )
-
-    return run
+def block_tokens(shingler: Shingler, offsets: np.ndarray, body: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The sets of a block's texts, all their shingles in order, and in how many of
+    the texts each is."""
+    sets = list(shingler.of(body, offsets))
+    whole, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+    return sets, whole, np.minimum(counts, MANY).astype(np.uint8)
 
 
-def block_number(least: np.ndarray, sets: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """The block of a set: its least hash, and a part of it where that is a large group."""
-    return least ^ ((sets.view(np.uint64) % parts.astype(np.uint64)).view(np.int64) * np.int64(0x1E3779B97F4A7C15))
-
-
-def packed(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(bucket, signatures, sets, blocks), packed for each bucket of signatures."""
+def shingle_counts(settings: JaccardSettings, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, block, hashes, counts), packed for each bucket of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(settings.width)
         for batch in batches:
-            found = numbers(batch.column("signatures"), np.uint64)
-            counts = [len(x) for x in found]
-            if not sum(counts):
-                continue
-            signatures = np.concatenate(found)
-            sets, least, parts = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("set_id", "least", "parts"))
-            rows = [np.repeat(sets, counts), np.repeat(block_number(least, sets, parts), counts)]
-            bucket = (signatures >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[starts[1:], len(bucket)]
-            ordered = [x[order] for x in (signatures, *rows)]
-            columns = [[x[s:e] for s, e in zip(starts, ends, strict=True)] for x in ordered]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[starts], pa.int32()), *(binaries(c) for c in columns)], ["bucket", "signatures", "sets", "blocks"]
-            )
+            for row in range(batch.num_rows):
+                _, offsets, body = unpacked(batch, row)
+                _, whole, counts = block_tokens(shingler, offsets, body)
+                edges = parts_of(whole, bits)
+                filled = np.flatnonzero(np.diff(edges))
+                cut = [[x[edges[b] : edges[b + 1]] for b in filled] for x in (whole, counts)]
+                block = pa.repeat(batch.column("block")[row], len(filled))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(filled, pa.int32()), block, binaries(cut[0]), binaries(cut[1])], ["bucket", "block", "hashes", "counts"]
+                )
 
     return run
 
 
-def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set_id, own block, block) of one bucket: every set that shares a signature
-    with its own block, and with every lower block that shares it with another set."""
-    kinds = (np.uint64, np.int64, np.int64)
-    columns: list[list[np.ndarray]] = [[], [], []]
+def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket: sort the hashes, sum their counts, and tell every block."""
+    buckets, owners, hashes, counts = [], [], [], []
     for batch in batches:
-        for to, name, kind in zip(columns, ("signatures", "sets", "blocks"), kinds, strict=True):
-            to += numbers(batch.column(name), kind)
-    if not columns[0]:
+        buckets += batch.column("bucket").to_pylist()
+        owners += batch.column("block").to_pylist()
+        hashes += numbers(batch.column("hashes"), np.uint64)
+        counts += numbers(batch.column("counts"), np.uint8)
+    if not hashes:
         return
-    signature, sets, blocks = (np.concatenate(c) for c in columns)
-    order = np.lexsort((sets, blocks, signature))
-    signature, sets, blocks = signature[order], sets[order], blocks[order]
-    new = np.r_[True, (signature[1:] != signature[:-1]) | (sets[1:] != sets[:-1]) | (blocks[1:] != blocks[:-1])]
-    signature, sets, blocks = signature[new], sets[new], blocks[new]
-    starts = np.flatnonzero(np.r_[True, signature[1:] != signature[:-1]])
-    ends = np.r_[starts[1:], len(signature)]
-    found: set[tuple[int, int, int]] = set()
-    for start, end in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-        run_sets, run_blocks = sets[start:end].tolist(), blocks[start:end].tolist()
-        lower: list[int] = []
-        for key, block in zip(run_sets, run_blocks, strict=True):
-            if not lower or lower[-1] != block:
-                lower.append(block)
-            found.update((key, block, other) for other in lower)
-    rows = np.array(list(found), np.int64).reshape(-1, 3)
-    for at in range(0, len(rows), 100_000):
-        part = rows[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, k]) for k in range(3)], ["set_id", "own", "block"])
-
-
-def tokenised(settings: JaccardSettings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Tokens of the sets; a row that repeats a set of the same task is left out."""
+    edges = np.cumsum([0, *map(len, hashes)])
+    whole, count = np.concatenate(hashes), np.concatenate(counts)
+    del hashes, counts
+    order = np.argsort(whole)
+    ordered = whole[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    sums = np.minimum(np.add.reduceat(count[order].astype(np.int64), starts), MANY).astype(np.uint8)
+    told = np.empty(len(whole), np.uint8)
+    told[order] = np.repeat(sums, np.diff(np.r_[starts, len(whole)]))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(owners, pa.int64()), pa.array(buckets, pa.int32()), binaries([told[s:e] for s, e in zip(edges[:-1], edges[1:], strict=True)])],
+        ["block", "bucket", "mask"],
+    )
+
+
+SETS = "h1 long, h2 long, n_bytes long, size long, set_id long, tokens binary, prefix array<long>"
+
+
+def linkable(settings: JaccardSettings, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every text with its set; tokens and prefix only of sets that can have a link."""
+    up, down = settings.threshold.numerator, settings.threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(settings.width), set()
-        for batch in pieces(batches, "text"):
-            new = []
-            for k, key in enumerate(batch.column("set_id").to_pylist()):
-                if key not in seen:
-                    new.append(k)
-                    seen.add(key)
-            batch = batch.take(pa.array(new, pa.int64()))
-            tokens = binaries(list(shingler.sets(batch.column("text"))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("set_id", "copies", "own")), tokens], ["set_id", "copies", "own", "tokens"])
+        shingler = Shingler(settings.width)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                keys, offsets, body = unpacked(batch, row)
+                sets, whole, _ = block_tokens(shingler, offsets, body)
+                edges, count = parts_of(whole, bits), np.zeros(len(whole), np.uint8)
+                for answer in batch.column("counts")[row].as_py() or ():
+                    count[edges[answer["bucket"]] : edges[answer["bucket"] + 1]] = np.frombuffer(answer["mask"], np.uint8)
+                names, tokens, prefixes = [], [], []
+                for found in sets:
+                    names.append(set_id(found) if len(found) else None)
+                    texts = count[np.searchsorted(whole, found)]
+                    spare = len(found) - -(-up * len(found) // down) + 1
+                    # Rarest first, ties by hash: one order for all texts.
+                    first = np.lexsort((found, texts))[:spare]
+                    shared = found[first[texts[first] > 1]]
+                    tokens.append(found.tobytes() if len(shared) else None)
+                    prefixes.append(shared.view(np.int64) if len(shared) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(keys[:, k]) for k in range(3)), pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.int64()),
+                     pa.array(tokens, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                    [*KEY, "size", "set_id", "tokens", "prefix"],
+                )
 
     return run
 
@@ -199,10 +186,8 @@ def opened(threshold: Fraction) -> Callable[[pa.Table], pa.Table]:
         sets, copies = rows.column("set_id").to_pylist(), rows.column("copies").to_pylist()
         tokens = numbers(rows.column("tokens"), np.uint64)
         role = rows.column("role").to_pylist()
-        # Rows that repeat an id and a text may bring a set again, from another task.
-        once = {(key, r): k for k, (key, r) in enumerate(zip(sets, role, strict=True))}.values()
-        members = [k for k in once if role[k] < 2]
-        queries = [k for k in once if role[k] > 0]
+        members = [k for k, r in enumerate(role) if r < 2]
+        queries = [k for k, r in enumerate(role) if r > 0]
         edges, degree = [], {}
         if members and queries:
             group, forest = TokenGroup([tokens[k] for k in members]), Forest()
@@ -226,57 +211,71 @@ def opened(threshold: Fraction) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def clusters_of(sets: DataFrame) -> DataFrame:
+    """(set_id, cluster, block, blocks) of the sets that share a prefix shingle with another."""
+    postings = sets.select("set_id", F.explode("prefix").alias("token"))
+    centres = postings.groupBy("token").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("other")).filter("centre < other")
+    edges = postings.join(centres.select("token", "centre"), "token").select("set_id", "centre").distinct()
+    clusters = connected_components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
+    clusters = staged(clusters.join(sets.select("set_id", "least", "size"), "set_id"), "clusters")
+    filled = F.ceil(F.sum("size") / GROUP_BYTES)
+    sizes = clusters.groupBy("cluster").agg(filled.cast("int").alias("blocks"))
+    # Sets of one least hash are similar and share a block, unless they fill several.
+    alike = clusters.groupBy("cluster", "least").agg(filled.alias("parts"))
+    placed = clusters.join(sizes, "cluster").join(alike, ["cluster", "least"])
+    block = F.pmod(F.xxhash64("least", F.pmod("set_id", "parts")), "blocks").cast("int")
+    return staged(placed.select("set_id", "cluster", block.alias("block"), "blocks"), "blocks")
+
+
 def join_similar(documents: DataFrame, settings: JaccardSettings = JaccardSettings()) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links and text_hash of every row."""
-    docs = with_hash(documents)
-    rows = docs.mapInArrow(sketched(settings), "doc_id long, text_hash long, size long, set_id long, least long, signatures binary")
-    rows = staged(rows, "sketches")
-    light = rows.select("doc_id", "text_hash", "size", "set_id", "least")
-    # The row that stands for a set: least id, then least hash of the text.
-    stands = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "text_hash", "doc_id")
-    sets = light.filter("size > 0").groupBy("set_id").agg(
-        F.min("doc_id").alias("first_doc"), F.min(stands).alias("stands"), F.count(F.lit(1)).alias("copies"), F.min("least").alias("least")
-    )
-    sets = staged(sets, "sets")
-
-    large = sets.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).filter("parts > 1")
-    total = rows.agg(F.sum(F.octet_length("signatures"))).first()[0] or 0
-    bits = max(4, int(3 * total // BUCKET_BYTES).bit_length())
-    parted = rows.filter(F.octet_length("signatures") > 0).join(maybe_broadcast(staged(large, "large-groups")), "least", "left")
-    parted = parted.select("set_id", "least", F.coalesce("parts", F.lit(1)).alias("parts"), "signatures")
-    buckets = parted.mapInArrow(packed(bits), "bucket int, signatures binary, sets binary, blocks binary")
-    buckets = buckets.repartitionById(1 << bits, "bucket").drop("bucket")
-    found = staged(buckets.mapInArrow(candidates, "set_id long, own long, block long").distinct(), "candidates")
-
-    members = found.filter("own = block").select("set_id", "own").distinct().join(sets, "set_id")
-    members = members.select("set_id", "own", "copies", F.col("stands.doc_id").alias("_id"), F.col("stands.text_hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    texts = docs.join(maybe_broadcast(staged(members, "members")), same).select("set_id", "copies", "own", "text")
-    tokens = texts.mapInArrow(tokenised(settings), "set_id long, copies long, own long, tokens binary")
-    tokens = staged(tokens, "member-tokens")
-    queries = found.filter("own <> block").select("set_id", "block")
-    asked = queries.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("shares"))
-    inside = tokens.select("set_id", "copies", "tokens", F.col("own").alias("block"))
-    inside = inside.join(asked, "block", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)).cast("int") - 1)))
-    inside = inside.select("block", "share", "set_id", "copies", "tokens", F.when(F.col("share") == 0, 1).otherwise(0).alias("role"))
-    outside = tokens.select("set_id", "copies", "tokens").join(queries, "set_id").join(asked, "block")
-    outside = outside.select("block", F.pmod(F.xxhash64("set_id"), "shares").cast("int").alias("share"), "set_id", "copies", "tokens", F.lit(2).alias("role"))
-    results = inside.union(outside).groupBy("block", "share").applyInArrow(opened(settings.threshold), "set_id long, partner long, links long")
-    results = staged(results, "links")
+    spark = documents.sparkSession
+    name, _, total = write_blocks(documents, 1, settings.block_bytes)
+    table = spark.table(name)
+    bits = bucket_bits(2 * total, settings.bucket_bytes)
+    asked = table.mapInArrow(shingle_counts(settings, bits), "bucket int, block long, hashes binary, counts binary")
+    counts = answered(asked, bits, totals, "counts")
+    told = table.join(counts.hint("shuffle_hash"), "block", "left")
+    texts = staged(told.mapInArrow(linkable(settings, bits), SETS), "sets")
+    spark.sql(f"DROP TABLE {name}")
+
+    keyed = named(documents).select("doc_id", "text_hash", *KEY)
+    of_text = texts.select(*KEY, "size", "set_id").dropDuplicates(KEY)
+    rows = staged(keyed.join(of_text, KEY, "left").drop(*KEY), "rows")
+    sets = rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
+    sets = staged(sets, "set-sizes")
+
+    # Texts with the same set are one; where only copies share its shingles it is alone.
+    linked = texts.filter("prefix IS NOT NULL").select("set_id", "tokens", "prefix").dropDuplicates(["set_id"])
+    linked = linked.withColumns({"least": F.xxhash64(F.substring("tokens", 1, 8)), "size": F.octet_length("tokens")})
+    linked = staged(linked, "linkable-sets")
+    placed = clusters_of(linked.drop("tokens"))
+    members = placed.join(linked.select("set_id", "tokens"), "set_id").join(sets.select("set_id", "copies"), "set_id")
+    members = staged(members, "members")
+    # A block is queried by the sets of all later blocks of its cluster.
+    share_count = F.greatest(F.lit(1), F.ceil(F.col("blocks") * GROUP_BYTES / QUERY_BYTES)).cast("int")
+    columns = ["cluster", "block", "share", "set_id", "copies", "tokens", "role"]
+    inside = members.withColumn("share", F.explode(F.sequence(F.lit(0), share_count - 1)))
+    inside = inside.withColumn("role", F.when(F.col("share") == 0, 1).otherwise(0)).select(*columns)
+    outside = members.filter("block > 0").withColumn("share", F.pmod(F.xxhash64("set_id"), share_count).cast("int"))
+    outside = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).withColumn("role", F.lit(2)).select(*columns)
+    grouped = inside.union(outside).groupBy("cluster", "block", "share")
+    results = staged(grouped.applyInArrow(opened(settings.threshold), "set_id long, partner long, links long"), "links")
 
     parts = connected_components(results.filter("partner IS NOT NULL").select("set_id", "partner"))
-    named = parts.withColumnRenamed("node", "set_id").join(sets.select("set_id", "first_doc"), "set_id")
-    names = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    parts = parts.withColumnRenamed("node", "set_id")
+    names = parts.join(sets, "set_id").groupBy("component").agg(F.min("first_doc").alias("component_id"))
     links = results.groupBy("set_id").agg(F.sum("links").alias("links"))
-    of_set = sets.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").join(names, "component", "left").join(links, "set_id", "left")
+    of_set = sets.join(parts, "set_id", "left").join(names, "component", "left").join(links, "set_id", "left")
     of_set = of_set.select(
-        "set_id", F.coalesce("component_id", "first_doc").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "set_id",
+        F.coalesce("component_id", "first_doc").alias("component_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    joined = light.join(of_set, "set_id", "left")
-    return joined.select(
+    return rows.join(of_set, "set_id", "left").select(
         "doc_id",
-        F.col("size").alias("n_shingles"),
+        F.coalesce("size", F.lit(0)).cast("long").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         "text_hash",
     )

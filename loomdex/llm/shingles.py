@@ -1,9 +1,8 @@
-"""Word shingle sets of whole texts as sorted 64-bit hashes, and their signatures."""
+"""Word shingle sets of whole texts as sorted 64-bit hashes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,6 @@ from loomdex.llm.common import RangeHash, ascii_lower, mixed, raw_text
 
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 STEP = np.uint64(0xD6E8FEB86659FD93)
-LOW = np.uint64(0xFFFFFFFF)
 
 
 class Shingler:
@@ -28,7 +26,10 @@ class Shingler:
         self.white[list(WHITE)] = True
 
     def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
-        raw, offsets = raw_text(column)
+        yield from self.of(*raw_text(column))
+
+    def of(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """The sets of texts laid end to end."""
         raw = ascii_lower(raw)
         inside = ~self.white[raw]
         first, last = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
@@ -59,57 +60,3 @@ def set_id(tokens: np.ndarray) -> int:
     """A number for a set: equal sets have equal numbers."""
     both = mixed(tokens.sum(dtype=np.uint64, keepdims=True) + np.array([len(tokens)], np.uint64) * STEP)
     return int(both.view(np.int64)[0])
-
-
-class Signatures:
-    """Signatures that sets with a Jaccard similarity of ``threshold`` must share.
-
-    Sizes fall into classes. Two sets whose larger one is in a class of sizes up to r
-    differ in at most d = floor((1 - t) / (1 + t) * 2r) elements, so when the hash
-    space is dealt into d + 1 + spare parts, the sets agree in 1 + spare parts at
-    least; each set emits a hash of its content of every part. Parts of ``THIN`` elements or
-    fewer are left out where there are no more of them than ``spare``: an agreeing
-    part has the same content in both sets, so one that is not thin is left, and a
-    phrase that unrelated texts share seldom fills such a part alone. A set joins the class of its size and, where a larger partner
-    may be there, the next one.
-    """
-
-    WIDTH = 1.2
-    THIN = 1
-    SPARE = 4
-
-    def __init__(self, threshold: Fraction) -> None:
-        self.threshold = threshold
-        self.lower = [1]
-
-    def class_of(self, size: int) -> int:
-        while self.lower[-1] <= size:
-            self.lower.append(max(self.lower[-1] + 1, int(self.lower[-1] * self.WIDTH) + 1))
-        return int(np.searchsorted(self.lower, size, "right")) - 1
-
-    def parts(self, size_class: int) -> tuple[int, int]:
-        largest = self.lower[size_class + 1] - 1
-        t = self.threshold
-        differ = int((1 - t) / (1 + t) * 2 * largest)
-        spare = 1 + differ // self.SPARE
-        return (differ + 1 + spare, spare) if differ else (0, 0)
-
-    def of(self, tokens: np.ndarray) -> np.ndarray:
-        size = len(tokens)
-        own = self.class_of(size)
-        self.class_of(self.lower[own + 1])
-        classes = [own] + [own + 1] * (size >= self.threshold * self.lower[own + 1])
-        low, high = (tokens & LOW).astype(float), (tokens >> np.uint64(32)).astype(float)
-        scattered = tokens * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-        found = []
-        for c in classes:
-            parts, spare = self.parts(c)
-            if parts:
-                part = (scattered % np.uint64(parts)).astype(np.int64)
-                filled = np.bincount(part, minlength=parts)
-                # Sums of 32-bit halves are exact as doubles up to 2 ** 21 elements a part.
-                sums = np.bincount(part, low, parts).astype(np.uint64) + (np.bincount(part, high, parts).astype(np.uint64) * STEP)
-                signature = mixed(mixed(sums) + np.arange(parts, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(c << 40))
-                thick = filled > self.THIN
-                found.append(signature[thick] if parts - thick.sum() <= spare else signature)
-        return np.concatenate(found) if found else np.zeros(0, np.uint64)

@@ -27,7 +27,6 @@ empty table gives an empty result. Only the id and text columns are read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -36,9 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import RangeHash, maybe_broadcast, partitions, raw_text, staged
-
-BLOCK = "block long, keys binary, offsets binary, body binary"
+from loomdex.llm.common import RangeHash, maybe_broadcast, raw_text, staged
+from loomdex.llm.text_blocks import KEY, answered, bucket_bits, named, parts_of, unpacked, write_blocks
 
 
 @dataclass(frozen=True)
@@ -121,51 +119,6 @@ class Suffixes:
         return at[first], at[np.r_[first[1:], len(at)] - 1] + self.depth
 
 
-def blocks(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts laid end to end, with the three numbers that name each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
-        keys, bodies, held = [], [], 0
-
-        def block() -> pa.RecordBatch:
-            offsets = np.cumsum([0, *map(len, bodies)]).astype(np.int64)
-            columns = [[number], [np.array(keys, np.int64).tobytes()], [offsets.tobytes()], [b"".join(bodies)]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
-                ["block", "keys", "offsets", "body"],
-            )
-
-        for batch in batches:
-            raw, offsets = raw_text(batch.column("text"))
-            whole, ends = raw.tobytes(), offsets.tolist()
-            names = list(zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "n_bytes")), strict=True))
-            for k, name in enumerate(names):
-                keys.append(name)
-                bodies.append(whole[ends[k] : ends[k + 1]])
-                held += name[2]
-                if held >= block_bytes:
-                    yield block()
-                    keys, bodies, held, number = [], [], 0, number + 1
-        if keys:
-            yield block()
-
-    return run
-
-
-def unpacked(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, offsets, body = (batch.column(c)[row].as_py() for c in ("keys", "offsets", "body"))
-    return np.frombuffer(keys, np.int64).reshape(-1, 3), np.frombuffer(offsets, np.int64), np.frombuffer(body, np.uint8)
-
-
-def parts_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Where each of the 2 ** bits buckets begins in sorted hashes."""
-    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.r_[np.searchsorted(hashes, edges), len(hashes)]
-
-
 def masked(hashes: np.ndarray, bits: int, answers: list[dict] | None) -> np.ndarray:
     """The answers of all buckets as one mask over a block's sorted hashes."""
     mask = np.zeros(len(hashes), bool)
@@ -256,53 +209,24 @@ def shared_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     )
 
 
-def answered(hashes: DataFrame, bits: int, name: str) -> DataFrame:
-    """For every block the masks of its hashes that other blocks share."""
-    buckets = hashes.repartitionById(1 << bits, "bucket")
-    masks = buckets.mapInArrow(shared_hashes, "block long, bucket int, mask binary")
-    return staged(masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias(name)), name)
-
-
-def named(documents: DataFrame) -> DataFrame:
-    """Rows with three numbers that tell texts apart (two hashes and the length)."""
-    text = F.coalesce("text", F.lit(""))
-    return documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(text).alias("h1"),
-        F.hash(text).cast("long").alias("h2"),
-        F.octet_length(text).cast("long").alias("n_bytes"),
-        text.alias("text"),
-    )
-
-
 def repeated_strings(documents: DataFrame, settings: SuffixSettings = SuffixSettings()) -> DataFrame:
     """(h1, h2, n_bytes, starts, ends) of every distinct text with repeated strings."""
-    spark, text_key = documents.sparkSession, ["h1", "h2", "n_bytes"]
-    rows = named(documents).filter(F.col("n_bytes") >= settings.depth)
-    light = rows.drop("text")
-    copies = light.groupBy(*text_key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep")).filter("n > 1")
-    copies = staged(copies.select(*text_key, "keep"), "copies")
-    total = light.agg(F.sum("n_bytes")).first()[0] or 0
-    once = rows.join(maybe_broadcast(copies), text_key, "left").filter("keep IS NULL OR doc_id = keep")
-
-    name = f"suffix_blocks_{uuid.uuid4().hex}"
-    files = max(partitions(spark), int(total // (32 * settings.block_bytes)) + 1)
-    laid = once.select("h1", "h2", "n_bytes", "text").mapInArrow(blocks(settings.block_bytes), BLOCK)
-    laid.write.bucketBy(files, "block").option("compression", "zstd").saveAsTable(name)
+    spark = documents.sparkSession
+    name, copies, total = write_blocks(documents, settings.depth, settings.block_bytes)
     table = spark.table(name)
 
     cover = cover_for(settings.depth)
     names_bytes = total * 8 * len(cover[1]) // cover[0]
-    bits = max(4, int(names_bytes // settings.bucket_bytes).bit_length())
+    bits = bucket_bits(names_bytes, settings.bucket_bytes)
     kind = "bucket int, block long, hashes binary"
-    ranks = answered(table.mapInArrow(name_hashes(settings, bits), kind), bits, "ranks")
+    ranks = answered(table.mapInArrow(name_hashes(settings, bits), kind), bits, shared_hashes, "ranks")
     # Blocks without a shared rank may still repeat within themselves: a left join.
     ranked = table.join(ranks.hint("shuffle_hash"), "block", "left")
-    repeats = answered(ranked.mapInArrow(tie_hashes(settings, bits), kind), bits, "repeats")
+    repeats = answered(ranked.mapInArrow(tie_hashes(settings, bits), kind), bits, shared_hashes, "repeats")
     both = ranked.join(repeats.hint("shuffle_hash"), "block", "left")
     spans = both.mapInArrow(repeated_spans(settings, bits), "h1 long, h2 long, n_bytes long, starts array<long>, ends array<long>")
-    whole = copies.select(*text_key, F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_bytes").alias("ends"))
-    spans = staged(spans.join(maybe_broadcast(copies.select(*text_key)), text_key, "left_anti").union(whole), "spans")
+    whole = copies.select(*KEY, F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_bytes").alias("ends"))
+    spans = staged(spans.join(maybe_broadcast(copies.select(*KEY)), KEY, "left_anti").union(whole), "spans")
     spark.sql(f"DROP TABLE {name}")
     return spans
 
@@ -327,7 +251,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(documents: DataFrame, settings: SuffixSettings = SuffixSettings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, span starts and ends (null: none) and kept bytes of every row."""
     spans = repeated_strings(documents, settings)
-    joined = named(documents).join(maybe_broadcast(spans), ["h1", "h2", "n_bytes"], "left")
+    joined = named(documents).join(maybe_broadcast(spans), KEY, "left")
     return joined.select("doc_id", "n_bytes", "text", "starts", "ends").mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary"
     )
