@@ -29,4 +29,4 @@ def query(sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 
 def load_all() -> None:
-    from loomdex.catalog import accounting, cards, documents, guards, retrieval  # noqa: F401
+    from loomdex.catalog import accounting, cards, documents, guards, office, retrieval  # noqa: F401
