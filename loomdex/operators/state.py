@@ -16,6 +16,18 @@ def new_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, 12)
 
 
+def first_of_group(rows: DataFrame, group: str, seq: str, payload: list[str], count: str) -> DataFrame:
+    """One row per group: the payload of its least ``seq`` and its rows as ``count``.
+
+    The aggregate holds numbers only, so it is a hash aggregate; the payload comes by
+    a join with the rows that were first. Of rows that repeat the first one's number one
+    gives the payload; all are counted.
+    """
+    least = rows.groupBy(group).agg(F.min(seq).alias(seq), F.count(F.lit(1)).alias(count))
+    first = rows.select(group, seq, *payload).dropDuplicates([group, seq])
+    return first.join(least, [group, seq])
+
+
 def register_uploads(uploads: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """``(content_hash, doc_id, filename, kind, first_seq, copies, created)`` per
     distinct content of ``uploads`` (seq, filename, kind, content).
@@ -24,15 +36,13 @@ def register_uploads(uploads: DataFrame, existing: DataFrame | None = None) -> D
     ``existing`` (content_hash, doc_id) keeps its document and is not created.
     """
     hashed = uploads.select("seq", "filename", "kind", F.sha2(F.col("content"), 256).alias("content_hash"))
-    distinct = hashed.groupBy("content_hash").agg(
-        F.min(F.struct("seq", "filename", "kind")).alias("first"), F.count("*").alias("copies")
-    )
-    fresh = distinct.select(
+    first = first_of_group(hashed, "content_hash", "seq", ["filename", "kind"], "copies")
+    fresh = first.select(
         "content_hash",
         new_id(F.col("content_hash")).alias("new_doc_id"),
-        F.col("first.filename").alias("filename"),
-        F.col("first.kind").alias("kind"),
-        F.col("first.seq").alias("first_seq"),
+        "filename",
+        "kind",
+        F.col("seq").alias("first_seq"),
         "copies",
     )
     if existing is None:
@@ -57,20 +67,9 @@ def create_jobs(requests: DataFrame, existing: DataFrame | None = None) -> DataF
     group = F.when(no_key, F.concat(F.lit("request:"), F.col("seq").cast("string"))).otherwise(
         F.concat(F.lit("key:"), F.col("idempotency_key"))
     )
-    jobs = (
-        requests.withColumn("job_group", group)
-        .groupBy("job_group")
-        .agg(
-            F.min(F.struct("seq", "idempotency_key", "payload")).alias("first"),
-            F.count("*").alias("requests"),
-        )
-        .select(
-            new_id(F.col("job_group")).alias("new_job_id"),
-            "first.idempotency_key",
-            "first.seq",
-            "first.payload",
-            "requests",
-        )
+    grouped = requests.select("seq", "idempotency_key", "payload", group.alias("job_group"))
+    jobs = first_of_group(grouped, "job_group", "seq", ["idempotency_key", "payload"], "requests").select(
+        new_id(F.col("job_group")).alias("new_job_id"), "idempotency_key", "seq", "payload", "requests"
     )
     if existing is None:
         known = jobs.withColumn("job_id", F.lit(None).cast("string"))
