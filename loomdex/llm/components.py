@@ -64,7 +64,7 @@ def contracted(limit: int):
     return run
 
 
-def connected_components(edges: DataFrame, limit: int = 1_000_000) -> DataFrame:
+def connected_components(edges: DataFrame, limit: int = 300_000) -> DataFrame:
     """(node, component) of every node of the edges (first two columns), where
     ``component`` is the least node reachable. Edges with a null end are ignored;
     loops and repeated edges change nothing."""
