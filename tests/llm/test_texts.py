@@ -182,3 +182,23 @@ def test_empty_tables(spark, none):
     benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     for df in (join_similar(none), exact_dedup(none), find_contamination(none, benchmark), remove_repeats(none), shard_rows(none)):
         assert df.count() == 0
+
+
+def test_contamination_is_native(spark, docs):
+    from loomdex.llm import decontaminate as dc
+
+    items = dc.item_table(spark.createDataFrame([(1, "a b c")], "item_id long, text string"))
+    rows = docs.selectExpr("doc_id", "xxhash64(text) AS text_hash", "text")
+    hits = dc.hits_of(rows, dc.item_fingerprints(items, [3]), [3])
+    for df in (hits, dc.extended(hits, rows, items)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [word for word in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop") if word in plan]
+
+
+def test_bytes_of_a_text_that_another_has_in_capitals(spark):
+    """Exact dedup and shingles lower A-Z only; other letters keep their case."""
+    rows = [(1, "Été AB cd ef gh", "fr", "a"), (2, "Été ab CD ef gh", "fr", "a"), (3, "été ab cd ef gh", "fr", "a")]
+    kept = {r["doc_id"]: r["keep_id"] for r in exact_dedup(frame(spark, rows)).collect()}
+    assert kept == {1: 2, 2: 2, 3: 3}
+    same = {r["doc_id"]: r["component_id"] for r in join_similar(frame(spark, rows), JaccardSettings(2, Fraction(1))).collect()}
+    assert same == {1: 1, 2: 1, 3: 3}
