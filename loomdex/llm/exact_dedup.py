@@ -35,10 +35,10 @@ ENTRY = "hash long, sha string, keep_id long, rows long, bytes long, text binary
 
 @dataclass(frozen=True)
 class IndexSettings:
-    bucket_bytes: int = 32 << 20
+    bucket_bytes: int = 16 << 20
     max_depth: int = 20
     entry_bytes: int = 64
-    flush_bytes: int = 48 << 20
+    flush_bytes: int = 16 << 20
 
 
 def digests(raw: bytes) -> tuple[int, str]:

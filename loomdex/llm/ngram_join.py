@@ -52,7 +52,7 @@ MANY = 255
 class JaccardSettings:
     width: int = 5
     threshold: Fraction = Fraction(8, 10)
-    block_bytes: int = 2 << 20
+    block_bytes: int = 1 << 20
     bucket_bytes: int = 16 << 20
 
 

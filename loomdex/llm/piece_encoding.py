@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from loomdex.llm.common import pieces
 
 MARK = "▁"
-TABLE_CHUNKS = 200_000
+TABLE_CHUNKS = 60_000
 
 
 def load(model: bytes):

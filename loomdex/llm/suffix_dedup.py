@@ -42,7 +42,7 @@ from loomdex.llm.text_blocks import KEY, answered, bucket_bits, named, parts_of,
 @dataclass(frozen=True)
 class SuffixSettings:
     depth: int = 400
-    block_bytes: int = 2 << 20
+    block_bytes: int = 1 << 20
     bucket_bytes: int = 16 << 20
 
 
