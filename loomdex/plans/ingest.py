@@ -91,18 +91,20 @@ def ingest(
     existing: DataFrame | None = None,
     make_embedder: Callable[[], Embedder] | None = None,
     settings: Settings = DEFAULTS,
+    parsers: Mapping[str, Callable[[bytes], list[Block]]] = PARSERS,
 ) -> Ingested:
     """New contents of ``uploads`` (seq, filename, kind, content) through all steps.
 
     A content already known is not parsed again. A document is published once,
     with its final status: ``indexed``, ``failed`` (no text layer or a parse
-    error) or ``embed_failed`` (chunks kept, vectors missing).
+    error) or ``embed_failed`` (chunks kept, vectors missing). ``parsers`` has the
+    reader of every kind; for pdf the caller adds one to ``PARSERS``.
     """
     registered = register_uploads(uploads, existing).filter("created")
     new = registered.select("first_seq", "doc_id", "kind")
     contents = uploads.select(F.col("seq").alias("first_seq"), "content")
     files = contents.join(new, "first_seq").select("doc_id", "kind", "content")
-    raw = durable(parse_files(files))
+    raw = durable(parse_files(files, parsers))
     chunks = durable(chunk_blocks(normalize_blocks(to_blocks(raw)), settings))
     counts = chunks.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunks_count"))
     errors = raw.filter(F.col("error").isNotNull()).select("doc_id", F.col("error").alias("parse_error"))

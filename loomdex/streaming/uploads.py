@@ -7,7 +7,7 @@ micro-batch that runs twice writes the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from loomdex.plans.embedding import Embedder
 from loomdex.plans.ingest import Ingested, ingest
 from loomdex.settings import DEFAULTS, Settings
 from loomdex.sources.files import classify_uploads, stream_files
+from loomdex.sources.parsers import PARSERS, Block
 
 
 def start_upload_stream(
@@ -28,11 +29,13 @@ def start_upload_stream(
     existing: Callable[[], DataFrame | None] = lambda: None,
     make_embedder: Callable[[], Embedder] | None = None,
     settings: Settings = DEFAULTS,
+    parsers: Mapping[str, Callable[[bytes], list[Block]]] = PARSERS,
 ) -> StreamingQuery:
     """Ingest all files that are there now and stop.
 
     ``write`` gets the ingested tables, the rejected files and the batch id, and
-    must overwrite by batch id; ``existing`` returns the documents known so far.
+    must overwrite by batch id; ``existing`` returns the documents known so far;
+    ``parsers`` is that of ``ingest``.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -42,7 +45,7 @@ def start_upload_stream(
         uploads = accepted.select(
             F.struct("modificationTime", "path").alias("seq"), "filename", "kind", "content"
         )
-        write(ingest(uploads, existing(), make_embedder, settings), rejected, batch_id)
+        write(ingest(uploads, existing(), make_embedder, settings, parsers), rejected, batch_id)
 
     return (
         stream_files(spark, path)

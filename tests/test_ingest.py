@@ -9,7 +9,7 @@ from loomdex.settings import Settings
 from loomdex.sources.files import classify_uploads, golden_records, scan_files
 from loomdex.operators.blocks import sheet_lines
 from loomdex.plans.ingest import parse_files
-from loomdex.sources.parsers import NoTextLayer, page_blocks, parse_docx, parse_xlsx
+from loomdex.sources.parsers import PARSERS, NoTextLayer, page_blocks, parse_docx, parse_xlsx
 from loomdex.streaming.uploads import start_upload_stream
 from stubs import HashEmbedder
 
@@ -85,6 +85,40 @@ def test_ingest(spark):
     assert again.documents.count() == 0 and again.chunks.count() == 0
 
 
+PDF_PAGES = [("ПАСПОРТ БЛЕНДЕРА\n\nПогружной блендер МиксерПро.", [[["Параметр", "Значение"], ["Мощность", "800 Вт"]]]), ("Гарантия два года.", [])]
+
+
+def pdf_parsers():
+    return {**PARSERS, "pdf": lambda content: page_blocks(PDF_PAGES if content == b"%PDF text" else [("", [])])}
+
+
+def test_ingest_pdf(spark):
+    files = [*FILES[:1], (5, "passport.pdf", "pdf", b"%PDF text"), (6, "scan.pdf", "pdf", b"%PDF scan")]
+    done = ingest(upload(spark, files), parsers=pdf_parsers())
+    documents = {r["filename"]: r for r in done.documents.collect()}
+    assert {f: (d["status"], d["error"]) for f, d in documents.items()} == {
+        "offer.docx": ("indexed", None), "passport.pdf": ("indexed", None), "scan.pdf": ("failed", "no text layer"),
+    }
+    chunks = done.chunks.filter(F.col("doc_id") == documents["passport.pdf"]["doc_id"]).orderBy("ordinal").collect()
+    assert documents["passport.pdf"]["chunks_count"] == len(chunks) > 0
+    text = "\n".join(c["text"] for c in chunks)
+    assert all(part in text for part in ("Погружной блендер МиксерПро.", "Мощность: 800 Вт", "Гарантия два года."))
+    assert {f["error"] for f in ingest(upload(spark, files[1:])).documents.collect()} == {"parse: ValueError: no parser for pdf"}
+
+
+def test_upload_stream_pdf(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "passport.pdf").write_bytes(b"%PDF text")
+    seen = []
+
+    def write(done, bad, batch_id):
+        seen.extend((r["filename"], r["status"]) for r in done.documents.collect())
+
+    start_upload_stream(spark, str(source), str(tmp_path / "ckpt"), write, parsers=pdf_parsers()).awaitTermination(120)
+    assert seen == [("passport.pdf", "indexed")]
+
+
 class FailingEmbedder:
     def embed(self, texts):
         if any("KTL" in t for t in texts):
