@@ -7,7 +7,8 @@ it, unless a rule explicitly allows an address of the component, which takes
 precedence. A component without either is allowed.
 
 An address is host, path and query; scheme and fragment do not tell resources
-apart. Link targets count as addresses even where no row has them.
+apart. Link targets count as addresses even where no row has them; character
+references in them are decoded.
 
 Cases: a null url, or one without ``://``, has empty host and path, fits no rule
 and has no alias (allow). A null page has no links. Repeated rows are judged each.
@@ -16,7 +17,10 @@ An empty table gives an empty result. Only page_id, url and html are read.
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
+from html.entities import html5
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -29,10 +33,15 @@ from loomdex.llm.components import connected_components
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 TAG = r"(?i)<(?:link|meta)\b[^>]*>"
-CANONICAL = r"(?i)\brel\s*=\s*[\x22\x27]?canonical\b"
+#: ``canonical`` as any of the tokens of rel.
+CANONICAL = (
+    r"(?i)(?<![\w-])rel\s*=\s*(?:\x22(?:[^\x22]*\s)?canonical(?:\s[^\x22]*)?\x22"
+    r"|\x27(?:[^\x27]*\s)?canonical(?:\s[^\x27]*)?\x27|canonical(?=[\s>]|/>))"
+)
 REFRESH = r"(?i)\bhttp-equiv\s*=\s*[\x22\x27]?refresh\b"
 HREF = r"(?i)\bhref\s*=\s*[\x22\x27]?([^\x22\x27>\s]+)"
 REFRESH_URL = r"(?i)\burl\s*=\s*[\x22\x27]?([^\x22\x27>\s]+)"
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*[;=]?)")
 
 
 def host_of(url: Column) -> Column:
@@ -62,12 +71,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+def unescaped(value: str) -> str:
+    """Character references of an attribute decoded. A name without semicolon counts only
+    where it is whole and no ``=`` follows, so ``?a=1&copy=2`` stays."""
+
+    def one(found: re.Match) -> str:
+        text = found[0]
+        return html.unescape(text) if text[1] == "#" else html5.get(text[1:], text)
+
+    return REFERENCE.sub(one, value)
+
+
 def resolved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Targets of links as absolute urls; those that cannot be read are dropped."""
 
     def absolute(url: str, target: str) -> str | None:
         try:
-            return urljoin(url, target)
+            return urljoin(url, unescaped(target))
         except ValueError:
             return None
 

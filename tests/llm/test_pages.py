@@ -6,7 +6,7 @@ import os
 
 from loomdex.llm.common import new_folder
 from loomdex.llm.components import connected_components
-from loomdex.llm.url_filter import judge_urls
+from loomdex.llm.url_filter import judge_urls, unescaped
 from loomdex.llm.warc import WarcSettings, read_warc, write_warc
 
 SCHEMA = "page_id long, url string, html string, sha string, step string"
@@ -87,6 +87,31 @@ def test_urls(spark):
     assert judge_urls(pages_of(spark, [])).count() == 0
 
 
+def test_tokens_of_rel_and_entities_in_targets(spark):
+    def page(tag):
+        return f"<html><head>{tag}</head></html>"
+
+    # Every page names a blocked address, or one that leads there; 9 to 11 do not name it as canonical.
+    rows = [
+        (1, "http://a.com/1", page('<link rel="shortlink canonical" href="http://spam.net/1">')),
+        (2, "http://a.com/2", page("<link href='http://spam.net/2' rel='canonical\tshortlink'>")),
+        (3, "http://a.com/3", page("<link href=http://spam.net/3 rel=canonical>")),
+        (4, "http://a.com/4", page('<link rel="canonical" href="/t?a=1&amp;b=2">')),
+        (5, "http://a.com/t?a=1&b=2", page('<meta http-equiv="refresh" content="0; url=http://spam.net/?x&#x3D;1&#38;y=2">')),
+        (6, "http://a.com/6", page('<link rel="canonical" href="/t?a=1&copy=2&lang;=3">')),
+        (7, "http://a.com/t?a=1&copy=2\u27e8=3", page('<link rel="canonical" href="http://spam.net/7">')),
+        (9, "http://a.com/9", page('<link rel="canonical-like" href="http://spam.net/9">')),
+        (10, "http://a.com/10", page('<link data-rel="canonical" href="http://spam.net/10">')),
+        (11, "http://a.com/11", page('<link rel="alternate" title="canonical" href="http://spam.net/11">')),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(pages_of(spark, rows)).collect()}
+    assert got == {k: "block" for k in range(1, 8)} | {k: "allow" for k in (9, 10, 11)}
+
+
+def test_unescaped():
+    assert unescaped("?a=1&amp;b=2&lt;&copy=3&copyx&reg&#65;&#x42&amp;amp;&nosuch;&") == "?a=1&b=2<&copy=3&copyx®AB&amp;&nosuch;&"
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(100, 160)]
     star = [(7, k) for k in range(200, 260)]
