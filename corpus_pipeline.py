@@ -6,7 +6,8 @@ All but the last return the columns of ``documents``; a row is dropped by its id
 text together, so rows that repeat an id are judged by their own texts.
 
 Cases: as in the operators. Rows without id are kept or dropped like others, but stand
-for no group. Extra columns are carried along, except that the last stage's own names
+for no group, except that one of equal texts without any id stays. Of near copies that
+share the least id of their component, or that all lack one, every row stays. Extra columns are carried along, except that the last stage's own names
 replace columns of the same name. An empty table gives an empty result.
 """
 
@@ -16,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import new_folder, table, without
+from loomdex.llm.common import maybe_broadcast, new_folder, staged, table, without
 from loomdex.llm.decontaminate import find_contamination
 from loomdex.llm.exact_dedup import exact_dedup
 from loomdex.llm.ngram_join import join_similar
@@ -33,8 +34,28 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
-    return without(docs, exact_dedup(docs).filter("NOT kept"))
+    """Of equal texts, one row stays: that with the largest doc_id, and of several with
+    that id (or of texts without any) that with the largest hash of its text as
+    written, then of all its columns."""
+    copies = staged(exact_dedup(docs).filter("group_size > 1").select("doc_id", "kept", "text_sha256", "text_hash"), "copies")
+    written = copies.filter("kept").groupBy("text_sha256", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    chosen = written.groupBy("text_sha256").agg(F.max("text_hash").alias("chosen"))
+    written = staged(written.join(chosen, "text_sha256"), "written")
+    other = written.filter("text_hash <> chosen").select("doc_id", "text_hash")
+    left = without(docs, copies.filter("NOT kept").select("doc_id", "text_hash").union(other))
+    return one_of_each(left, written.filter("text_hash = chosen AND n > 1"))
+
+
+def one_of_each(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One row for each (doc_id, text_hash) of ``repeated``; other rows stay as they are."""
+    names = repeated.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    if names.isEmpty():
+        return docs
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    rows = docs.join(maybe_broadcast(names), same).select("_id", "_hash", row.alias("row"))
+    first = rows.groupBy("_id", "_hash").agg(F.max_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return without(docs, repeated).union(first.select("row.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
