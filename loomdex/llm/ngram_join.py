@@ -8,14 +8,16 @@
    filter); sets that share one are candidates, joined through one of them, and
    components of candidates are the clusters within which links can be.
 3. Clusters are cut into groups (blocks) of similar sets, by their least hash, of
-   about ``GROUP_BYTES`` of shingles. The token-group matrix keeps each group's token union; a set's
+   about ``group_bytes`` of shingles. The token-group matrix keeps each group's token union; a set's
    overlap with the union bounds its overlap with every member. Only where the bound
-   reaches ``ceil(t * n)`` is the group opened and each member's overlap counted.
+   reaches ``ceil(t * n)`` is the group opened and each member's overlap counted. A
+   cluster of one group is always opened: its queries are its members, and only the
+   prefix filter has selected them.
 4. Links become components (``components``) and degrees; copies count in degrees
    without being expanded.
 
 Each pair of groups is looked at from one side. The sets that query a group are dealt
-out by ``QUERY_BYTES`` at a time, so a hot group is no single task. Near copies of one text
+out by ``query_bytes`` at a time, so a hot group is no single task. Near copies of one text
 that are *not* over the threshold cost a comparison for each pair within their
 cluster; there are no rows for pairs.
 
@@ -41,9 +43,6 @@ from loomdex.llm.components import Forest, connected_components
 from loomdex.llm.shingles import Shingler, set_id
 from loomdex.llm.text_blocks import KEY, answered, bucket_bits, named, parts_of, unpacked, write_blocks
 
-#: Bytes of shingle hashes of a group of sets, and of the sets that query it at once.
-GROUP_BYTES = 2 << 20
-QUERY_BYTES = 8 << 20
 #: Counts of texts with a shingle are exact below this.
 MANY = 255
 
@@ -54,6 +53,9 @@ class JaccardSettings:
     threshold: Fraction = Fraction(8, 10)
     block_bytes: int = 1 << 20
     bucket_bytes: int = 16 << 20
+    #: Bytes of shingle hashes of a group of sets, and of the sets that query it at once.
+    group_bytes: int = 2 << 20
+    query_bytes: int = 8 << 20
 
 
 def binaries(arrays: list[np.ndarray]) -> pa.Array:
@@ -211,14 +213,14 @@ def opened(threshold: Fraction) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def clusters_of(sets: DataFrame) -> DataFrame:
+def clusters_of(sets: DataFrame, group_bytes: int) -> DataFrame:
     """(set_id, cluster, block, blocks) of the sets that share a prefix shingle with another."""
     postings = sets.select("set_id", F.explode("prefix").alias("token"))
     centres = postings.groupBy("token").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("other")).filter("centre < other")
     edges = postings.join(centres.select("token", "centre"), "token").select("set_id", "centre").distinct()
     clusters = connected_components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
     clusters = staged(clusters.join(sets.select("set_id", "least", "size"), "set_id"), "clusters")
-    filled = F.ceil(F.sum("size") / GROUP_BYTES)
+    filled = F.ceil(F.sum("size") / group_bytes)
     sizes = clusters.groupBy("cluster").agg(filled.cast("int").alias("blocks"))
     # Sets of one least hash are similar and share a block, unless they fill several.
     alike = clusters.groupBy("cluster", "least").agg(filled.alias("parts"))
@@ -249,11 +251,11 @@ def join_similar(documents: DataFrame, settings: JaccardSettings = JaccardSettin
     linked = texts.filter("prefix IS NOT NULL").select("set_id", "tokens", "prefix").dropDuplicates(["set_id"])
     linked = linked.withColumns({"least": F.xxhash64(F.substring("tokens", 1, 8)), "size": F.octet_length("tokens")})
     linked = staged(linked, "linkable-sets")
-    placed = clusters_of(linked.drop("tokens"))
+    placed = clusters_of(linked.drop("tokens"), settings.group_bytes)
     members = placed.join(linked.select("set_id", "tokens"), "set_id").join(sets.select("set_id", "copies"), "set_id")
     members = staged(members, "members")
     # A block is queried by the sets of all later blocks of its cluster.
-    share_count = F.greatest(F.lit(1), F.ceil(F.col("blocks") * GROUP_BYTES / QUERY_BYTES)).cast("int")
+    share_count = F.greatest(F.lit(1), F.ceil(F.col("blocks") * settings.group_bytes / settings.query_bytes)).cast("int")
     columns = ["cluster", "block", "share", "set_id", "copies", "tokens", "role"]
     inside = members.withColumn("share", F.explode(F.sequence(F.lit(0), share_count - 1)))
     inside = inside.withColumn("role", F.when(F.col("share") == 0, 1).otherwise(0)).select(*columns)

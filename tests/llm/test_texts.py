@@ -9,7 +9,7 @@ from helpers import LOWER, awkward_rows, frame, sentence, words
 
 from loomdex.llm.decontaminate import find_contamination
 from loomdex.llm.exact_dedup import IndexSettings, directory, exact_dedup
-from loomdex.llm.ngram_join import JaccardSettings, join_similar
+from loomdex.llm.ngram_join import JaccardSettings, TokenGroup, join_similar
 from loomdex.llm.sharding import shard_rows
 from loomdex.llm.suffix_dedup import SuffixSettings, cover_for, remove_repeats
 
@@ -80,6 +80,48 @@ def test_similar_group_of_near_copies(spark):
     assert listed(found, "doc_id", "n_shingles", "component_id", "n_links") == similar_by_hand(rows, 4, Fraction(85, 100))
 
 
+def chains(rng, bases, copies, width):
+    """Near copies of several bases whose ends are shared, so that all are one cluster."""
+    rows, tail = [], sentence(rng, 20, 10_000).split()
+    for b in range(bases):
+        base = [*sentence(rng, width, 10_000).split(), *tail]
+        for k in range(copies):
+            own = list(base)
+            for _ in range(rng.randrange(5)):
+                own[rng.randrange(len(own))] = f"v{rng.randrange(40)}"
+            rows.append((b * copies + k, " ".join(own), "en", "a"))
+    return rows
+
+
+def test_similar_over_several_blocks_and_shares(spark, monkeypatch):
+    import random
+
+    from loomdex.llm import ngram_join
+
+    rows = chains(random.Random(4), 6, 50, 70)
+    settings = JaccardSettings(4, Fraction(85, 100), group_bytes=20_000, query_bytes=50_000)
+    placed = []
+    plain = ngram_join.clusters_of
+
+    def seen(sets, group_bytes):
+        placed.append(plain(sets, group_bytes))
+        return placed[0]
+
+    monkeypatch.setattr(ngram_join, "clusters_of", seen)
+    found = join_similar(frame(spark, rows), settings)
+    assert listed(found, "doc_id", "n_shingles", "component_id", "n_links") == similar_by_hand(rows, 4, Fraction(85, 100))
+    # Several blocks a cluster, hence queries from outside; several shares of 50 000 bytes.
+    assert max(r["blocks"] for r in placed[0].collect()) >= 5
+
+
+def test_bound_by_the_union():
+    import numpy as np
+
+    group = TokenGroup([np.array(x, np.uint64) for x in ([1, 3, 5], [3, 5, 9], [5])])
+    query = np.array([2, 3, 5, 9, 12], np.uint64)
+    assert group.overlaps(query, 3).tolist() == [2, 3, 1] and group.overlaps(query, 4) is None
+
+
 def test_exact(spark, docs):
     groups = {}
     for doc_id, text, *_ in ROWS:
