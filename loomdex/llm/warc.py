@@ -1,8 +1,9 @@
 """Deterministic sharded WARC archives.
 
 Writing: records are sorted by id within ranges of ids. The ranges follow from the
-bytes in ``RANGES`` equal steps of the id, so neither a sample nor the number of
-tasks moves them. A task streams one range, compresses every record as a gzip member
+bytes in at most ``RANGES`` equal steps of the id, and a step above ``shard_bytes`` is
+split again, down to single ids, so neither a sample nor the number of tasks moves them.
+Rows without id are dealt by the hash of their payload to shards of their own. A task streams one range, compresses every record as a gzip member
 of its own, and starts a new file where the compressed size passes ``file_bytes``.
 Headers, record ids and digests are made anew from the row alone: the same table
 gives the same bytes. A file is written under a temporary name with the attempt's
@@ -169,19 +170,39 @@ def archiver(folder: str, settings: WarcSettings) -> Callable[[Iterator[pa.Recor
     return run
 
 
-def shard_bounds(rows: DataFrame, settings: WarcSettings) -> tuple[DataFrame, int, F.Column]:
-    """(step, shard) for at most RANGES steps, the number of shards, and a row's step."""
-    least, most = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    least, most = least or 0, most or 0
-    step = F.coalesce(F.floor((F.col("page_id") - least) / ((most - least + 1) / RANGES)), F.lit(0))
-    sums = sorted(rows.groupBy(step.alias("step")).agg(F.sum("size").alias("size")).collect())
-    shards, held, shard = [], 0, 0
-    for at, size in sums:
+def shard_bounds(rows: DataFrame, settings: WarcSettings) -> tuple[list[tuple[int, DataFrame]], int, int]:
+    """Shards by levels, each (bits, (cell, shard)) for the ids of a cell ``id >> bits``; how
+    many shards rows without id have before them; and the number of all shards.
+
+    A cell above ``shard_bytes`` is absent from its level and split in the next one.
+    """
+    least, most, unnamed = rows.agg(F.min("page_id"), F.max("page_id"), F.sum(F.when(F.col("page_id").isNull(), F.col("size")))).first()
+    first = 0 if unnamed is None else max(1, -(-unnamed // settings.shard_bytes))
+    if least is None:
+        return [], first, max(1, first)
+    bits = 0
+    while (most >> bits) - (least >> bits) >= RANGES:
+        bits += 1
+    leaves, named = [], rows.filter("page_id IS NOT NULL")
+    while True:
+        sums = named.groupBy(F.shiftright("page_id", bits).alias("cell")).agg(F.sum("size").alias("size")).collect()
+        heavy = [cell for cell, size in sums if bits and size > settings.shard_bytes]
+        leaves += [(cell << bits, bits, cell, size) for cell, size in sums if not bits or size <= settings.shard_bytes]
+        if not heavy:
+            break
+        cells = rows.sparkSession.createDataFrame([(cell,) for cell in heavy], "heavy long")
+        named = named.join(F.broadcast(cells), F.shiftright("page_id", bits) == F.col("heavy"), "left_semi")
+        # About RANGES new cells in all, at least 64 for each that is split.
+        parts = max(64, RANGES // len(heavy))
+        bits = max(0, bits - (parts.bit_length() - 1))
+    levels, held, shard = {}, 0, first
+    for _, bits, cell, size in sorted(leaves):
         if held and held + size > settings.shard_bytes:
             shard, held = shard + 1, 0
         held += size
-        shards.append((at, shard))
-    return rows.sparkSession.createDataFrame(shards, "step long, shard int"), shard + 1, step
+        levels.setdefault(bits, []).append((cell, shard))
+    frames = [(bits, rows.sparkSession.createDataFrame(cells, "cell long, shard int")) for bits, cells in levels.items()]
+    return frames, first, shard + 1
 
 
 def write_warc(pages: DataFrame, folder: str, settings: WarcSettings = WarcSettings()) -> DataFrame:
@@ -197,8 +218,15 @@ def write_warc(pages: DataFrame, folder: str, settings: WarcSettings = WarcSetti
     records = rows.select("page_id", none.alias("sha"), F.lit(None).cast("long").alias("owner"), "url", "html").union(
         marks.select("page_id", "sha", "owner", none, none)
     )
-    steps, shards, step = shard_bounds(light, settings)
-    placed = records.withColumn("step", step).join(F.broadcast(steps), "step").drop("step")
+    levels, first, shards = shard_bounds(light, settings)
+    # A mark and the payload it is for have one hash, so they meet in one shard.
+    of_payload = F.pmod(F.xxhash64(F.coalesce("sha", F.sha2(payload, 256))), F.lit(max(1, first))).cast("int")
+    placed, shard = records, F.when(F.col("page_id").isNull(), of_payload)
+    for k, (bits, cells) in enumerate(levels):
+        cells = cells.select(F.col("cell").alias(f"cell{k}"), F.col("shard").alias(f"shard{k}"))
+        placed = placed.join(F.broadcast(cells), F.shiftright("page_id", bits) == F.col(f"cell{k}"), "left")
+        shard = F.coalesce(shard, F.col(f"shard{k}"))
+    placed = placed.select("page_id", "sha", "owner", "url", "html", shard.alias("shard"))
     ordered = placed.repartitionById(shards, "shard").sortWithinPartitions(
         "shard", F.col("page_id").asc_nulls_first(), F.col("sha").desc_nulls_last(), "url", "html"
     )

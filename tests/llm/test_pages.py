@@ -53,6 +53,30 @@ def test_same_bytes_whatever_the_partitions(spark):
     assert archive(spark, settings, 1)[1] == archive(spark, settings, 5)[1]
 
 
+def test_outlying_and_missing_ids_spread_over_shards(spark):
+    """Ids 1..400 beside two far ones, and rows without id, of 1000 bytes each."""
+    ids = [*range(1, 401), 10**18, -(2**63), *[None] * 300]
+    rows = [(key, f"http://a.example/{n}", f"{n % 650:04d}" * 250) for n, key in enumerate(ids)]
+    folder = new_folder(spark, "test-warc")
+    settings = WarcSettings(shard_bytes=20_000)
+    manifest = write_warc(pages_of(spark, rows).repartition(4), folder, settings).collect()
+    shards = {}
+    for r in manifest:
+        shards[r["shard"]] = shards.get(r["shard"], 0) + r["records"]
+    assert sum(shards.values()) == len(rows) and len(shards) >= 30
+    # 20 payloads fill a shard; those without id are dealt by hash, so some shards have more.
+    assert max(shards.values()) < 50
+    owner = {}
+    for key, _, html in rows:
+        owner[html] = max(owner.get(html) or key, key, key=lambda k: -(2**64) if k is None else k)
+    expected = []
+    for key, _, html in rows:
+        revisit = owner[html] is not None and owner[html] != key
+        expected.append((key, "revisit" if revisit else "response", digest(html), owner[html] if revisit else None))
+    got = [(r["page_id"], r["record_type"], r["payload_digest"], r["refers_to"]) for r in read_warc(spark, folder).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 def test_files_outside_the_manifest_are_not_read(spark):
     folder, files = archive(spark, WarcSettings(), 2)
     with open(os.path.join(folder.removeprefix("file:"), "part-000099-00000.warc.gz"), "wb") as file:
