@@ -8,16 +8,17 @@ from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdex.catalog import query
 from loomdex.plans.ingest import parse_files, to_blocks
-from loomdex.session import read_table
+from loomdex.session import durable, read_table
 from loomdex.sources.parsers import R, S, SHEET_SECTION, W
 
 # The smallest packages of parts that office programs open.
 _NAMES = {"w": W.strip("{}"), "s": S.strip("{}"), "r": R.strip("{}")}
+TURNS_PER_SHEET = 256
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 
 
@@ -99,13 +100,35 @@ def docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM conversations"""
 )
 def xlsx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as a sheet of turns, parsed into lines of a specification."""
-    turns = read_table(spark, sf_dir, "conversations")
+    """Every conversation as sheets of turns, parsed into lines of a specification."""
+    return sheets_of_turns(read_table(spark, sf_dir, "conversations"))
+
+
+def sheets_of_turns(turns: DataFrame, turns_per_sheet: int = TURNS_PER_SHEET) -> DataFrame:
+    """One sheet for the turns of a conversation whose numbers fall into one step of
+    ``turns_per_sheet``, so that a long conversation is many small files. Parts are
+    numbered through the conversation: by the parts of a sheet plus those of the sheets
+    before it (a window over one short row a sheet)."""
     row = F.array(F.col("turn").cast("string"), "role", "text")
     header = F.array(F.array(F.lit("Артикул"), F.lit("role"), F.lit("text")))
     sorted_rows = F.transform(F.sort_array(F.collect_list(F.struct("turn", row.alias("cells")))), lambda x: x["cells"])
-    rows = turns.groupBy(F.col("conv_id").cast("string").alias("doc_id")).agg(F.concat(header, sorted_rows).alias("body"))
+    # A turn without number comes first. The sheet's name is its step and the conversation, if there is one.
+    step = F.coalesce(F.floor(F.col("turn") / turns_per_sheet), F.lit(-(1 << 62)))
+    name = F.concat_ws("/", step.cast("string"), F.col("conv_id").cast("string"))
+    rows = turns.groupBy(name.alias("doc_id")).agg(F.concat(header, sorted_rows).alias("body"))
     blocks = to_blocks(parse_files(_made(rows, "xlsx", xlsx_of)))
-    return blocks.filter(F.col("section") == SHEET_SECTION).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("block_no.part").cast("long").alias("part"), F.md5("content").alias("content_md5"), "section"
+    named = F.split("doc_id", "/")
+    parts = durable(
+        blocks.filter(F.col("section") == SHEET_SECTION).select(
+            F.get(named, F.lit(1)).cast("long").alias("doc_id"),
+            F.get(named, F.lit(0)).cast("long").alias("step"),
+            F.col("block_no.part").cast("long").alias("part"),
+            F.md5("content").alias("content_md5"),
+            "section",
+        )
     )
+    sheets = parts.groupBy("doc_id", "step").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("step")) - F.col("n")
+    sheets = sheets.select(F.col("doc_id").alias("id"), F.col("step").alias("at"), before.alias("before"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("step") == F.col("at"))
+    return parts.join(sheets, same).select("doc_id", (F.col("part") + F.col("before")).alias("part"), "content_md5", "section")
