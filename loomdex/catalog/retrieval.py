@@ -357,7 +357,7 @@ def embedding_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT coalesce(e.vec_id, d.doc_id) AS chunk_id,
-        round(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE)) * CASE WHEN d.doc_id % 3 = 0 THEN -1 ELSE 1 END, 4) AS checksum
+        round(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE)) * CASE WHEN e.vec_id % 3 = 0 THEN -1 ELSE 1 END, 4) AS checksum
     FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id
     UNION ALL SELECT -1 - vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) FROM embeddings WHERE vec_id % 5 = 0"""
 )

@@ -53,6 +53,11 @@ class QueryTerms:
         self.starts = np.searchsorted(np.array(term, np.int64)[order], np.arange(len(number) + 1))
         self.sizes = np.array([len(found or ()) for found in lexemes], np.float64)
 
+    def plain(self) -> tuple:
+        """Lists and arrays only: a broadcast variable is pickled by reference to its
+        classes, and the workers may have no copy of this package."""
+        return self.ids, self.vocabulary, self.queries, self.starts, self.sizes
+
 
 def fulltext_leg(block: QueryBlock, chunks: DataFrame, k: int, analyzer: str = "simple") -> DataFrame:
     """``(query_id, chunk_id, rank, score)`` for the k best chunks per query.
@@ -79,7 +84,7 @@ def _ranked(counted: DataFrame, block: QueryBlock, terms: QueryTerms, k: int) ->
     )
     if not terms.vocabulary:
         return merged(counted.sparkSession.createDataFrame([], schema), k, "score")
-    shipped = counted.sparkSession.sparkContext.broadcast(terms)
+    shipped = counted.sparkSession.sparkContext.broadcast(terms.plain())
     return merged(counted.mapInArrow(_local_best(shipped, k, id_types), schema), k, "score")
 
 
@@ -87,10 +92,10 @@ def _local_best(shipped, k: int, id_types):
     arrow_types = tuple(to_arrow_type(t) for t in id_types)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms: QueryTerms = shipped.value
+        ids, lexemes, queries, starts, sizes = shipped.value
         weights = np.array(weight_table())
-        vocabulary = pa.array(terms.vocabulary, pa.string())
-        count = len(terms.ids)
+        vocabulary = pa.array(lexemes, pa.string())
+        count = len(ids)
         best = LocalBest(count, k)
         for batch in slices(batches, min(TEXT_ROWS, max(1, SCORE_CELLS // count))):
             column = batch.column("lexemes")
@@ -104,15 +109,15 @@ def _local_best(shipped, k: int, id_types):
             row, term = pair // len(vocabulary), pair % len(vocabulary)
             weight = weights[np.minimum(tf, len(weights)) - 1]
             # Every pair meets the queries that have its lexeme.
-            spread = terms.starts[term + 1] - terms.starts[term]
+            spread = starts[term + 1] - starts[term]
             ends = np.cumsum(spread)
-            at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - spread, spread) + np.repeat(terms.starts[term], spread)
-            query = terms.queries[at]
+            at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - spread, spread) + np.repeat(starts[term], spread)
+            query = queries[at]
             cell = np.repeat(row, spread) * count + query
-            sums = np.bincount(cell, np.repeat(weight, spread) / terms.sizes[query], batch.num_rows * count)
+            sums = np.bincount(cell, np.repeat(weight, spread) / sizes[query], batch.num_rows * count)
             scores = np.round(sums.reshape(batch.num_rows, count), SCORE_DECIMALS)
             best.add(np.where(scores > 0, scores, -np.inf), batch.column("chunk_id"))
-        yield from best.rows(terms.ids, arrow_types, "score")
+        yield from best.rows(ids, arrow_types, "score")
 
     return scan
 

@@ -29,8 +29,8 @@ class Corpus:
     ``index``      optional stored postings: lexeme, chunk_id, doc_id, tf
 
     Texts, vectors and postings are separate tables because each leg reads only
-    its own. A chunk's document must be in ``documents``. Stored tables that carry
-    ``status`` beside doc_id are filtered without a join.
+    its own. Rows whose document is not in ``documents`` are not searchable. Stored
+    tables that carry ``status`` beside doc_id are filtered without a join.
     """
 
     chunks: DataFrame
@@ -47,14 +47,14 @@ class Corpus:
 
 
 def searchable(table: DataFrame, corpus: Corpus, doc_ids: DocIds) -> DataFrame:
-    """Rows of indexed documents. A table that carries ``status`` (stored corpora)
-    is filtered in place; else the few documents that are not indexed are taken
-    out, so while they are few no text or vector is shuffled for it."""
+    """Rows whose document exists and is indexed; rows without a document (deleted,
+    not yet committed) are never found. A table that carries ``status`` (stored
+    corpora) is filtered in place; else the ids of the indexed documents are joined."""
     if "status" in table.columns:
         table = table.filter(F.col("status") == "indexed")
     else:
-        hidden = corpus.documents.filter(~F.col("status").eqNullSafe("indexed")).select("doc_id")
-        table = table.join(hidden, "doc_id", "left_anti")
+        indexed = corpus.documents.filter(F.col("status") == "indexed").select("doc_id")
+        table = table.join(indexed, "doc_id", "left_semi")
     if isinstance(doc_ids, DataFrame):
         return table.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     return table.filter(F.col("doc_id").isin(list(doc_ids))) if doc_ids else table

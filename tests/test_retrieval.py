@@ -1,4 +1,7 @@
 import math
+import os
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -112,6 +115,46 @@ def test_document_filter_and_status(spark):
         assert ids(searcher(query, make_corpus(spark, status="embed_failed"))) == []
 
 
+def test_rows_without_a_document_are_not_found(spark):
+    """Vectors and texts of deleted documents stay stored for a while."""
+    corpus = make_corpus(spark)
+    gone = {"chunk_id": F.lit("gone"), "doc_id": F.lit("gone")}
+    with_orphans = Corpus(
+        corpus.chunks.union(corpus.chunks.withColumns(gone)),
+        corpus.vectors.union(corpus.vectors.withColumns(gone)),
+        corpus.documents,
+    )
+    for mode in ("vector", "fts", "hybrid"):
+        asked = ask(spark, "мощность блендера")
+        found = {r["chunk_id"] for r in search(asked, with_orphans, mode=mode, top_k=10).collect()}
+        assert found == {r["chunk_id"] for r in search(asked, corpus, mode=mode, top_k=10).collect()}
+        assert "gone" not in found
+
+
+FOREIGN = """
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as entry
+sys.path.remove({root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("ROWS", entry.queries()["hybrid_search"](spark, {small!r}).count())
+"""
+
+
+def test_search_needs_no_package_on_the_workers(tmp_path):
+    """Started elsewhere without PYTHONPATH, the workers cannot import the package."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    small = "/root/testdata/sf0.001"
+    if not os.path.isdir(small):
+        pytest.skip("test tables not present")
+    script = tmp_path / "foreign.py"
+    script.write_text(FOREIGN.format(root=root, small=small))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in done.stdout, done.stderr[-2000:]
+
+
 def test_facade(spark):
     corpus = make_corpus(spark)
     found = search(ask(spark, "мощность блендера"), corpus, mode="vector", threshold=0.0, brand="A", top_k=3)
