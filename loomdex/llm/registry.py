@@ -12,6 +12,7 @@ from loomdex.llm.common import table
 from loomdex.llm.decontaminate import find_contamination
 from loomdex.llm.exact_dedup import exact_dedup
 from loomdex.llm.language_id import identify_language
+from loomdex.llm.minhash_tensor import remove_near_copies
 from loomdex.llm.ngram_join import JaccardSettings, join_similar
 from loomdex.llm.piece_encoding import encode_pieces
 from loomdex.llm.quality import score_quality
@@ -19,6 +20,7 @@ from loomdex.llm.sharding import shard_rows
 from loomdex.llm.suffix_dedup import remove_repeats
 from loomdex.llm.url_filter import judge_urls
 from loomdex.llm.warc import archive_and_read
+from loomdex.llm.whitening import whiten
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -185,3 +187,13 @@ def op8_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_near_copies(table(spark, sf_dir, "documents")).drop("text_hash")
