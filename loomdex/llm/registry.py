@@ -17,6 +17,7 @@ from loomdex.llm.ngram_join import JaccardSettings, join_similar
 from loomdex.llm.piece_encoding import encode_pieces
 from loomdex.llm.quality import score_quality
 from loomdex.llm.sharding import shard_rows
+from loomdex.llm.spelling import spelling_variants
 from loomdex.llm.suffix_dedup import remove_repeats
 from loomdex.llm.url_filter import judge_urls
 from loomdex.llm.warc import archive_and_read
@@ -189,6 +190,36 @@ def op8_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# One letter deleted at the same place from two words of one length: one replacement.
+@query("""
+WITH RECURSIVE
+bits AS (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+         FROM (SELECT unnest(range(256)) AS b)),
+tab AS (SELECT list(v ORDER BY b) AS t FROM bits),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{C0}-\\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(regexp_extract_all(hex(coalesce(doc_id::VARCHAR, '') || ':' || run), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM runs, tab),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed)
+  GROUP BY word HAVING sum(n) >= 2 AND length(word) >= 7),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN w ON w.word = c.cut
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN w ON w.word = c.cut),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM pairs),
+f AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.near_n >= 10 * w.n THEN r.near END AS form,
+             CASE WHEN r.near_n >= 10 * w.n THEN r.near_n END AS form_n FROM w LEFT JOIN ranked r ON r.word = w.word AND r.k = 1),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL),
+last AS (SELECT walk.word, walk.root FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, last.root FROM f JOIN last ON last.word = f.word""")
+def op11_spelling_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
