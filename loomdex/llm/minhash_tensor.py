@@ -8,9 +8,9 @@
    (``recall``: 0.9998 at 0.85 with the defaults, more above it).
 2. A pair needs a half key of both collections in common, so half keys that only one set
    has are dropped before table keys are formed from the pairs that are left.
-3. Candidates are verified on their full sets, in two steps. First each set goes to a
-   group around the least set that shares most of its tables; a group (cut by
-   ``group_bytes``; a few of its sets go to every part) is searched for links in one task. Then the tables whose sets are not yet
+3. Candidates are verified on their full sets, in two steps. First each set follows the
+   least set that shares most of its tables; a tree of followers is a group (cut by
+   ``group_bytes``; a few of its sets go to every part) and is searched for links in one task. Then the tables whose sets are not yet
    one component are looked at again: a set visits the other groups in such a table,
    later groups the earlier ones, each pair of groups once. Sets that are already
    connected are not compared. Every pair that shares a table is thus connected or
@@ -212,15 +212,21 @@ GROUP = ["centre", "part"]
 
 
 def grouped_sets(keys: DataFrame, sizes: DataFrame, settings: TensorSettings) -> DataFrame:
-    """(set_id, centre, part, bytes): each set with the least set that shares most of its
-    tables, in parts of about ``group_bytes``."""
-    centres = keys.groupBy("table_key").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("most"))
-    near = keys.join(centres.filter("centre < most").drop("most"), "table_key").groupBy("set_id", "centre").agg(F.count(F.lit(1)).alias("tables"))
-    best = near.groupBy("set_id").agg(F.max_by("centre", F.struct(F.col("tables"), F.bitwise_not("centre"))).alias("centre"))
-    placed = staged(best.join(sizes, "set_id").select("set_id", "centre", (F.col("size") * 8 + 256).alias("bytes")), "centres")
-    parts = placed.groupBy("centre").agg(F.ceil(F.sum("bytes") / settings.group_bytes).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("set_id"), "parts").cast("int")
-    return staged(placed.join(parts, "centre").select("set_id", "centre", part.alias("part"), "parts", "bytes"), "groups")
+    """(set_id, centre, part, parts, bytes): each set follows the least set that shares
+    most of its tables; a tree of followers is a group, named by its least set, in parts
+    of about ``group_bytes``, in which followers of one set stay together if they fit."""
+    centres = keys.groupBy("table_key").agg(F.min("set_id").alias("followed"), F.max("set_id").alias("most"))
+    near = keys.join(centres.filter("followed < most").drop("most"), "table_key").groupBy("set_id", "followed").agg(F.count(F.lit(1)).alias("tables"))
+    best = near.groupBy("set_id").agg(F.max_by("followed", F.struct(F.col("tables"), F.bitwise_not("followed"))).alias("followed"))
+    best = staged(best, "followed")
+    trees = connected_components(best).select(F.col("node").alias("set_id"), F.col("component").alias("centre"))
+    placed = staged(best.join(trees, "set_id").join(sizes, "set_id").withColumn("bytes", F.col("size") * 8 + 256), "trees")
+    filled = F.ceil(F.sum("bytes") / settings.group_bytes).cast("int")
+    parts = placed.groupBy("centre").agg(filled.alias("parts"))
+    alike = placed.groupBy("centre", "followed").agg(filled.alias("own_parts"))
+    placed = placed.join(parts, "centre").join(alike, ["centre", "followed"])
+    part = F.pmod(F.xxhash64("followed", F.pmod("set_id", "own_parts")), "parts").cast("int")
+    return staged(placed.select("set_id", "centre", part.alias("part"), "parts", "bytes"), "groups")
 
 
 def pivots(placed: DataFrame, count: int) -> DataFrame:
