@@ -43,7 +43,28 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     a lost executor repeats nothing before it."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.staged_path = path
+    return written
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that no result needs any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that are not among those of ``df`` (upper case is no difference)."""
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        names.append(name)
+    return names
 
 
 def partitions(spark: SparkSession) -> int:
@@ -127,9 +148,11 @@ class RangeHash:
 BROADCAST_ROWS = 500_000
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint behind a count of the rows; else Spark joins by shuffle."""
-    return F.broadcast(df) if df.count() <= limit else df
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """A broadcast hint behind a count of the rows, or of what they hold as ``weight``
+    tells; else Spark joins by shuffle."""
+    size = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
 
 
 def with_hash(documents: DataFrame) -> DataFrame:
@@ -139,6 +162,7 @@ def with_hash(documents: DataFrame) -> DataFrame:
 
 def without(documents: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows whose (doc_id, text_hash) is not among ``dropped``."""
-    names = staged(dropped.select(F.col("doc_id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash")).distinct(), "dropped")
-    same = documents["doc_id"].eqNullSafe(F.col("_drop_id")) & (F.xxhash64(documents["text"]) == F.col("_drop_hash"))
+    drop_id, drop_hash = free_names(documents, "drop_id", "drop_hash")
+    names = staged(dropped.select(F.col("doc_id").alias(drop_id), F.col("text_hash").alias(drop_hash)).distinct(), "dropped")
+    same = documents["doc_id"].eqNullSafe(F.col(drop_id)) & (F.xxhash64(documents["text"]) == F.col(drop_hash))
     return documents.join(maybe_broadcast(names), same, "left_anti")

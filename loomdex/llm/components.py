@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import staged
+from loomdex.llm.common import staged, unstage
 
 
 class Forest:
@@ -45,7 +45,7 @@ def contracted(limit: int):
         forest = Forest()
 
         def stars() -> pa.RecordBatch:
-            nodes = list(forest.parent)
+            nodes = list(forest.parent)  # a node with a loop only is its own root
             return pa.RecordBatch.from_arrays(
                 [pa.array(nodes, kind), pa.array([forest.root(x) for x in nodes], kind)], ["u", "v"]
             )
@@ -54,7 +54,8 @@ def contracted(limit: int):
         for batch in batches:
             kind = batch.column(0).type
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                forest.join(x, y)
+                if not forest.join(x, y) and x == y:
+                    forest.parent.setdefault(x, x)
             if len(forest.parent) > limit:
                 yield stars()
                 forest = Forest()
@@ -71,9 +72,10 @@ def connected_components(edges: DataFrame, limit: int = 300_000) -> DataFrame:
     u, v = edges.columns[:2]
     kind = edges.schema[u].dataType.simpleString()
     edges = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).dropna()
-    loops = edges.filter("u = v").select("u").distinct()
-    edges = staged(edges.filter("u <> v").mapInArrow(contracted(limit), f"u {kind}, v {kind}").distinct(), "edges")
-    loops = staged(loops, "loops")
+    # Loops pass through the forest too, so the input is computed once.
+    edges = staged(edges.mapInArrow(contracted(limit), f"u {kind}, v {kind}").distinct(), "edges")
+    loops = staged(edges.filter("u = v").select("u").distinct(), "loops")
+    first, edges = edges, edges.filter("u <> v")
     seen = None
     while True:
         ways = edges.union(edges.select("v", "u"))
@@ -83,6 +85,8 @@ def connected_components(edges: DataFrame, limit: int = 300_000) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("least"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("e"))
         edges = staged(small.select("e.u", "e.v").filter("u <> v").distinct(), "small-star")
+        unstage(first, large)
+        first = edges
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

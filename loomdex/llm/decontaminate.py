@@ -15,7 +15,7 @@ by hash are numbers. Item fingerprints are broadcast up to ``BROADCAST_ROWS`` ro
 
 Cases: null text has no words. Items without words or without id are ignored;
 several texts of one item id are windows of that id. Rows with equal id and equal
-text give one row; a null id is an id. Empty tables give no rows, or no hits.
+text are judged once and give a row each; a null id is an id. Empty tables give no rows, or no hits.
 Columns beside ids and texts are not read.
 """
 
@@ -91,7 +91,7 @@ def item_fingerprints(items: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def hits_of(documents: DataFrame, prints: DataFrame, lengths: list[int]) -> DataFrame:
-    """doc_id, text_hash, n_words and the set of (item_id, offset) of every document."""
+    """doc_id, text_hash, n_words, rows and the set of (item_id, offset) of every document."""
 
     def marks(words: Column) -> Column:
         def all_prints(codes: Column) -> Column:
@@ -109,14 +109,17 @@ def hits_of(documents: DataFrame, prints: DataFrame, lengths: list[int]) -> Data
         prints = F.broadcast(prints)
     joined = rows.join(prints, "hash", "left").filter("place < 0 OR item_id IS NOT NULL")
     hit = F.when(F.col("item_id").isNotNull(), F.struct("item_id", (F.col("place") - F.col("item_place")).alias("offset")))
-    return joined.groupBy("doc_id", "text_hash").agg(F.max("n_words").cast("long").alias("n_words"), F.collect_set(hit).alias("hits"))
+    own = F.count_if(F.col("place") < 0)
+    return joined.groupBy("doc_id", "text_hash").agg(F.max("n_words").cast("long").alias("n_words"), own.alias("rows"), F.collect_set(hit).alias("hits"))
 
 
 def extended(hits: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, text_hash, hit word places and item ids of the documents with hits."""
     pairs = hits.select("doc_id", "text_hash", F.explode("hits").alias("hit")).select("doc_id", "text_hash", "hit.item_id", "hit.offset")
-    listed = pairs.join(items, "item_id").groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.struct("item_id", "offset", "item_words")).alias("hits")
+    # An item's words are in a row once, whatever the number of its offsets there.
+    offsets = pairs.groupBy("doc_id", "text_hash", "item_id").agg(F.collect_set("offset").alias("offsets"))
+    listed = offsets.join(items, "item_id").groupBy("doc_id", "text_hash").agg(
+        F.collect_set(F.struct("item_id", "offsets", "item_words")).alias("hits")
     )
     texts = documents.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "text")
     texts = listed.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
@@ -125,15 +128,17 @@ def extended(hits: DataFrame, documents: DataFrame, items: DataFrame) -> DataFra
     def compared(words: Column, hit: Column) -> Column:
         size = F.size(hit["item_words"])
         window = F.least(size, F.lit(WINDOW))
-        start = hit["offset"]
-        same = F.filter(
-            places(size - window + 1),
-            lambda s: (s + start >= 0)
-            & (s + start + window <= F.size(words))
-            & (F.slice(words, F.greatest(s + start, F.lit(0)) + 1, window) == F.slice(hit["item_words"], s + 1, window)),
-        )
-        at = F.flatten(F.transform(same, lambda s: F.sequence(s + start, s + start + window - 1)))
-        return F.struct(hit["item_id"].alias("item_id"), at.alias("at"))
+
+        def places_at(start: Column) -> Column:
+            same = F.filter(
+                places(size - window + 1),
+                lambda s: (s + start >= 0)
+                & (s + start + window <= F.size(words))
+                & (F.slice(words, F.greatest(s + start, F.lit(0)) + 1, window) == F.slice(hit["item_words"], s + 1, window)),
+            )
+            return F.flatten(F.transform(same, lambda s: F.sequence(s + start, s + start + window - 1)))
+
+        return F.struct(hit["item_id"].alias("item_id"), F.flatten(F.transform(hit["offsets"], places_at)).alias("at"))
 
     found = let(words_of(F.col("text")), lambda words: F.filter(F.transform("hits", lambda h: compared(words, h)), lambda x: F.size(x["at"]) > 0))
     texts = texts.select("doc_id", "text_hash", found.alias("found"))
@@ -158,6 +163,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     joined = hits.join(sure, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     places_hit = F.coalesce("places", F.array().cast("array<int>"))
     n_hit = F.size(places_hit).cast("long")
+    # A row for every row that has this id and text.
+    joined = joined.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return joined.select(
         "doc_id",
         "n_words",

@@ -10,15 +10,17 @@
 3. Clusters are cut into groups (blocks) of similar sets, by their least hash, of
    about ``group_bytes`` of shingles. The token-group matrix keeps each group's token union; a set's
    overlap with the union bounds its overlap with every member. Only where the bound
-   reaches ``ceil(t * n)`` is the group opened and each member's overlap counted. A
-   cluster of one group is always opened: its queries are its members, and only the
-   prefix filter has selected them.
+   reaches ``ceil(t * n)`` is the group opened and each member's overlap counted. In a
+   cluster of several groups the bound is taken twice: a set whose prefix shingles are
+   all outside a group's union cannot reach it (narrow rows, before any set moves), then
+   its whole overlap with the union. A cluster of one group is always opened: its
+   queries are its members, and only the prefix filter has selected them.
 4. Links become components (``components``) and degrees; copies count in degrees
    without being expanded.
 
 Each pair of groups is looked at from one side. The sets that query a group are dealt
 out by ``query_bytes`` at a time, so a hot group is no single task. Near copies of one text
-that are *not* over the threshold cost a comparison for each pair within their
+cost a count of shared shingles (a vector operation for each query and group) within their
 cluster; there are no rows for pairs.
 
 Cases: null text and texts without words have the empty set and are linked with
@@ -38,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import staged
-from loomdex.llm.components import Forest, connected_components
+from loomdex.llm.common import staged, unstage
+from loomdex.llm.components import connected_components
 from loomdex.llm.shingles import Shingler, set_id
 from loomdex.llm.text_blocks import KEY, answered, bucket_bits, named, parts_of, unpacked, write_blocks
 
@@ -185,30 +187,33 @@ def opened(threshold: Fraction) -> Callable[[pa.Table], pa.Table]:
     up, down = threshold.numerator, threshold.denominator
 
     def run(rows: pa.Table) -> pa.Table:
-        sets, copies = rows.column("set_id").to_pylist(), rows.column("copies").to_pylist()
+        sets, copies, role = (rows.column(c).to_numpy() for c in ("set_id", "copies", "role"))
         tokens = numbers(rows.column("tokens"), np.uint64)
-        role = rows.column("role").to_pylist()
-        members = [k for k, r in enumerate(role) if r < 2]
-        queries = [k for k, r in enumerate(role) if r > 0]
-        edges, degree = [], {}
-        if members and queries:
-            group, forest = TokenGroup([tokens[k] for k in members]), Forest()
-            for q in queries:
+        members, queries = np.flatnonzero(role < 2), np.flatnonzero(role > 0)
+        edges, degree, roots = [], np.zeros(len(sets), np.int64), np.arange(len(sets))
+        if len(members) and len(queries):
+            group, names = TokenGroup([tokens[k] for k in members]), sets[members]
+            for q in queries.tolist():
                 size = len(tokens[q])
                 shared = group.overlaps(tokens[q], -(-up * size // down))
                 if shared is None:
                     continue
-                for m in np.flatnonzero(down * shared >= up * (size + group.sizes - shared)).tolist():
-                    k = members[m]
-                    # A member is its own query in role 1: each pair once.
-                    if role[q] == 1 and sets[k] >= sets[q]:
-                        continue
-                    degree[sets[q]] = degree.get(sets[q], 0) + copies[k]
-                    degree[sets[k]] = degree.get(sets[k], 0) + copies[q]
-                    if forest.join(sets[q], sets[k]):
-                        edges.append((sets[q], sets[k], 0))
-        out = edges + [(s, None, n) for s, n in degree.items()]
-        return pa.table({name: pa.array([x[k] for x in out], pa.int64()) for k, name in enumerate(("set_id", "partner", "links"))})
+                linked = down * shared >= up * (size + group.sizes - shared)
+                if role[q] == 1:  # a member is its own query: each pair once
+                    linked &= names < sets[q]
+                linked = members[linked]
+                degree[q] += copies[linked].sum()
+                degree[linked] += copies[q]
+                trees, first = np.unique(roots[linked], return_index=True)
+                new = trees != roots[q]
+                if new.any():
+                    edges += [(q, int(k)) for k in linked[first[new]]]
+                    roots[np.isin(roots, trees[new])] = roots[q]
+        ends = np.array(edges, np.int64).reshape(-1, 2)
+        some = np.flatnonzero(degree)
+        columns = [np.r_[sets[ends[:, 0]], sets[some]], np.r_[sets[ends[:, 1]], some], np.r_[np.zeros(len(ends), np.int64), degree[some]]]
+        no_partner = np.arange(len(columns[0])) >= len(ends)
+        return pa.table({"set_id": columns[0], "partner": pa.array(columns[1], pa.int64(), mask=no_partner), "links": columns[2]})
 
     return run
 
@@ -232,14 +237,17 @@ def clusters_of(sets: DataFrame, group_bytes: int) -> DataFrame:
 def join_similar(documents: DataFrame, settings: JaccardSettings = JaccardSettings()) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links and text_hash of every row."""
     spark = documents.sparkSession
-    name, _, total = write_blocks(documents, 1, settings.block_bytes)
-    table = spark.table(name)
-    bits = bucket_bits(2 * total, settings.bucket_bytes)
-    asked = table.mapInArrow(shingle_counts(settings, bits), "bucket int, block long, hashes binary, counts binary")
-    counts = answered(asked, bits, totals, "counts")
-    told = table.join(counts.hint("shuffle_hash"), "block", "left")
-    texts = staged(told.mapInArrow(linkable(settings, bits), SETS), "sets")
-    spark.sql(f"DROP TABLE {name}")
+    name, copies_of_texts, total = write_blocks(documents, 1, settings.block_bytes)
+    try:
+        table = spark.table(name)
+        bits = bucket_bits(2 * total, settings.bucket_bytes)
+        asked = table.mapInArrow(shingle_counts(settings, bits), "bucket int, block long, hashes binary, counts binary")
+        counts = answered(asked, bits, totals, "counts")
+        told = table.join(counts.hint("shuffle_hash"), "block", "left")
+        texts = staged(told.mapInArrow(linkable(settings, bits), SETS), "sets")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+    unstage(counts, copies_of_texts)
 
     keyed = named(documents).select("doc_id", "text_hash", *KEY)
     of_text = texts.select(*KEY, "size", "set_id").dropDuplicates(KEY)
@@ -254,16 +262,22 @@ def join_similar(documents: DataFrame, settings: JaccardSettings = JaccardSettin
     placed = clusters_of(linked.drop("tokens"), settings.group_bytes)
     members = placed.join(linked.select("set_id", "tokens"), "set_id").join(sets.select("set_id", "copies"), "set_id")
     members = staged(members, "members")
-    # A block is queried by the sets of all later blocks of its cluster.
+    # A block is queried by the sets of later blocks of its cluster that have a prefix
+    # shingle in common with its union. Tokens move for these only.
     share_count = F.greatest(F.lit(1), F.ceil(F.col("blocks") * settings.group_bytes / settings.query_bytes)).cast("int")
     columns = ["cluster", "block", "share", "set_id", "copies", "tokens", "role"]
     inside = members.withColumn("share", F.explode(F.sequence(F.lit(0), share_count - 1)))
     inside = inside.withColumn("role", F.when(F.col("share") == 0, 1).otherwise(0)).select(*columns)
-    outside = members.filter("block > 0").withColumn("share", F.pmod(F.xxhash64("set_id"), share_count).cast("int"))
-    outside = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).withColumn("role", F.lit(2)).select(*columns)
+    several = placed.filter("blocks > 1").select("set_id", "cluster", "block")
+    held = several.join(linked.select("set_id", F.explode("prefix").alias("token")), "set_id")
+    union = held.select("cluster", "token", F.col("block").alias("asked")).distinct()
+    asking = held.join(union, ["cluster", "token"]).filter("asked < block").select("set_id", "asked").distinct()
+    outside = members.join(asking, "set_id").withColumn("share", F.pmod(F.xxhash64("set_id"), share_count).cast("int"))
+    outside = outside.withColumn("block", F.col("asked")).withColumn("role", F.lit(2)).select(*columns)
     grouped = inside.union(outside).groupBy("cluster", "block", "share")
     results = staged(grouped.applyInArrow(opened(settings.threshold), "set_id long, partner long, links long"), "links")
 
+    unstage(texts, linked, members, placed)
     parts = connected_components(results.filter("partner IS NOT NULL").select("set_id", "partner"))
     parts = parts.withColumnRenamed("node", "set_id")
     names = parts.join(sets, "set_id").groupBy("component").agg(F.min("first_doc").alias("component_id"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdex.llm.common import pieces
+from loomdex.llm.common import free_names, pieces
 
 MARK = "▁"
 TABLE_CHUNKS = 60_000
@@ -103,8 +103,9 @@ def encode_pieces(documents: DataFrame, model_path: str, text_col: str = "text",
     with open(model_path, "rb") as file:
         model = file.read()
     load(model)
-    source = documents.select(*keep, F.col(text_col).alias("_text"))
+    (text,) = free_names(documents.select(*keep), "text")
+    source = documents.select(*keep, F.col(text_col).alias(text))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     if decode:
         schema = schema.add("decoded", T.StringType())
-    return source.mapInArrow(encoder(model, "_text", decode), schema)
+    return source.mapInArrow(encoder(model, text, decode), schema)

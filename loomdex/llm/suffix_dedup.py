@@ -35,10 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import RangeHash, maybe_broadcast, raw_text, staged
+from loomdex.llm.common import RangeHash, maybe_broadcast, raw_text, staged, unstage
 from loomdex.llm.text_blocks import KEY, answered, bucket_bits, named, parts_of, unpacked, write_blocks
 
 
+#: Numbers in all spans (ends of spans and names of texts) up to which they are broadcast.
+BROADCAST_NUMBERS = 2_000_000
+
+
 @dataclass(frozen=True)
 class SuffixSettings:
     depth: int = 400
@@ -213,21 +217,23 @@ def repeated_strings(documents: DataFrame, settings: SuffixSettings = SuffixSett
     """(h1, h2, n_bytes, starts, ends) of every distinct text with repeated strings."""
     spark = documents.sparkSession
     name, copies, total = write_blocks(documents, settings.depth, settings.block_bytes)
-    table = spark.table(name)
-
-    cover = cover_for(settings.depth)
-    names_bytes = total * 8 * len(cover[1]) // cover[0]
-    bits = bucket_bits(names_bytes, settings.bucket_bytes)
-    kind = "bucket int, block long, hashes binary"
-    ranks = answered(table.mapInArrow(name_hashes(settings, bits), kind), bits, shared_hashes, "ranks")
-    # Blocks without a shared rank may still repeat within themselves: a left join.
-    ranked = table.join(ranks.hint("shuffle_hash"), "block", "left")
-    repeats = answered(ranked.mapInArrow(tie_hashes(settings, bits), kind), bits, shared_hashes, "repeats")
-    both = ranked.join(repeats.hint("shuffle_hash"), "block", "left")
-    spans = both.mapInArrow(repeated_spans(settings, bits), "h1 long, h2 long, n_bytes long, starts array<long>, ends array<long>")
-    whole = copies.select(*KEY, F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_bytes").alias("ends"))
-    spans = staged(spans.join(maybe_broadcast(copies.select(*KEY)), KEY, "left_anti").union(whole), "spans")
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        table = spark.table(name)
+        cover = cover_for(settings.depth)
+        names_bytes = total * 8 * len(cover[1]) // cover[0]
+        bits = bucket_bits(names_bytes, settings.bucket_bytes)
+        kind = "bucket int, block long, hashes binary"
+        ranks = answered(table.mapInArrow(name_hashes(settings, bits), kind), bits, shared_hashes, "ranks")
+        # Blocks without a shared rank may still repeat within themselves: a left join.
+        ranked = table.join(ranks.hint("shuffle_hash"), "block", "left")
+        repeats = answered(ranked.mapInArrow(tie_hashes(settings, bits), kind), bits, shared_hashes, "repeats")
+        both = ranked.join(repeats.hint("shuffle_hash"), "block", "left")
+        spans = both.mapInArrow(repeated_spans(settings, bits), "h1 long, h2 long, n_bytes long, starts array<long>, ends array<long>")
+        whole = copies.select(*KEY, F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_bytes").alias("ends"))
+        spans = staged(spans.join(maybe_broadcast(copies.select(*KEY)), KEY, "left_anti").union(whole), "spans")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+    unstage(ranks, repeats, copies)
     return spans
 
 
@@ -251,7 +257,9 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(documents: DataFrame, settings: SuffixSettings = SuffixSettings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, span starts and ends (null: none) and kept bytes of every row."""
     spans = repeated_strings(documents, settings)
-    joined = named(documents).join(maybe_broadcast(spans), KEY, "left")
+    # Spans are broadcast by the numbers they hold: a text may have any number of them.
+    spans = maybe_broadcast(spans, BROADCAST_NUMBERS, F.size("starts") * 2 + len(KEY))
+    joined = named(documents).join(spans, KEY, "left")
     return joined.select("doc_id", "n_bytes", "text", "starts", "ends").mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary"
     )

@@ -7,18 +7,22 @@ import re
 
 from pyspark.sql import types as T
 
+#: Names that operators and stages use, or used once, for columns of their own.
+CLASHING = (
+    "text_hash", "ids", "component_id", "set_id", "kept", "row", "rows", "own_id", "own_hash", "drop_id", "DROP_HASH",
+    "_id", "_hash", "_text", "_drop_id", "_drop_hash", "h1", "n_bytes", "sha", "size", "word", "n", "hits", "place",
+)
 DOCUMENTS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
      T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
-     # Names that operators use for columns of their own.
-     T.StructField("text_hash", T.StringType()), T.StructField("ids", T.StringType()), T.StructField("component_id", T.StringType())]
+     *(T.StructField(name, T.StringType()) for name in CLASHING)]
 )
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def frame(spark, rows):
     """rows: (doc_id, text, lang, source)."""
-    full = [(i, t, lang, source, None if t is None else len(t), "x", "y", "z") for i, t, lang, source in rows]
+    full = [(i, t, lang, source, None if t is None else len(t), *CLASHING) for i, t, lang, source in rows]
     return spark.createDataFrame(full, DOCUMENTS)
 
 
