@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import maybe_broadcast, new_folder, staged, table, without
+from loomdex.llm.common import free_names, maybe_broadcast, new_folder, staged, table, without
 from loomdex.llm.decontaminate import find_contamination
 from loomdex.llm.exact_dedup import exact_dedup
 from loomdex.llm.ngram_join import join_similar
@@ -48,13 +48,14 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def one_of_each(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """One row for each (doc_id, text_hash) of ``repeated``; other rows stay as they are."""
-    names = repeated.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    own_id, own_hash = free_names(docs, "own_id", "own_hash")
+    names = repeated.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
     if names.isEmpty():
         return docs
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    same = docs["doc_id"].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs["text"]) == F.col(own_hash))
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-    rows = docs.join(maybe_broadcast(names), same).select("_id", "_hash", row.alias("row"))
-    first = rows.groupBy("_id", "_hash").agg(F.max_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    rows = docs.join(maybe_broadcast(names), same).select(F.col(own_id).alias("own_id"), F.col(own_hash).alias("own_hash"), row.alias("row"))
+    first = rows.groupBy("own_id", "own_hash").agg(F.max_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
     return without(docs, repeated).union(first.select("row.*"))
 
 
