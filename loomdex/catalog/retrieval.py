@@ -26,12 +26,14 @@ from loomdex.catalog.base import (
 )
 from loomdex.functions.vectors import l2_normalize, stored_precision
 from loomdex.operators import sweep
+from loomdex.operators.block_max import BlockSettings, save_blocks
 from loomdex.operators.fulltext import postings
 from loomdex.operators.state import upsert_vectors
+from loomdex.operators.vector_cells import save_cells
 from loomdex.plans import retrieval
 from loomdex.plans.retrieval import Corpus
 from loomdex.session import read_table, scratch_folder
-from loomdex.sources.tables import save_postings
+from loomdex.sources.tables import drop_corpus, save_corpus, save_postings
 
 TOP_K = 5
 THRESHOLD = 0.33
@@ -62,6 +64,48 @@ def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TOP_K_SQL = (
+    with_ctes(NO_FILTER, QUERY_SQL, VECTOR_LEG_SQL.format(depth=TOP_K))
+    + " SELECT query_id, rank, chunk_id, round(cosine, 6) AS score FROM vleg"
+)
+
+
+def _files(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@query(_TOP_K_SQL)
+def vector_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over stored tables in equal buckets: the join with the
+    documents moves no vector."""
+    queries, live = _inputs(spark, sf_dir)
+    path = scratch_folder(spark, "corpus")
+    prefix = path.rpartition("/")[2].replace("-", "_")
+    tables = save_corpus({"vectors": live.vectors, "documents": live.documents}, prefix, _files(spark), path)
+    stored = replace(live, **tables)
+    hits = _rounded(retrieval.search_vector(queries, stored, top_k=TOP_K, threshold=-1.0))
+    drop_corpus(spark, prefix, tables)
+    return hits
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Corpus]:
+    queries, live = _inputs(spark, sf_dir)
+    cells = save_cells(live.vectors, scratch_folder(spark, "cells"), _files(spark))
+    return queries, replace(live, cells=cells)
+
+
+@query(_TOP_K_SQL)
+def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search out of the cell index: cells below the k-th best are not read."""
+    return _rounded(retrieval.search_vector(*_cells(spark, sf_dir), top_k=TOP_K, threshold=-1.0))
+
+
+@query()
+def vector_cells_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells each search reads, of all; tested against the bounds by hand."""
+    return retrieval.index_use(*_cells(spark, sf_dir), top_k=TOP_K).select("query_id", "cells_read", "cells")
+
+
 @query(
     with_ctes(NO_FILTER, QUERY_SQL, VECTOR_LEG_SQL.format(depth=20))
     + f" SELECT query_id, rank, chunk_id, round(cosine, 6) AS score FROM vleg WHERE cosine >= {THRESHOLD}"
@@ -122,6 +166,27 @@ def fulltext_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.search_fts(queries, stored, top_k=TOP_K))
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Corpus]:
+    queries, live = _inputs(spark, sf_dir)
+    settings = BlockSettings(block_chunks=32)
+    return queries, replace(live, blocks=save_blocks(live.chunks, scratch_folder(spark, "blocks"), _files(spark), settings=settings))
+
+
+@query(
+    with_ctes(NO_FILTER, QUERY_SQL, FTS_LEG_SQL.format(depth=TOP_K))
+    + " SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM fleg"
+)
+def fulltext_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search out of block-maximum postings."""
+    return _rounded(retrieval.search_fts(*_blocks(spark, sf_dir), top_k=TOP_K))
+
+
+@query()
+def fulltext_blocks_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks each search opens, of those with a word of it."""
+    return retrieval.index_use(*_blocks(spark, sf_dir), top_k=TOP_K).select("query_id", "blocks_read", "blocks")
+
+
 @query(
     with_ctes(NO_FILTER, QUERY_SQL, FTS_LEG_SQL.format(depth=TOP_K))
     + " SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM fleg WHERE query_id % 2 = 0"

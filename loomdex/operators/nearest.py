@@ -19,6 +19,13 @@ from loomdex.operators.query_batch import QueryBlock
 COSINE_DECIMALS = 12
 
 
+def checked_vectors(vectors: DataFrame, width: int) -> DataFrame:
+    """The rows that have a vector; one of another width is an error."""
+    message = F.concat(F.lit(f"expected {width} dimensions, not "), F.size("embedding").cast("string"))
+    checked = F.when(F.size("embedding") == width, F.col("embedding")).otherwise(F.raise_error(message))
+    return vectors.filter("embedding IS NOT NULL").withColumn("embedding", checked)
+
+
 def vector_leg(block: QueryBlock, vectors: DataFrame, k: int) -> DataFrame:
     """``(query_id, chunk_id, rank, cosine)`` for the k nearest chunks per query.
 
@@ -39,9 +46,7 @@ def vector_leg(block: QueryBlock, vectors: DataFrame, k: int) -> DataFrame:
     if not ids:
         return merged(vectors.sparkSession.createDataFrame([], schema), k, "cosine")
     width = matrix.shape[1]
-    message = F.concat(F.lit(f"expected {width} dimensions, not "), F.size("embedding").cast("string"))
-    checked = F.when(F.size("embedding") == width, F.col("embedding")).otherwise(F.raise_error(message))
-    stored = vectors.filter("embedding IS NOT NULL").select("chunk_id", checked.alias("embedding"))
+    stored = checked_vectors(vectors, width).select("chunk_id", "embedding")
     shipped = vectors.sparkSession.sparkContext.broadcast((ids, np.ascontiguousarray(matrix.T)))
     return merged(stored.mapInArrow(_local_top_k(shipped, k, id_types), schema), k, "cosine")
 

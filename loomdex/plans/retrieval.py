@@ -10,10 +10,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.operators.block_max import block_leg
 from loomdex.operators.fulltext import fulltext_leg, stored_leg
 from loomdex.operators.fusion import attach_cosine, fuse_legs, fused_top_k
 from loomdex.operators.nearest import vector_leg
 from loomdex.operators.query_batch import QueryBlock, per_block
+from loomdex.operators.vector_cells import VectorCells, cell_leg
 from loomdex.settings import DEFAULTS, Settings, threshold_or_default, top_k_or_default
 
 DocIds = DataFrame | list | None
@@ -27,6 +29,8 @@ class Corpus:
     ``vectors``    chunk_id, doc_id, embedding; a chunk without a row is pending
     ``documents``  doc_id, filename, status
     ``index``      optional stored postings: lexeme, chunk_id, doc_id, tf
+    ``blocks``     optional block-maximum postings (``block_max``), read before ``index``
+    ``cells``      optional cell index of the vectors (``vector_cells``)
 
     Texts, vectors and postings are separate tables because each leg reads only
     its own. Rows whose document is not in ``documents`` are not searchable. Stored
@@ -38,6 +42,8 @@ class Corpus:
     documents: DataFrame
     index: DataFrame | None = None
     analyzer: str = "russian"
+    blocks: DataFrame | None = None
+    cells: VectorCells | None = None
 
     @classmethod
     def from_chunk_table(cls, chunks: DataFrame, documents: DataFrame, **rest) -> Corpus:
@@ -61,15 +67,39 @@ def searchable(table: DataFrame, corpus: Corpus, doc_ids: DocIds) -> DataFrame:
 
 
 def _vector_leg(block: QueryBlock, corpus: Corpus, k: int, doc_ids: DocIds) -> DataFrame:
+    if corpus.cells is not None:
+        return cell_leg(block, corpus.cells, lambda rows: searchable(rows, corpus, doc_ids), k)[0]
     return vector_leg(block, searchable(corpus.vectors, corpus, doc_ids), k)
 
 
 def _fts_leg(block: QueryBlock, corpus: Corpus, k: int, doc_ids: DocIds) -> DataFrame:
+    if corpus.blocks is not None:
+        return block_leg(block, corpus.blocks, lambda rows: searchable(rows, corpus, doc_ids), k, corpus.analyzer)[0]
     if corpus.index is not None:
         return stored_leg(block, searchable(corpus.index, corpus, doc_ids), k, corpus.analyzer)
     return fulltext_leg(block, searchable(corpus.chunks, corpus, doc_ids), k, corpus.analyzer)
 
 
+def index_use(queries: DataFrame, corpus: Corpus, *, top_k: int | None = None, doc_ids: DocIds = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """``(query_id, cells_read, cells, blocks_read, blocks)``: what a search of each leg
+    opens of the corpus's indexes; NULL for an index that the corpus does not have."""
+    k = top_k_or_default(top_k, settings)
+
+    def run(block: QueryBlock) -> DataFrame:
+        used = block.frame.select("query_id")
+        live = lambda rows: searchable(rows, corpus, doc_ids)
+        cells = cell_leg(block, corpus.cells, live, k)[1] if corpus.cells is not None else None
+        blocks = block_leg(block, corpus.blocks, live, k, corpus.analyzer)[1] if corpus.blocks is not None else None
+        for name, visited in (("cells", cells), ("blocks", blocks)):
+            if visited is None:
+                used = used.withColumns({f"{name}_read": F.lit(None).cast("long"), name: F.lit(None).cast("long")})
+            else:
+                used = used.join(visited, "query_id", "left").fillna(0, [f"{name}_read", name])
+        return used
+
+    return per_block(queries, run)
+
+
 def search_vector(
     queries: DataFrame,
     corpus: Corpus,
