@@ -15,9 +15,10 @@ from loomdex.operators import chunking, state
 from loomdex.operators.context import build_context, chunk_body, context_chunk_ids, pack_order
 from loomdex.operators.ordinals import group_ordinals
 from loomdex.plans.retrieval import Corpus, chunks_by_ids, chunks_of_documents
-from loomdex.session import read_table
+from loomdex.session import read_table, scratch_folder
 from loomdex.settings import DEFAULTS
 from loomdex.sources.files import classify_uploads
+from loomdex.sources.versions import SlicedTable
 
 # SQL spelling of the shared text expressions.
 SPACE_SQL = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]"
@@ -231,7 +232,11 @@ def cleaned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every document, taken as one cleaned block."""
-    documents = read_table(spark, sf_dir, "documents").select(
+    return chunks_of(read_table(spark, sf_dir, "documents"))
+
+
+def chunks_of(documents: DataFrame) -> DataFrame:
+    documents = documents.select(
         "doc_id",
         F.lit(1).alias("page"),
         F.lit(0).alias("block_no"),
@@ -289,6 +294,32 @@ def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LEFT_SQL = (
+    "FROM (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'new text: ' || text ELSE text END AS text "
+    "FROM documents WHERE doc_id % 3 <> 1))"
+)
+
+
+@query(
+    f"WITH {CHUNK_CTES.replace('FROM documents)', _LEFT_SQL, 1)} SELECT doc_id, ordinal, length(text) AS length, md5(text) AS text_md5 FROM doc_chunks"
+)
+def reingested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks in a versioned table: a third of the documents comes again with another
+    text and a third is deleted, in one commit."""
+    table = SlicedTable(spark, scratch_folder(spark, "versions"), slices=16)
+    documents = read_table(spark, sf_dir, "documents")
+    nobody = documents.select("doc_id").limit(0)
+    table.replace(document_chunks(spark, sf_dir), nobody)
+    changed = documents.filter("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("new text: "), F.col("text")))
+    table.replace(chunks_of(changed), documents.filter("doc_id % 3 <> 2").select("doc_id"))
+    return table.read().select(
+        "doc_id",
+        F.col("ordinal").cast("long").alias("ordinal"),
+        F.char_length("text").cast("long").alias("length"),
+        F.md5("text").alias("text_md5"),
+    )
+
+
 def _chunk_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     vectors = spark.createDataFrame([], "chunk_id STRING, doc_id BIGINT, embedding ARRAY<FLOAT>")
     return Corpus(document_chunks(spark, sf_dir), vectors, document_table(spark, sf_dir))

@@ -17,43 +17,40 @@ def _sum(column: str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0))
 
 
-def call_totals(calls: DataFrame) -> DataFrame:
-    """One row of totals with the exact 95th percentile of the latency.
-
-    Calls are first added up per latency value. Latencies are whole milliseconds
-    below the call timeout, so the second step, the only one in a single task,
-    reads a bounded histogram and never the calls themselves.
-    """
-    per_latency = calls.groupBy("latency_ms").agg(
+def _added_up() -> list[Column]:
+    """What is added up of calls, in any grouping."""
+    return [
         F.count("*").alias("calls"),
         F.count_if(F.col("outcome") == "ok").alias("calls_ok"),
         F.count_if(F.col("outcome") != "ok").alias("calls_error"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"),
         F.sum("cost").alias("cost_total"),
-    )
+    ]
+
+
+def _totals_of(per_latency: DataFrame, *keys: str) -> DataFrame:
+    """Totals, latencies and shares out of rows that are added up per latency value."""
     timed = F.col("latency_ms").isNotNull()
     weighted = F.sum(F.when(timed, F.col("latency_ms").cast("long") * F.col("calls")))
-    totals = per_latency.agg(
-        *[
-            _sum(name).alias(name)
-            for name in (
-                "calls",
-                "calls_ok",
-                "calls_error",
-                "prompt_tokens",
-                "completion_tokens",
-                "cost_total",
-            )
-        ],
+    names = ("calls", "calls_ok", "calls_error", "prompt_tokens", "completion_tokens", "cost_total")
+    totals = per_latency.groupBy(*keys).agg(
+        *[_sum(name).alias(name) for name in names],
         (weighted / F.nullif(F.sum(F.when(timed, F.col("calls"))), F.lit(0))).alias("latency_avg_ms"),
-        F.percentile("latency_ms", F.lit(QUANTILE), F.when(timed, F.col("calls")).otherwise(F.lit(0))).alias(
-            "latency_p95_ms"
-        ),
+        F.percentile("latency_ms", F.lit(QUANTILE), F.when(timed, F.col("calls")).otherwise(F.lit(0))).alias("latency_p95_ms"),
     )
-    return totals.withColumn(
-        "invalid_share", ratio(F.col("calls_error"), F.col("calls"))
-    ).withColumn("cost_avg", ratio(F.col("cost_total").cast("double"), F.col("calls")))
+    shares = {"invalid_share": ratio(F.col("calls_error"), F.col("calls")), "cost_avg": ratio(F.col("cost_total").cast("double"), F.col("calls"))}
+    return totals.withColumns(shares)
+
+
+def call_totals(calls: DataFrame) -> DataFrame:
+    """One row of totals with the exact 95th percentile of the latency.
+
+    Calls are first added up per latency value. Latencies are whole milliseconds
+    below the call timeout, so the second step, the only one in a single task,
+    reads a bounded histogram and never the calls themselves.
+    """
+    return _totals_of(calls.groupBy("latency_ms").agg(*_added_up()))
 
 
 def calls_by(calls: DataFrame, dimension: str) -> DataFrame:
@@ -92,84 +89,83 @@ def status_counts(table: DataFrame) -> DataFrame:
 
 
 def metrics_lines(calls: DataFrame, jobs: DataFrame, documents: DataFrame) -> DataFrame:
-    """``(section, position, line)``: the text exposition of all metrics.
-
-    Every input is aggregated to a handful of rows first.
-    """
-    totals = call_totals(calls)
-    values = [
-        ("llm_calls_total", "%d", "calls"),
-        ("llm_calls_ok", "%d", "calls_ok"),
-        ("llm_calls_error", "%d", "calls_error"),
-        ("llm_calls_invalid_share", "%.6f", "invalid_share"),
-        ("llm_prompt_tokens_total", "%d", "prompt_tokens"),
-        ("llm_completion_tokens_total", "%d", "completion_tokens"),
-        ("llm_cost_total", "%.6f", "cost_total"),
-        ("llm_cost_avg", "%.6f", "cost_avg"),
-        ("llm_latency_ms_avg", "%.1f", "latency_avg_ms"),
-        ("llm_latency_ms_p95", "%.1f", "latency_p95_ms"),
-    ]
-    fixed = ["# llm_calls", "# share of invalid model answers = llm_calls_error / llm_calls_total"]
-    lines = [F.lit(x) for x in fixed] + [
-        F.format_string(
-            f"{name} {form}",
-            F.coalesce(F.col(column).cast("long" if form == "%d" else "double"), F.lit(0)),
-        )
-        for name, form, column in values
-    ]
-    total_lines = totals.select(F.posexplode(F.array(*lines)).alias("position", "line")).select(
-        F.lit("1-calls").alias("section"), F.lit("").alias("key"), "position", "line"
+    """``(section, key, position, line)``: the text exposition of all metrics, one
+    snapshot: every input is scanned once, in grouping sets."""
+    return _call_lines(calls).unionByName(_status_lines({"jobs": jobs, "documents": documents}))
+
+
+CALL_VALUES = (
+    ("llm_calls_total", "%d", "calls"),
+    ("llm_calls_ok", "%d", "calls_ok"),
+    ("llm_calls_error", "%d", "calls_error"),
+    ("llm_calls_invalid_share", "%.6f", "invalid_share"),
+    ("llm_prompt_tokens_total", "%d", "prompt_tokens"),
+    ("llm_completion_tokens_total", "%d", "completion_tokens"),
+    ("llm_cost_total", "%.6f", "cost_total"),
+    ("llm_cost_avg", "%.6f", "cost_avg"),
+    ("llm_latency_ms_avg", "%.1f", "latency_avg_ms"),
+    ("llm_latency_ms_p95", "%.1f", "latency_p95_ms"),
+)
+
+
+def _printed(form: str, column: str) -> Column:
+    value = F.col(column).cast("long" if form == "%d" else "double")
+    return F.format_string(form, F.coalesce(value, F.lit(0)))
+
+
+def _labelled(metric: str, label: str, form: str, column: str) -> Column:
+    return F.concat(F.lit(f'{metric}{{{label}="'), escape_label(F.col("key")), F.lit('"} '), _printed(form, column))
+
+
+def _rendered(rows: DataFrame, sections: list[tuple[Column, Column, list[Column]]]) -> DataFrame:
+    """The lines of each row by the first condition that it meets: (condition, section, lines)."""
+    (condition, section, lines), *more = sections
+    named, listed = F.when(condition, section), F.when(condition, F.array(*lines))
+    for condition, section, lines in more:
+        named, listed = named.when(condition, section), listed.when(condition, F.array(*lines))
+    return rows.select(named.alias("section"), "key", F.posexplode(listed).alias("position", "line"))
+
+
+def _with_empty_row(df: DataFrame) -> DataFrame:
+    """One more row of nulls, so that totals exist for an empty table."""
+    return df.union(df.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType) for f in df.schema]))
+
+
+def _call_lines(calls: DataFrame) -> DataFrame:
+    dimensions = ("latency_ms", "agent", "model")
+    sets = calls.groupingSets([[d] for d in dimensions], *dimensions)
+    # A row belongs to the one dimension that is not grouped away.
+    own = [F.when(F.grouping(d) == 0, F.lit(d)) for d in dimensions]
+    grouped = _with_empty_row(sets.agg(F.coalesce(*own).alias("kind"), *_added_up()))
+    kind = F.coalesce("kind", F.lit("latency_ms"))
+    key = F.when(kind == "agent", F.col("agent")).when(kind == "model", F.col("model"))
+    grouped = grouped.withColumns({"kind": kind, "key": F.coalesce(key, F.lit(""))})
+    totals = _totals_of(grouped, "kind", "key")
+    head = ["# llm_calls", "# share of invalid model answers = llm_calls_error / llm_calls_total"]
+    lines = [F.lit(x) for x in head] + [F.concat(F.lit(f"{name} "), _printed(form, column)) for name, form, column in CALL_VALUES]
+    agents = [_labelled("llm_calls_by_agent", "agent", "%d", "calls"), _labelled("llm_cost_by_agent", "agent", "%.6f", "cost_total")]
+    return _rendered(
+        totals,
+        [
+            (F.col("kind") == "latency_ms", F.lit("1-calls"), lines),
+            (F.col("kind") == "agent", F.lit("2-agents"), agents),
+            (F.col("kind") == "model", F.lit("3-models"), [_labelled("llm_calls_by_model", "model", "%d", "calls")]),
+        ],
     )
 
-    def labelled(df: DataFrame, section: str, label: str, metrics: list[tuple[str, str, str]]) -> DataFrame:
-        name = escape_label(F.coalesce(F.col(label), F.lit("")))
-        rendered = [
-            F.concat(
-                F.lit(f'{metric}{{{label}="'),
-                name,
-                F.lit('"} '),
-                F.format_string(form, F.col(column).cast("long" if form == "%d" else "double")),
-            )
-            for metric, form, column in metrics
-        ]
-        return df.select(
-            F.lit(section).alias("section"),
-            F.coalesce(F.col(label), F.lit("")).alias("key"),
-            F.posexplode(F.array(*rendered)).alias("position", "line"),
-        )
-
-    parts = [
-        total_lines,
-        labelled(
-            calls_by(calls, "agent"),
-            "2-agents",
-            "agent",
-            [("llm_calls_by_agent", "%d", "calls"), ("llm_cost_by_agent", "%.6f", "cost")],
-        ),
-        labelled(
-            calls_by(calls, "model"), "3-models", "model", [("llm_calls_by_model", "%d", "calls")]
-        ),
-    ]
-    for number, (name, table) in enumerate((("jobs", jobs), ("documents", documents))):
-        counts = status_counts(table)
-        head = counts.agg(_sum("rows").alias("total")).select(
-            F.posexplode(
-                F.array(F.lit(f"# {name}"), F.format_string(f"{name}_total %d", F.col("total")))
-            ).alias("position", "line")
-        )
-        parts.append(
-            head.select(
-                F.lit(f"{4 + 2 * number}-{name}").alias("section"), F.lit("").alias("key"), "position", "line"
-            )
-        )
-        parts.append(
-            labelled(
-                counts, f"{5 + 2 * number}-{name}-status", "status", [(f"{name}_total", "%d", "rows")]
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+
+def _status_lines(tables: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for number, (name, table) in enumerate(tables.items()):
+        sets = table.groupingSets([["status"], []], "status")
+        counts = _with_empty_row(sets.agg(F.grouping("status").alias("whole"), F.count("*").alias("rows")))
+        # The empty row belongs to the total.
+        whole = F.coalesce("whole", F.lit(1)) == 1
+        counts = counts.groupBy(whole.alias("whole"), F.coalesce("status", F.lit("")).alias("key")).agg(_sum("rows").alias("rows"))
+        head = [F.lit(f"# {name}"), F.concat(F.lit(f"{name}_total "), _printed("%d", "rows"))]
+        each = [_labelled(f"{name}_total", "status", "%d", "rows")]
+        lines = _rendered(counts, [(F.col("whole"), F.lit(f"{4 + 2 * number}-{name}"), head), (~F.col("whole"), F.lit(f"{5 + 2 * number}-{name}-status"), each)])
+        out = lines if out is None else out.unionByName(lines)
     return out
 
 

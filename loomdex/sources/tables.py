@@ -1,4 +1,4 @@
-"""Stored tables: bucketed by document, rewritten per bucket."""
+"""Stored tables: bucketed by document, clustered by lexeme."""
 
 from __future__ import annotations
 
@@ -43,38 +43,3 @@ def save_postings(index: DataFrame, path: str, files: int) -> None:
     statistics cover its lexemes. Hot lexemes span several files."""
     clustered = index.repartitionByRange(files, "lexeme", "chunk_id").sortWithinPartitions("lexeme", "chunk_id")
     clustered.write.mode("overwrite").parquet(path)
-
-
-def replace_documents(df: DataFrame, path: str, slices: int, key: str = "doc_id", replaced: DataFrame | None = None) -> None:
-    """Idempotent re-ingest: rewrite exactly the slices that ``df`` touches.
-
-    ``df`` must hold all rows of those slices (see ``merge_slices``). ``replaced``
-    are the ids given to ``merge_slices``: a slice of theirs that has no document
-    left is not in ``df``, and its folder goes.
-    """
-    slice_of = F.pmod(F.xxhash64(key), F.lit(slices)).alias("slice")
-    sliced = df.withColumn("slice", slice_of)
-    emptied = []
-    if replaced is not None:
-        # At most ``slices`` numbers.
-        emptied = [r["slice"] for r in replaced.select(slice_of).distinct().join(sliced.select("slice").distinct(), "slice", "left_anti").collect()]
-    (
-        sliced.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("slice")
-        .parquet(path)
-    )
-    spark = df.sparkSession
-    for number in emptied:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/slice={number}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def merge_slices(stored: DataFrame, fresh: DataFrame, replaced: DataFrame, slices: int, key: str = "doc_id") -> DataFrame:
-    """Rows of the slices that ``replaced`` (doc ids) touches, with the old rows
-    of those documents gone and the fresh ones in."""
-    slice_of = F.pmod(F.xxhash64(key), F.lit(slices))
-    ids = replaced.select(key).distinct()
-    touched = ids.select(slice_of.alias("slice")).distinct()
-    kept = stored.join(F.broadcast(touched), "slice", "left_semi").join(ids, key, "left_anti")
-    return kept.drop("slice").unionByName(fresh.select(*[c for c in stored.columns if c != "slice"]))

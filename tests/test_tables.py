@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 from loomdex.operators import accounting as acc
 from loomdex.operators import state
 from loomdex.schemas import CALLS
-from loomdex.session import durable
-from loomdex.sources.tables import merge_slices, replace_documents
+from loomdex.sources.versions import SlicedTable, VersionConflict
 
 ROWS = [
     ("j1", "A", "m", 10, 5, "0.500000", 100, "ok", None),
@@ -68,6 +67,18 @@ def test_exposition(spark):
     assert 'llm_calls_by_model{model="q\\"\\\\"} 1' in lines
     assert lines.index("# jobs") < lines.index("jobs_total 3") < lines.index('jobs_total{status="done"} 2')
     assert lines[-2:] == ["documents_total 0", ""]
+    nothing = acc.render_metrics(calls(spark, []), jobs, jobs).split("\n")
+    assert nothing[2] == "llm_calls_total 0" and 'documents_total{status="failed"} 1' in nothing
+
+
+def test_exposition_scans_every_table_once(spark, tmp_path):
+    jobs = spark.createDataFrame([("done",), ("failed",), ("done",)], "status STRING")
+    tables = {"calls": calls(spark), "jobs": jobs, "documents": jobs}
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / name))
+    lines = acc.metrics_lines(*(spark.read.parquet(str(tmp_path / name)) for name in tables))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3, plan
 
 
 def test_uploads(spark):
@@ -143,20 +154,59 @@ def test_reconcile_and_flags(spark):
     assert {tuple(r) for r in merged.collect()} == {("a1", "new"), ("z", "new"), ("b1", "old"), ("d1", "old")}
 
 
+def sliced(table):
+    return sorted((r["doc_id"], r["v"]) for r in table.read().collect())
+
+
 def test_reingest_rewrites_only_touched_slices(spark, tmp_path):
-    path = str(tmp_path / "chunks")
-    replace_documents(spark.createDataFrame([(f"d{i}", 0) for i in range(20)], "doc_id STRING, v INT"), path, 4)
-    fresh = spark.createDataFrame([("d3", 1), ("d3", 2)], "doc_id STRING, v INT")
-    merged = durable(merge_slices(spark.read.parquet(path), fresh, fresh, 4))
-    replace_documents(merged, path, 4)
-    rows = sorted((r["doc_id"], r["v"]) for r in spark.read.parquet(path).collect())
-    assert rows == sorted([(f"d{i}", 0) for i in range(20) if i != 3] + [("d3", 1), ("d3", 2)])
+    table = SlicedTable(spark, str(tmp_path / "chunks"), slices=4)
+    schema = "doc_id STRING, v INT"
+    nobody = spark.createDataFrame([], "doc_id STRING")
+    first = [(f"d{i}", 0) for i in range(20)]
+    assert table.version() == 0
+    with pytest.raises(ValueError, match="no version"):
+        table.read()
+    assert table.replace(spark.createDataFrame(first, schema), nobody) == 1 and sliced(table) == sorted(first)
+    untouched = {f for f in table.read(1).filter("doc_id <> 'd3'").inputFiles()}
+    assert table.replace(spark.createDataFrame([("d3", 1), ("d3", 2)], schema), nobody) == 2
+    assert sliced(table) == sorted([r for r in first if r[0] != "d3"] + [("d3", 1), ("d3", 2)])
+    kept = set(table.read().inputFiles()) & untouched
+    assert len(kept) >= 3 * len(untouched) // 4 - 1 and len(table.read().select("slice").distinct().collect()) == 4
+    # Old versions stay readable until they are vacuumed.
+    assert table.read(1).count() == 20
     # Deleting every document of a slice leaves nothing of it.
-    gone = spark.read.parquet(path).filter("slice = 1").select("doc_id").distinct()
+    gone = table.read().filter("slice = 1").select("doc_id").distinct()
     names = {r["doc_id"] for r in gone.collect()}
-    left = durable(merge_slices(spark.read.parquet(path), fresh.limit(0), gone, 4))
-    replace_documents(left, path, 4, replaced=spark.createDataFrame([(n,) for n in names], "doc_id STRING"))
-    assert {r["doc_id"] for r in spark.read.parquet(path).collect()} == {f"d{i}" for i in range(20)} - names
+    assert names and table.replace(spark.createDataFrame([], schema), gone) == 3
+    assert {r["doc_id"] for r in table.read().collect()} == {f"d{i}" for i in range(20)} - names
+    table.vacuum()
+    assert sliced(table) == sorted(r for r in sliced(table) if r[0] not in names) and table.version() == 3
+    everything = table.read().select("doc_id")
+    assert table.replace(spark.createDataFrame([], schema), everything) == 4 and sliced(table) == []
+
+
+def test_a_failure_between_the_steps_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    table = SlicedTable(spark, str(tmp_path / "chunks"), slices=4)
+    nobody = spark.createDataFrame([], "doc_id STRING")
+    rows = [(f"d{i}", 0) for i in range(20)]
+    table.replace(spark.createDataFrame(rows, "doc_id STRING, v INT"), nobody)
+    fresh = spark.createDataFrame([("d1", 7)], "doc_id STRING, v INT")
+    opened = table.read()
+
+    def dies(self, version, manifest):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(SlicedTable, "_commit", dies)
+        with pytest.raises(OSError, match="lost"):
+            table.replace(fresh, nobody)
+    assert table.version() == 1 and sliced(table) == sorted(rows)
+    # The next attempt takes the same number; whoever opened the old version keeps it.
+    assert table.replace(fresh, nobody) == 2 and ("d1", 7) in sliced(table)
+    assert sorted((r["doc_id"], r["v"]) for r in opened.collect()) == sorted(rows)
+    with pytest.raises(VersionConflict):
+        table._commit(2, {"schema": None, "slices": {}})
+    assert table.version() == 2 and ("d1", 7) in sliced(table)
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
