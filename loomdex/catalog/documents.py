@@ -19,6 +19,7 @@ from loomdex.session import read_table, scratch_folder
 from loomdex.settings import DEFAULTS
 from loomdex.sources.files import classify_uploads
 from loomdex.sources.versions import SlicedTable
+from loomdex.streaming.registry import registered, start_registry, upload_facts
 
 # SQL spelling of the shared text expressions.
 SPACE_SQL = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]"
@@ -463,21 +464,39 @@ def reconcile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    """SELECT sha256(text) AS content_hash, substring(sha256(sha256(text)), 1, 12) AS doc_id,
+_UPLOADS_SQL = """SELECT sha256(text) AS content_hash, substring(sha256(sha256(text)), 1, 12) AS doc_id,
         arg_min(source, doc_id) AS filename, min(doc_id) AS first_seq, count(*) AS copies
     FROM documents GROUP BY text"""
-)
-def upload_deduplication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uploads = read_table(spark, sf_dir, "documents").select(
+_UPLOAD_COLUMNS = ("content_hash", "doc_id", "filename", "first_seq", "copies")
+
+
+def _uploads(documents: DataFrame) -> DataFrame:
+    return documents.select(
         F.col("doc_id").alias("seq"),
         F.col("source").alias("filename"),
         F.col("lang").alias("kind"),
         F.col("text").cast("binary").alias("content"),
     )
-    return state.register_uploads(uploads).select(
-        "content_hash", "doc_id", "filename", "first_seq", "copies"
-    )
+
+
+@query(_UPLOADS_SQL)
+def streamed_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents as a stream: two micro-batches, then, after a restart, two
+    more with contents that are known by then."""
+    folder = scratch_folder(spark, "stream")
+    documents = read_table(spark, sf_dir, "documents")
+    for half in (0, 1):
+        part = documents.filter(F.pmod(F.floor(F.col("doc_id") / 7), F.lit(2)) == half)
+        part.repartitionByRange(2, "doc_id").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        start_registry(upload_facts(_uploads(stream)), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return registered(spark, f"{folder}/out").select(*_UPLOAD_COLUMNS)
+
+
+@query(_UPLOADS_SQL)
+def upload_deduplication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uploads = _uploads(read_table(spark, sf_dir, "documents"))
+    return state.register_uploads(uploads).select(*_UPLOAD_COLUMNS)
 
 
 @query(
