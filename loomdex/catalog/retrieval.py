@@ -16,6 +16,7 @@ from loomdex.catalog.base import (
     LEGS_SQL,
     QUERY_SQL,
     VECTOR_LEG_SQL,
+    WORDS,
     chunk_families,
     corpus,
     doc_filter,
@@ -24,10 +25,11 @@ from loomdex.catalog.base import (
     query_families,
     with_ctes,
 )
+from loomdex.catalog.stems_sql import stems_sql
 from loomdex.functions.vectors import l2_normalize, stored_precision
 from loomdex.operators import sweep
 from loomdex.operators.block_max import BlockSettings, save_blocks
-from loomdex.operators.fulltext import postings
+from loomdex.operators.fulltext import postings, vocabulary
 from loomdex.operators.state import upsert_vectors
 from loomdex.operators.vector_cells import save_cells
 from loomdex.plans import retrieval
@@ -198,14 +200,38 @@ def fulltext_wordless_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.search_fts(queries.withColumn("query_text", wordless), live, top_k=TOP_K))
 
 
-@query()
+_ALL_WORDS_SQL = f"all_words AS (SELECT DISTINCT word FROM (SELECT unnest({WORDS}) AS word FROM documents UNION ALL SELECT unnest({WORDS}) FROM benchmark))"
+# The simple leg with the lexeme of every word in place of the word.
+_STEMMED_LEG_SQL = (
+    FTS_LEG_SQL.format(depth=TOP_K)
+    .replace("qlex AS (SELECT DISTINCT query_id, lexeme FROM (", "qlex AS (SELECT DISTINCT query_id, s.lexeme FROM (")
+    .replace(" AS lexeme FROM q)),", " AS word FROM q) w JOIN stems s ON s.word = w.word),", 1)
+    .replace("SELECT chunk_id, lexeme, count(*) AS tf\n  FROM (", "SELECT chunk_id, s.lexeme, count(*) AS tf\n  FROM (")
+    .replace(" AS lexeme FROM pool) GROUP BY chunk_id, lexeme),", " AS word FROM pool) w JOIN stems s ON s.word = w.word GROUP BY chunk_id, s.lexeme),")
+)
+
+
+@query(
+    with_ctes(NO_FILTER, QUERY_SQL, _ALL_WORDS_SQL, stems_sql("all_words"), _STEMMED_LEG_SQL)
+    + " SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM fleg"
+)
 def fulltext_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stemming analyzer has no SQL counterpart; checked on fixtures."""
+    """The default analyzer: every distinct word is stemmed once, texts are counted by
+    the words whose lexeme is asked for."""
     return _rounded(
         retrieval.search_fts(*_inputs(spark, sf_dir, analyzer="russian"), top_k=TOP_K)
     )
 
 
+@query(
+    with_ctes(f"doc_words AS (SELECT DISTINCT unnest({WORDS}) AS word FROM documents)", stems_sql("doc_words"))
+    + " SELECT word, lexeme FROM stems"
+)
+def word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of all documents with its lexemes."""
+    return vocabulary(corpus(spark, sf_dir).chunks)
+
+
 _HYBRID = (
     QUERY_SQL,
     VECTOR_LEG_SQL.format(depth=2 * TOP_K),

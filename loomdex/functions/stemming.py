@@ -174,23 +174,30 @@ def english_stem(word: Column) -> Column:
     # The invariant words keep their "!!" until the very end; other words drop it.
     kept = "|".join(EN_INVARIANT_AFTER_PLURAL)
     later.append((rf"^(?!(?:{kept})!!$)(.*)!!$", "$1"))
-    rules = "|".join(suffix for suffix, _ in EN_FIRST_REGION_RULES)
-    later.append((rf"^({first}.*?)({rules})$", "$1#$2"))
+
+    def longest(suffixes: list[str], region: str) -> list[tuple[str, str]]:
+        """``#`` before the longest of the suffixes, if it lies in the region: a shorter
+        one in the region does not count where a longer one is outside."""
+        return [(rf"({'|'.join(suffixes)})$", "#$1"), (rf"^(?!{region}[^#]*#)([^#]*)#", "$1")]
+
+    later += longest([*(suffix for suffix, _ in EN_FIRST_REGION_RULES), "ogi", "li"], first)
     later += [(rf"#{suffix}$", f"{target}!") for suffix, target in EN_FIRST_REGION_RULES]
     later += [
-        (rf"^({first}.*l|{first[:-1]}(?<=l)))ogi$", "$1og!"),
-        (rf"^({first}.*(?<=[{EN_LI_ENDINGS}]))li$", "$1!"),
-        (r"(?<!!)!$", ""),
-        (rf"^({second}.*)ative$", "$1!"),
+        (r"l#ogi$", "log!"),
+        (rf"(?<=[{EN_LI_ENDINGS}])#li$", "!"),
+        (r"#|(?<!!)!$", ""),
     ]
-    rules = "|".join(suffix for suffix, _ in EN_DERIVED_RULES)
-    later.append((rf"^({first}.*?)({rules})$", "$1#$2"))
+    later += longest([*(suffix for suffix, _ in EN_DERIVED_RULES), "ative"], first)
     later += [(rf"#{suffix}$", f"{target}!") for suffix, target in EN_DERIVED_RULES]
     later += [
-        (r"(?<!!)!$", ""),
-        (rf"^({second}.*?)(?:{EN_SECOND_REGION_SUFFIXES})$", "$1!"),
-        (rf"^({second}.*(?<=[st]))ion$", "$1!"),
-        (r"(?<!!)!$", ""),
+        (rf"^({second}.*)#ative$", "$1!"),
+        (r"#|(?<!!)!$", ""),
+    ]
+    later += longest([EN_SECOND_REGION_SUFFIXES, "ion"], second)
+    later += [
+        (rf"#(?:{EN_SECOND_REGION_SUFFIXES})$", "!"),
+        (r"(?<=[st])#ion$", "!"),
+        (r"#|(?<!!)!$", ""),
         (rf"^({second}.*)e$", "$1!"),
         (rf"^({first}.*)(?<!{c}{v}[^aeiouywxY!])(?<!^{v}{c})e$", "$1!"),
         (rf"^({second}.*l)l$|^({second[:-1]}(?<=l)))l$", "$1$2!"),

@@ -22,8 +22,16 @@ SCORE_DECIMALS = 12
 TEXT_ROWS = 256
 
 
+def vocabulary(chunks: DataFrame, analyzer: str = "russian") -> DataFrame:
+    """``(word, lexeme)`` of every distinct word of the chunks that is no stop word. Words
+    are made distinct in each text and task before they are shuffled, and each is
+    stemmed once; stored, it serves all searches (``Corpus.vocabulary``)."""
+    found = chunks.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word")).distinct()
+    return found.select("word", lexeme_of(F.col("word"), analyzer).alias("lexeme")).filter("lexeme IS NOT NULL")
+
+
 def lexemes_of(text: Column, analyzer: str) -> Column:
-    """All lexemes of a text, with repetitions; a stem is made once per word and text."""
+    """All lexemes of a text, with repetitions."""
     if analyzer == "simple":
         return words(text)
     found = F.transform(words(text), lambda w: lexeme_of(w, analyzer))
@@ -39,7 +47,9 @@ def query_lexemes(queries: DataFrame, analyzer: str = "simple") -> DataFrame:
 class QueryTerms:
     """The lexemes of a batch, and for each the queries that have it with their weights."""
 
-    def __init__(self, ids: list, lexemes: list[list[str]]) -> None:
+    def __init__(self, ids: list, lexemes: list[list[str]], forms: list[tuple[str, str]] | None = None) -> None:
+        """``forms``: the words that stand for a lexeme in texts; without any, a
+        lexeme is its own word."""
         self.ids = ids
         number: dict[str, int] = {}
         owner, term = [], []
@@ -47,7 +57,10 @@ class QueryTerms:
             for lexeme in found or ():
                 owner.append(query)
                 term.append(number.setdefault(lexeme, len(number)))
-        self.vocabulary = list(number)
+        self.lexemes = list(number)
+        forms = [(x, x) for x in number] if forms is None else forms
+        self.vocabulary = [word for word, _ in forms]
+        self.terms = np.array([number[lexeme] for _, lexeme in forms], np.int64)
         order = np.argsort(term, kind="stable")
         self.queries = np.array(owner, np.int64)[order]
         self.starts = np.searchsorted(np.array(term, np.int64)[order], np.arange(len(number) + 1))
@@ -56,20 +69,38 @@ class QueryTerms:
     def plain(self) -> tuple:
         """Lists and arrays only: a broadcast variable is pickled by reference to its
         classes, and the workers may have no copy of this package."""
-        return self.ids, self.vocabulary, self.queries, self.starts, self.sizes
+        return self.ids, self.vocabulary, self.terms, self.queries, self.starts, self.sizes
 
 
-def fulltext_leg(block: QueryBlock, chunks: DataFrame, k: int, analyzer: str = "simple") -> DataFrame:
+def query_terms(block: QueryBlock, analyzer: str, known: DataFrame | None = None) -> QueryTerms:
+    """The terms of a batch; ``known`` (word, lexeme) gives the words of its lexemes. On
+    the driver: the words of the batch, in all forms that the corpus has."""
+    rows = query_lexemes(block.frame, analyzer).toArrow()
+    ids, lexemes = rows.column("query_id").to_pylist(), rows.column("lexemes").to_pylist()
+    if known is None:
+        return QueryTerms(ids, lexemes)
+    asked = sorted({x for found in lexemes for x in found or ()})
+    wanted = block.frame.sparkSession.createDataFrame([(x,) for x in asked], "lexeme string")
+    forms = known.join(F.broadcast(wanted), "lexeme", "left_semi").select("word", "lexeme")
+    return QueryTerms(ids, lexemes, [tuple(r) for r in forms.toLocalIterator()])
+
+
+def fulltext_leg(
+    block: QueryBlock, chunks: DataFrame, k: int, analyzer: str = "simple", known: DataFrame | None = None
+) -> DataFrame:
     """``(query_id, chunk_id, rank, score)`` for the k best chunks per query.
 
     All words of a chunk are in its row, so the chunk is scored for every query
     where it is read: counts of the query lexemes in it, times the queries that
     have them. Each task keeps its own k best per query, so neither words nor
-    (query, chunk) pairs are shuffled and a common word is no hot key.
+    (query, chunk) pairs are shuffled and a common word is no hot key. No word of a
+    text is stemmed for it: the ``vocabulary`` (``known``, else that of the chunks)
+    names the words whose lexeme is asked for.
     """
-    rows = query_lexemes(block.frame, analyzer).toArrow()
-    terms = QueryTerms(rows.column("query_id").to_pylist(), rows.column("lexemes").to_pylist())
-    counted = chunks.select("chunk_id", lexemes_of(F.col("text"), analyzer).alias("lexemes"))
+    if analyzer != "simple" and known is None:
+        known = vocabulary(chunks, analyzer)
+    terms = query_terms(block, analyzer, None if analyzer == "simple" else known)
+    counted = chunks.select("chunk_id", words(F.col("text")).alias("lexemes"))
     return _ranked(counted, block, terms, k)
 
 
@@ -92,21 +123,21 @@ def _local_best(shipped, k: int, id_types):
     arrow_types = tuple(to_arrow_type(t) for t in id_types)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lexemes, queries, starts, sizes = shipped.value
+        ids, known_words, term_of, queries, starts, sizes = shipped.value
         weights = np.array(weight_table())
-        vocabulary = pa.array(lexemes, pa.string())
-        count = len(ids)
+        value_set = pa.array(known_words, pa.string())
+        count, term_count = len(ids), len(starts)
         best = LocalBest(count, k)
         for batch in slices(batches, min(TEXT_ROWS, max(1, SCORE_CELLS // count))):
             column = batch.column("lexemes")
             lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-            known = pc.index_in(column.flatten(), value_set=vocabulary)
+            known = pc.index_in(column.flatten(), value_set=value_set)
             found = pc.is_valid(known).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), lengths)[found]
-            term = known.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            term = term_of[known.drop_null().to_numpy(zero_copy_only=False)]
             # (row, lexeme) with its count, in lexeme order within a row.
-            pair, tf = np.unique(row * len(vocabulary) + term, return_counts=True)
-            row, term = pair // len(vocabulary), pair % len(vocabulary)
+            pair, tf = np.unique(row * term_count + term, return_counts=True)
+            row, term = pair // term_count, pair % term_count
             weight = weights[np.minimum(tf, len(weights)) - 1]
             # Every pair meets the queries that have its lexeme.
             spread = starts[term + 1] - starts[term]
@@ -147,9 +178,8 @@ def stored_leg(block: QueryBlock, index: DataFrame, k: int, analyzer: str = "sim
     """The same ranking out of stored postings. Only rows of the query lexemes are
     read (the filter reaches the scan, whose files are clustered by lexeme); they
     meet per chunk, which is a shuffle of matched postings and not of texts."""
-    rows = query_lexemes(block.frame, analyzer).toArrow()
-    terms = QueryTerms(rows.column("query_id").to_pylist(), rows.column("lexemes").to_pylist())
-    matched = index.filter(F.col("lexeme").isin(terms.vocabulary))
+    terms = query_terms(block, analyzer)
+    matched = index.filter(F.col("lexeme").isin(terms.lexemes))
     repeated = F.array_repeat("lexeme", F.col("tf").cast("int"))
     counted = matched.groupBy("chunk_id").agg(F.flatten(F.collect_list(repeated)).alias("lexemes"))
     return _ranked(counted, block, terms, k)

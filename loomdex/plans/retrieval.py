@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.operators.block_max import block_leg
-from loomdex.operators.fulltext import fulltext_leg, stored_leg
+from loomdex.operators.fulltext import fulltext_leg, stored_leg, vocabulary
 from loomdex.operators.fusion import attach_cosine, fuse_legs, fused_top_k
 from loomdex.operators.nearest import vector_leg
 from loomdex.operators.query_batch import QueryBlock, per_block
@@ -31,6 +31,8 @@ class Corpus:
     ``index``      optional stored postings: lexeme, chunk_id, doc_id, tf
     ``blocks``     optional block-maximum postings (``block_max``), read before ``index``
     ``cells``      optional cell index of the vectors (``vector_cells``)
+    ``vocabulary`` optional stored (word, lexeme) of the chunks (``fulltext.vocabulary``);
+                   without it the stemming analyzer derives it for each batch
 
     Texts, vectors and postings are separate tables because each leg reads only
     its own. Rows whose document is not in ``documents`` are not searchable. Stored
@@ -44,6 +46,7 @@ class Corpus:
     analyzer: str = "russian"
     blocks: DataFrame | None = None
     cells: VectorCells | None = None
+    vocabulary: DataFrame | None = None
 
     @classmethod
     def from_chunk_table(cls, chunks: DataFrame, documents: DataFrame, **rest) -> Corpus:
@@ -77,7 +80,10 @@ def _fts_leg(block: QueryBlock, corpus: Corpus, k: int, doc_ids: DocIds) -> Data
         return block_leg(block, corpus.blocks, lambda rows: searchable(rows, corpus, doc_ids), k, corpus.analyzer)[0]
     if corpus.index is not None:
         return stored_leg(block, searchable(corpus.index, corpus, doc_ids), k, corpus.analyzer)
-    return fulltext_leg(block, searchable(corpus.chunks, corpus, doc_ids), k, corpus.analyzer)
+    known = corpus.vocabulary
+    if known is None and corpus.analyzer != "simple":
+        known = vocabulary(corpus.chunks, corpus.analyzer)
+    return fulltext_leg(block, searchable(corpus.chunks, corpus, doc_ids), k, corpus.analyzer, known)
 
 
 def index_use(queries: DataFrame, corpus: Corpus, *, top_k: int | None = None, doc_ids: DocIds = None, settings: Settings = DEFAULTS) -> DataFrame:

@@ -224,3 +224,20 @@ def test_model_retries():
     assert len(waits) == 4
     assert [is_retryable(e) for e in (ModelError("", 500), ModelError(""), ValueError())] == [True, True, False]
     assert len(run(ModelError("y" * 900, 400))[1]) == 912
+
+
+def test_stream_registry_knows_contents_across_batches_and_restarts(spark, tmp_path):
+    """Copies that come in later micro-batches keep the first upload's document."""
+    from loomdex.operators.state import register_uploads
+    from loomdex.streaming.registry import registered, start_registry, upload_facts
+
+    rows = [(k, f"f{k}.pdf", "pdf", f"content {k % 5}".encode()) for k in range(40)]
+    schema = "seq INT, filename STRING, kind STRING, content BINARY"
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    arrival = rows[20:] + rows[:20]  # the first uploads arrive last
+    for part in (arrival[:13], arrival[13:26], [], arrival[26:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        start_registry(upload_facts(stream), out, checkpoint).awaitTermination()
+    want = register_uploads(spark.createDataFrame(rows, schema)).drop("created")
+    assert sorted(map(tuple, registered(spark, out).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))

@@ -155,7 +155,9 @@ def test_json_repair():
                      "валился": "вал", "бездонным": "бездон", "красивейший": "красив", "ёлка": "елк", "и": None,
                      "running": "run", "national": "nation", "generalization": "general", "communism": "communism",
                      "happy": "happi", "dying": "die", "agreed": "agre", "hoping": "hope", "the": None, "sky": "sky",
-                     "consolations": "consol", "inning": "inning", "2200": "2200"}),
+                     "consolations": "consol", "inning": "inning", "2200": "2200",
+                     # A longer suffix outside its region hides a shorter one inside.
+                     "element": "element", "elements": "element", "replacement": "replac", "relative": "relat"}),
         ("simple", {"Blender": "Blender", "и": "и"}),
     ],
 )
