@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.catalog import query
@@ -14,6 +14,7 @@ from loomdex.operators import blocks as bl
 from loomdex.operators import chunking, state
 from loomdex.operators.context import build_context, chunk_body, context_chunk_ids, pack_order
 from loomdex.operators.ordinals import group_ordinals
+from loomdex.plans.ingest import chunk_raw_blocks
 from loomdex.plans.retrieval import Corpus, chunks_by_ids, chunks_of_documents
 from loomdex.session import read_table, scratch_folder
 from loomdex.settings import DEFAULTS
@@ -109,12 +110,13 @@ def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parameter_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as a two-column parameter table."""
+    return read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), bl.table_text(_parameter_rows()).alias("content"))
+
+
+def _parameter_rows() -> Column:
     names = ("p_name", "p_brand", "p_type", "p_size", "p_partkey")
     rows = [F.array(F.lit(n[2:].title()), F.col(n).cast("string")) for n in names]
-    header = F.array(F.lit("Параметр"), F.lit("Значение"))
-    return read_table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("doc_id"), bl.table_text(F.array(header, *rows)).alias("content")
-    )
+    return F.array(F.array(F.lit("Параметр"), F.lit("Значение")), *rows)
 
 
 _PARAMETERS_SQL = (
@@ -295,6 +297,68 @@ def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Pages to paragraphs, without the lines that all pages of a host share, cleaned; then
+# the tables of the parts; then the windows of every block, numbered by document.
+_NORMALISED_SQL = f"""
+RECURSIVE site AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS doc_id, page_id AS page,
+  replace(replace(html, '</p>', chr(10) || chr(10)), '><', '>' || chr(10) || '<') AS text FROM pages),
+paras AS (SELECT doc_id, page, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {strip_sql("p")}), lambda p: p <> '') AS ps FROM site),
+raw_blocks AS (SELECT doc_id, page, generate_subscripts(ps, 1) - 1 AS part, unnest(ps) AS content FROM paras),
+block_lines AS (SELECT doc_id, page, part, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS line
+  FROM (SELECT doc_id, page, part, string_split(content, chr(10)) AS ls FROM raw_blocks)),
+marked AS (SELECT *, regexp_replace({strip_sql("line")}, '\\p{{Nd}}+', '#', 'g') AS template FROM block_lines),
+doc_pages AS (SELECT doc_id, count(DISTINCT page) AS n FROM raw_blocks GROUP BY doc_id),
+footers AS (SELECT m.doc_id, m.template FROM marked m JOIN doc_pages p ON p.doc_id = m.doc_id
+  WHERE m.template <> '' AND p.n >= 2 GROUP BY m.doc_id, m.template, p.n HAVING count(DISTINCT m.page) = p.n),
+kept AS (SELECT m.doc_id, m.page, m.part, string_agg(m.line, chr(10) ORDER BY m.line_no) AS content FROM marked m
+  WHERE NOT EXISTS (SELECT 1 FROM footers f WHERE f.doc_id = m.doc_id AND f.template = m.template) GROUP BY m.doc_id, m.page, m.part),
+stripped AS (SELECT doc_id, page, part, CASE WHEN doc_id IN (SELECT doc_id FROM footers) THEN {strip_sql("content")} ELSE content END AS content FROM kept),
+cleaned AS (SELECT doc_id, page, part, {clean_sql("content")} AS text FROM stripped WHERE content <> ''
+  UNION ALL SELECT 'part ' || p_partkey, 1, 0, {clean_sql(_PARAMETERS_SQL)} FROM part),
+windows AS (SELECT doc_id, page, part, 0::BIGINT AS start, text, length(text) AS n FROM cleaned WHERE text <> ''
+  UNION ALL SELECT doc_id, page, part, stop - 120, text, n FROM (SELECT doc_id, page, part, text, n, CASE WHEN start + 700 < n AND
+    strpos(substring(text, start + 351, 350), ' ') > 0 THEN start + 350 + 350 -
+    strpos(reverse(substring(text, start + 351, 350)), ' ') ELSE start + 700 END AS stop FROM windows) WHERE stop < n),
+cut AS (SELECT doc_id, page, part, start, CASE WHEN n <= 700 THEN text ELSE {strip_sql("""substring(text, start + 1, CASE WHEN start + 700 < n AND
+    strpos(substring(text, start + 351, 350), ' ') > 0 THEN 700 - strpos(reverse(substring(text, start + 351, 350)), ' ') ELSE 700 END)""")} END AS text FROM windows)"""
+
+
+@query(
+    f"WITH {_NORMALISED_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, part, start) - 1 AS ordinal, "
+    "page::BIGINT AS page, length(text) AS length, md5(text) AS text_md5 FROM cut WHERE text <> ''"
+)
+def normalised_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a parser gives, pages and tables, through all steps up to chunks: a host's
+    pages are one document, every part is a table."""
+    none = {"content": F.lit(None).cast("string"), "rows": F.lit(None).cast("array<array<string>>"), "section": F.lit(None).cast("string")}
+    marked = F.replace(F.replace("html", F.lit("</p>"), F.lit("\n\n")), F.lit("><"), F.lit(">\n<"))
+    pages = read_table(spark, sf_dir, "pages").select(
+        F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("doc_id"),
+        F.lit(0).alias("position"),
+        F.lit("page").alias("kind"),
+        F.col("page_id").cast("int").alias("page"),
+        marked.alias("content"),
+        *[none[c].alias(c) for c in ("section", "rows")],
+    )
+    tables = read_table(spark, sf_dir, "part").select(
+        F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("doc_id"),
+        F.lit(0).alias("position"),
+        F.lit("table").alias("kind"),
+        F.lit(1).alias("page"),
+        none["content"].alias("content"),
+        F.lit("").alias("section"),
+        _parameter_rows().alias("rows"),
+    )
+    raw = pages.unionByName(tables).withColumn("error", F.lit(None).cast("string"))
+    return chunk_raw_blocks(raw).select(
+        "doc_id",
+        F.col("ordinal").cast("long").alias("ordinal"),
+        F.col("metadata.page").cast("long").alias("page"),
+        F.char_length("text").cast("long").alias("length"),
+        F.md5("text").alias("text_md5"),
+    )
+
+
 _LEFT_SQL = (
     "FROM (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'new text: ' || text ELSE text END AS text "
     "FROM documents WHERE doc_id % 3 <> 1))"

@@ -86,6 +86,12 @@ def to_blocks(raw: DataFrame) -> DataFrame:
     )
 
 
+def chunk_raw_blocks(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The chunks of parsed files: paragraphs and table texts, without repeated lines,
+    cleaned and cut."""
+    return chunk_blocks(normalize_blocks(to_blocks(raw)), settings)
+
+
 def ingest(
     uploads: DataFrame,
     existing: DataFrame | None = None,
@@ -105,7 +111,7 @@ def ingest(
     contents = uploads.select(F.col("seq").alias("first_seq"), "content")
     files = contents.join(new, "first_seq").select("doc_id", "kind", "content")
     raw = durable(parse_files(files, parsers))
-    chunks = durable(chunk_blocks(normalize_blocks(to_blocks(raw)), settings))
+    chunks = durable(chunk_raw_blocks(raw, settings))
     counts = chunks.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunks_count"))
     errors = raw.filter(F.col("error").isNotNull()).select("doc_id", F.col("error").alias("parse_error"))
     vectors, embed_errors = None, None
@@ -139,6 +145,3 @@ def ingest(
         chunks,
         vectors,
     )
-
-
-__all__ = ["Ingested", "NO_TEXT_LAYER", "ingest", "parse_files", "to_blocks"]
