@@ -13,6 +13,7 @@ from loomdex.functions import text as tx
 from loomdex.operators import blocks as bl
 from loomdex.operators import chunking, state
 from loomdex.operators.context import build_context, chunk_body, context_chunk_ids, pack_order
+from loomdex.operators.dictionary import first_in_list
 from loomdex.operators.ordinals import group_ordinals
 from loomdex.plans.ingest import chunk_raw_blocks
 from loomdex.plans.retrieval import Corpus, chunks_by_ids, chunks_of_documents
@@ -528,6 +529,23 @@ def reconcile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH names AS (SELECT p_name AS name, p_partkey AS place FROM part
+      UNION ALL SELECT unnest(string_split(p_name, ' ')), 1000000 + p_partkey FROM part),
+    listed AS (SELECT name, min(place) AS place FROM names GROUP BY name),
+    found AS (SELECT d.doc_id, arg_min(l.name, (l.place, l.name)) AS brand FROM documents d JOIN listed l ON contains(d.text, l.name) GROUP BY d.doc_id)
+    SELECT d.doc_id, f.brand FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id"""
+)
+def brand_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts, then their single words, looked up in every document: the order
+    of the list decides."""
+    parts = read_table(spark, sf_dir, "part")
+    whole = parts.select(F.col("p_name").alias("name"), F.col("p_partkey").cast("long").alias("place"))
+    single = parts.select(F.explode(F.split("p_name", " ")).alias("name"), (F.col("p_partkey") + 1_000_000).cast("long").alias("place"))
+    texts = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return first_in_list(texts, whole.union(single)).select("doc_id", "brand")
+
+
 _UPLOADS_SQL = """SELECT sha256(text) AS content_hash, substring(sha256(sha256(text)), 1, 12) AS doc_id,
         arg_min(source, doc_id) AS filename, min(doc_id) AS first_seq, count(*) AS copies
     FROM documents GROUP BY text"""

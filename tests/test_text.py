@@ -193,3 +193,18 @@ def test_prices(spark):
     rounding = spark.createDataFrame([(1,), (3,), (5,)], "p INT")
     cost = call_cost(F.lit("m"), F.col("p"), F.lit(0), half)
     assert [float(r[0]) for r in rounding.select(cost).collect()] == [0.0, 0.000002, 0.000002]
+
+
+def test_first_name_of_a_list(spark):
+    from loomdex.functions.text import brand
+    from loomdex.operators.dictionary import first_in_list
+
+    names = [("beta", 2), ("alpha", 1), ("alphabet", 0), ("b", 9), ("", 0), ("beta", 7), ("ёж", 5), ("twin", 3), ("twin two", 3)]
+    texts = ["alpha beta", "alphabet", "the b", "nothing", "", None, "ёж beta", "BETA", "twin two"]
+    frame = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id int, text string, place string")
+    listed = spark.createDataFrame(names, "name string, place int")
+    got = [r["brand"] for r in first_in_list(frame, listed).orderBy("doc_id").collect()]
+    assert got == ["alpha", "alphabet", "b", None, None, None, "beta", None, "twin"]
+    order = tuple(n for n, _ in sorted(names, key=lambda x: (x[1], x[0])) if n)
+    assert got == [r[0] for r in frame.orderBy("doc_id").select(brand(F.col("text"), order)).collect()]
+    assert {r["brand"] for r in first_in_list(frame, listed.limit(0)).collect()} == {None}
