@@ -79,7 +79,7 @@ OFFER = docx(
         ("p", "Введение"),
         ("h", "Модели"),
         ("p", "Линейка блендеров МиксерПро."),
-        ("t", [["Параметр", "Значение"], ["Мощность", "800 Вт"], ["Артикул", "BLD-800"]]),
+        ("t", [["Параметр", "Значение"], ["Мощность", "540 Вт"], ["Артикул", "PMP-540"]]),
         ("h", "Контакты"),
         ("p", "Пишите на a@b.example"),
     ]

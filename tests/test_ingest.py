@@ -20,7 +20,7 @@ def test_docx_tables_come_last_and_share_the_last_section():
         ("text", ""), ("text", "Модели"), ("text", "Модели"), ("text", "Контакты"), ("text", "Контакты"), ("table", "Контакты"),
     ]
     assert blocks[2][1] == "Линейка блендеров МиксерПро."
-    assert blocks[-1][4][2] == ["Артикул", "BLD-800"]
+    assert blocks[-1][4][2] == ["Артикул", "PMP-540"]
 
 
 def test_docx_merged_cells():
@@ -78,14 +78,14 @@ def test_ingest(spark):
     assert documents["bad.docx"]["chunks_count"] == 0
     chunks = done.chunks.filter(F.col("doc_id") == documents["offer.docx"]["doc_id"]).orderBy("ordinal").collect()
     assert [c["ordinal"] for c in chunks] == list(range(6))
-    assert chunks[-1]["text"] == "Мощность: 800 Вт\nАртикул: BLD-800"
-    assert chunks[-1]["metadata"]["articul"] == "BLD-800"
+    assert chunks[-1]["text"] == "Мощность: 540 Вт\nАртикул: PMP-540"
+    assert chunks[-1]["metadata"]["articul"] == "PMP-540"
     assert done.vectors.count() == done.chunks.count() == 8
     again = ingest(upload(spark, FILES), existing=done.documents)
     assert again.documents.count() == 0 and again.chunks.count() == 0
 
 
-PDF_PAGES = [("ПАСПОРТ БЛЕНДЕРА\n\nПогружной блендер МиксерПро.", [[["Параметр", "Значение"], ["Мощность", "800 Вт"]]]), ("Гарантия два года.", [])]
+PDF_PAGES = [("ПАСПОРТ БЛЕНДЕРА\n\nПогружной блендер МиксерПро.", [[["Параметр", "Значение"], ["Мощность", "540 Вт"]]]), ("Гарантия два года.", [])]
 
 
 def pdf_parsers():
@@ -102,7 +102,7 @@ def test_ingest_pdf(spark):
     chunks = done.chunks.filter(F.col("doc_id") == documents["passport.pdf"]["doc_id"]).orderBy("ordinal").collect()
     assert documents["passport.pdf"]["chunks_count"] == len(chunks) > 0
     text = "\n".join(c["text"] for c in chunks)
-    assert all(part in text for part in ("Погружной блендер МиксерПро.", "Мощность: 800 Вт", "Гарантия два года."))
+    assert all(part in text for part in ("Погружной блендер МиксерПро.", "Мощность: 540 Вт", "Гарантия два года."))
     assert {f["error"] for f in ingest(upload(spark, files[1:])).documents.collect()} == {"parse: ValueError: no parser for pdf"}
 
 

@@ -24,11 +24,11 @@ def test_clean_text(spark):
 
 
 def test_keys(spark):
-    assert column(spark, ["800 Вт", "800  вт.", "1,5 л"], tx.evidence_key) == ["800вт", "800вт", "15л"]
+    assert column(spark, ["540 Вт", "540  вт.", "1,5 л"], tx.evidence_key) == ["540вт", "540вт", "15л"]
     assert column(spark, ["«А» – (б)-в", "1.5 Л"], tx.normalize_value) == ["абв", "15л"]
     assert column(spark, ["qwen/qwen3.5-9b", "--A--"], tx.price_key) == ["qwen_qwen3_5_9b", "a"]
     assert column(spark, ["Coffee_x.pdf", "fan.pdf", "iron"], tx.family_of) == ["coffee", "fan", "iron"]
-    assert column(spark, ["код BLD-800, ABC-1", "xABC-800", "нет"], tx.articul) == ["BLD-800", None, None]
+    assert column(spark, ["код PMP-540, ABC-1", "xABC-800", "нет"], tx.articul) == ["PMP-540", None, None]
     assert column(spark, ["КеттлПро и МиксерПро", "x"], tx.brand) == ["МиксерПро", None]
 
 
@@ -50,13 +50,13 @@ def test_paragraphs_and_headings(spark):
 
 def test_table_text(spark):
     tables = [
-        [["Параметр", "Значение"], ["Мощность", "800 Вт"], ["Цвет"]],
+        [["Параметр", "Значение"], ["Мощность", "540 Вт"], ["Цвет"]],
         [["a", "b", "c"], ["1", "", "3"], ["4"]],
         [["only header"]],
         [],
     ]
     got = column(spark, tables, table_text, "x ARRAY<ARRAY<STRING>>")
-    assert got == ["Мощность: 800 Вт\nЦвет: ", "a=1; c=3\na=4", "", ""]
+    assert got == ["Мощность: 540 Вт\nЦвет: ", "a=1; c=3\na=4", "", ""]
 
 
 def blocks(spark, rows):
@@ -89,14 +89,14 @@ def test_footers_need_every_page_and_spare_tables(spark):
 
 def test_chunks_run_through_a_document(spark):
     pages = spark.createDataFrame(
-        [("d", 1, "ЗАГОЛОВОК\n\n" + "слово " * 300 + "."), ("d", 2, "Артикул BLD-800 МиксерПро")],
+        [("d", 1, "ЗАГОЛОВОК\n\n" + "слово " * 300 + "."), ("d", 2, "Артикул PMP-540 МиксерПро")],
         "doc_id STRING, page INT, text STRING",
     )
     chunks = chunk_blocks(normalize_blocks(text_blocks(pages))).orderBy("ordinal").collect()
     assert [c["ordinal"] for c in chunks] == list(range(len(chunks)))
     assert chunks[0]["metadata"]["section"] == "Заголовок"
     assert chunks[1]["metadata"]["section"] == ""
-    assert chunks[-1]["metadata"]["articul"] == "BLD-800"
+    assert chunks[-1]["metadata"]["articul"] == "PMP-540"
     assert chunks[-1]["metadata"]["brand"] == "МиксерПро"
     assert len({c["chunk_id"] for c in chunks}) == len(chunks)
     assert all(len(c["text"]) <= 700 for c in chunks)
