@@ -4,11 +4,12 @@
    entry for each distinct text: hash, SHA-256, largest id, rows, bytes.
 2. The directory starts with one bucket and doubles while a bucket is overfull;
    splitting needs only the bytes for each hash prefix, a table of at most
-   ``2 ** max_depth`` rows.
-3. The entries are written to the shared folder, one partition for each bucket, a
-   contiguous range of hashes. A bucket that is overfull at full depth (a hot text
-   with many entries) gets overflow pages, dealt by the writing task.
-4. An owner task reads each page, chains the entries of a hash and compares bytes
+   ``2 ** max_depth`` rows that a first pass adds up.
+3. A second pass writes the entries to the shared folder, a file for each page of a
+   bucket, which is a contiguous range of hashes. A bucket that is overfull at full depth
+   (a hot text with many entries) gets overflow pages, dealt by the writing task. The
+   index can be opened again (``read_index``).
+4. An owner task reads a page's file, chains the entries of a hash and compares bytes
    along the chain. Pages of one bucket meet as small rows of digests.
 
 Cases: null text counts as empty. Rows with a null id are rows of their group; they
@@ -25,10 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import ascii_lower, new_folder, raw_text, with_hash
+from loomdex.llm.common import ascii_lower, new_folder, raw_text, staged, unstage, with_hash
 
 ENTRY = "hash long, sha string, keep_id long, rows long, bytes long, text binary"
 
@@ -143,36 +144,65 @@ def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def build_index(docs: DataFrame, settings: IndexSettings = IndexSettings()) -> DataFrame:
-    """(sha, keep_id, group_size) of every distinct text of (doc_id, text)."""
+def local_weights(settings: IndexSettings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The bytes of a task's entries for each hash prefix of the greatest depth."""
+    entries = local_entries(settings.flush_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in entries(batches):
+            hashes = batch.column("hash").to_numpy().view(np.uint64) >> np.uint64(64 - settings.max_depth)
+            prefix, place = np.unique(hashes.astype(np.int64), return_inverse=True)
+            weight = np.bincount(place, batch.column("bytes").to_numpy() + settings.entry_bytes, len(prefix)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(weight)], ["prefix", "weight"])
+
+    return run
+
+
+def build_index(docs: DataFrame, settings: IndexSettings = IndexSettings()) -> str:
+    """Write the index of (doc_id, text) to the shared folder; returns its path.
+
+    ``directory`` has the pages of every hash prefix. ``pages`` has a file for each
+    page, of the entries of its range of hashes. The texts are read twice, for the
+    directory and for the entries, which are thus written once, in their place.
+    """
     spark = docs.sparkSession
-    entries = docs.select("doc_id", "text").mapInArrow(local_entries(settings.flush_bytes), ENTRY)
-    raw_path = new_folder(spark, "dedup-entries")
-    entries = entries.withColumn("task", F.spark_partition_id())
-    entries.write.parquet(raw_path)
-    entries = spark.read.schema(entries.schema).parquet(raw_path)
-    total = entries.agg(F.sum(F.col("bytes") + settings.entry_bytes)).first()[0] or 0
+    rows = docs.select("doc_id", "text")
+    weights = rows.mapInArrow(local_weights(settings), "prefix long, weight long").groupBy("prefix").agg(F.sum("weight").alias("weight"))
+    weights = staged(weights, "dedup-weights")
+    total = weights.agg(F.sum("weight")).first()[0] or 0
     depth = min(settings.max_depth, 4 + int(np.ceil(np.log2(max(1, total / settings.bucket_bytes)))))
-    prefix = F.shiftrightunsigned("hash", 64 - depth)
-    weights = entries.groupBy(prefix.alias("prefix")).agg(F.sum(F.col("bytes") + settings.entry_bytes).alias("weight"))
-    owner, pages = directory({r["prefix"]: r["weight"] for r in weights.toLocalIterator()}, depth, settings.bucket_bytes)
+    at_depth = weights.groupBy(F.shiftright("prefix", settings.max_depth - depth).alias("prefix")).agg(F.sum("weight").alias("weight"))
+    owner, pages = directory({r["prefix"]: r["weight"] for r in at_depth.toLocalIterator()}, depth, settings.bucket_bytes)
+    unstage(weights)
     first_page = np.concatenate([[0], np.cumsum(pages)]).astype(np.int64)
+    # At most 2 ** max_depth rows of three numbers.
     slots = spark.createDataFrame(
         [(p, int(first_page[b]), int(pages[b])) for p, b in enumerate(owner.tolist())], "prefix long, first_page long, pages long"
     )
-    # At most 2 ** max_depth rows of three numbers.
-    paged = entries.withColumn("prefix", prefix).join(F.broadcast(slots), "prefix")
-    page = F.col("first_page") + F.pmod(F.col("task"), F.col("pages"))
-    owned = paged.withColumn("page", page.cast("int")).select("page", "hash", "sha", "keep_id", "rows", "text")
-    owned = owned.repartitionById(int(first_page[-1]), "page")
-    merged = owned.drop("page").mapInArrow(chained, "sha string, keep_id long, group_size long")
+    path = new_folder(spark, "dedup-index")
+    slots.write.parquet(f"{path}/directory")
+    # Entries of one hot text come from many tasks, which deal them over its pages.
+    entries = rows.mapInArrow(local_entries(settings.flush_bytes), ENTRY).withColumn("task", F.spark_partition_id())
+    placed = entries.join(F.broadcast(slots), F.shiftrightunsigned("hash", 64 - depth) == F.col("prefix"))
+    page = (F.col("first_page") + F.pmod(F.col("task"), F.col("pages"))).cast("int")
+    placed = placed.select(page.alias("page"), "hash", "sha", "keep_id", "rows", "text")
+    placed.repartitionById(int(first_page[-1]), "page").write.parquet(f"{path}/pages")
+    return path
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(sha, keep_id, group_size) of every distinct text of an index: owner tasks open
+    the files of their pages; those of a text on several pages, or of a large file that
+    several tasks read, meet as digests."""
+    pages = spark.read.parquet(f"{path}/pages").drop("page")
+    merged = pages.mapInArrow(chained, "sha string, keep_id long, group_size long")
     return merged.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
 def exact_dedup(documents: DataFrame, settings: IndexSettings = IndexSettings()) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and text_hash of every row."""
     docs = with_hash(documents)
-    groups = build_index(docs, settings).filter("group_size > 1")
+    groups = read_index(docs.sparkSession, build_index(docs, settings)).filter("group_size > 1")
     rows = docs.mapInArrow(keys, "doc_id long, text_hash long, sha string")
     joined = rows.join(groups, "sha", "left")
     single = F.col("group_size").isNull()

@@ -6,9 +6,11 @@ from fractions import Fraction
 
 import pytest
 from helpers import LOWER, awkward_rows, frame, sentence, words
+from pyspark.sql import functions as F
 
+from loomdex.llm.common import with_hash
 from loomdex.llm.decontaminate import find_contamination
-from loomdex.llm.exact_dedup import IndexSettings, directory, exact_dedup
+from loomdex.llm.exact_dedup import IndexSettings, build_index, directory, exact_dedup, read_index
 from loomdex.llm.ngram_join import JaccardSettings, TokenGroup, join_similar
 from loomdex.llm.sharding import shard_rows
 from loomdex.llm.suffix_dedup import SuffixSettings, cover_for, remove_repeats
@@ -159,6 +161,22 @@ def test_exact(spark, docs):
     assert listed(exact_dedup(docs, small), *columns) == sorted(expected, key=repr)
 
 
+def test_index_has_a_file_for_each_page_and_opens_again(spark, docs):
+    settings = IndexSettings(bucket_bytes=3000, flush_bytes=2000, max_depth=6)
+    path = build_index(with_hash(docs), settings)
+    directory_rows = spark.read.parquet(f"{path}/directory").collect()
+    pages = spark.read.parquet(f"{path}/pages").withColumn("file", F.input_file_name())
+    assert len(directory_rows) > 4 and max(r["pages"] for r in directory_rows) > 1
+    files = pages.select("page", "file").distinct().collect()
+    assert len({r["file"] for r in files}) == len({r["page"] for r in files}) == len(files)
+    found = [listed(read_index(spark, path), "sha", "keep_id", "group_size") for _ in range(2)]
+    texts = {}
+    for doc_id, text, *_ in ROWS:
+        texts.setdefault((text or "").translate(LOWER), []).append(doc_id)
+    want = [(hashlib.sha256(t.encode()).hexdigest(), max((i for i in ids if i is not None), default=None), len(ids)) for t, ids in texts.items()]
+    assert found[0] == found[1] == sorted(want, key=repr)
+
+
 def test_directory_doubles_only_where_full():
     owner, pages = directory({0: 10, 1: 10, 7: 100}, 3, 20)
     assert owner.tolist() == [0, 0, 0, 0, 1, 1, 2, 3] and pages == [1, 1, 1, 5]
