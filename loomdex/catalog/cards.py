@@ -7,13 +7,14 @@ and a card with deliberate flaws is derived from the same columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.catalog import query
 from loomdex.functions.text import evidence_key
 from loomdex.operators import contract
 from loomdex.operators import evaluation as ev
+from loomdex.operators.card_json import read_card
 from loomdex.schemas import CARD, EMPTY_LIST
 from loomdex.session import read_table
 
@@ -308,3 +309,75 @@ def evaluation_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_P} SELECT chunk_id, {key_sql('text')} AS evidence FROM product_chunks")
 def evidence_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_chunks(spark, sf_dir).select("chunk_id", evidence_key(F.col("text")).alias("evidence"))
+
+
+_FLAW = "p_partkey % 12"
+_CARD_JSON_SQL = f"""
+flawed AS (SELECT p_partkey, CASE {_FLAW} WHEN 7 THEN substr(j, 1, length(j) - 4) ELSE j END AS j FROM (
+  SELECT p_partkey, '{{"title": ' || CASE {_FLAW} WHEN 1 THEN p_size::VARCHAR ELSE '"' || p_name || '"' END
+    || CASE {_FLAW} WHEN 4 THEN '' ELSE ', "description": "' || p_type || ' part"' END
+    || ', "characteristics": {{"brand": "' || p_brand || '", "size": ' || CASE {_FLAW} WHEN 2 THEN p_size::VARCHAR ELSE '"' || p_size || '"' END || '}}'
+    || CASE {_FLAW} WHEN 3 THEN ', "benefits": "light"' ELSE ', "benefits": ["light"]' END
+    || CASE {_FLAW} WHEN 10 THEN ', "seo": null' WHEN 11 THEN ', "colour": {{"a": [1, 2]}}' ELSE ', "seo": {{"keywords": ["k"]}}' END
+    || ', "sources": [{{"chunk_id": ' || CASE {_FLAW} WHEN 9 THEN p_partkey::VARCHAR ELSE '"c' || p_partkey || '"' END
+    || ', "page": ' || CASE {_FLAW} WHEN 8 THEN '"' || p_size || '"' ELSE p_size::VARCHAR END || '}}]'
+    || ', "confidence": ' || CASE {_FLAW} WHEN 5 THEN '"0.25"' WHEN 6 THEN '"high"' ELSE '0.5' END || '}}' AS j FROM part)),
+parsed AS (SELECT p_partkey, j, json_valid(j) AS ok, CASE WHEN json_valid(j) THEN j::JSON END AS v FROM flawed),
+judged AS (SELECT *, array_to_string(list_filter([
+    CASE WHEN NOT ok THEN 'the answer is no valid JSON' END,
+    CASE WHEN json_type(v, '$.title') <> 'VARCHAR' THEN 'title is no string' END,
+    CASE WHEN EXISTS (SELECT 1 FROM (SELECT unnest(json_keys(v, '$.characteristics')) AS k) WHERE json_type(v, '$.characteristics.' || k) <> 'VARCHAR') THEN 'characteristics is no object of strings' END,
+    CASE WHEN json_type(v, '$.benefits') <> 'ARRAY' THEN 'benefits is no list of strings' END,
+    CASE WHEN json_type(v, '$.seo') <> 'OBJECT' THEN 'seo is no object' END,
+    CASE WHEN json_type(v, '$.sources[0].chunk_id') <> 'VARCHAR' THEN 'sources is no list of sources' END,
+    CASE WHEN TRY_CAST(v ->> '$.confidence' AS DOUBLE) IS NULL AND ok THEN 'confidence is no number' END], lambda x: x IS NOT NULL), '; ') AS type_errors FROM parsed)"""
+
+
+@query(
+    f"""WITH {_CARD_JSON_SQL} SELECT p_partkey, type_errors,
+      CASE WHEN type_errors <> '' THEN '' WHEN json_type(v, '$.description') IS NULL THEN 'description is missing' ELSE '' END AS violations,
+      CASE WHEN type_errors = '' THEN v ->> '$.title' END AS title, CASE WHEN type_errors = '' THEN (v ->> '$.confidence')::DOUBLE END AS confidence,
+      CASE WHEN type_errors = '' THEN (v ->> '$.sources[0].page')::BIGINT END AS page,
+      CASE WHEN type_errors = '' THEN v ->> '$.characteristics.size' END AS size, CASE WHEN type_errors = '' THEN true END AS same_again FROM judged"""
+)
+def card_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards as JSON text with missing, extra, wrongly typed and broken fields, read
+    through the gate; good ones are written and read once more."""
+    flaw = F.col("p_partkey") % 12
+
+    def flawed(numbers: dict[int, Column], usual: Column) -> Column:
+        out = F
+        for number, value in numbers.items():
+            out = out.when(flaw == number, value)
+        return out.otherwise(usual)
+
+    def quoted(value: Column) -> Column:
+        return F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
+
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    text = F.concat(
+        F.lit('{"title": '), flawed({1: size}, quoted(F.col("p_name"))),
+        flawed({4: F.lit("")}, F.concat(F.lit(', "description": "'), "p_type", F.lit(' part"'))),
+        F.lit(', "characteristics": {"brand": '), quoted(F.col("p_brand")), F.lit(', "size": '), flawed({2: size}, quoted(size)), F.lit("}"),
+        flawed({3: F.lit(', "benefits": "light"')}, F.lit(', "benefits": ["light"]')),
+        flawed({10: F.lit(', "seo": null'), 11: F.lit(', "colour": {"a": [1, 2]}')}, F.lit(', "seo": {"keywords": ["k"]}')),
+        F.lit(', "sources": [{"chunk_id": '), flawed({9: key}, quoted(F.concat(F.lit("c"), key))),
+        F.lit(', "page": '), flawed({8: quoted(size)}, size), F.lit("}]"),
+        F.lit(', "confidence": '), flawed({5: F.lit('"0.25"'), 6: F.lit('"high"')}, F.lit("0.5")), F.lit("}"),
+    )
+    text = F.when(flaw == 7, F.substring(text, F.lit(1), F.length(text) - 4)).otherwise(text)
+    read = read_table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).withColumn("read", read_card(F.col("text")))
+    read = read.select("p_partkey", "read.type_errors", contract.with_defaults(F.col("read.card")).alias("card"))
+    typed = F.size("type_errors") == 0
+    again = contract.with_defaults(read_card(F.to_json("card"))["card"])
+    value = lambda column: F.when(typed, column)  # noqa: E731 - a local shorthand
+    return read.select(
+        "p_partkey",
+        F.array_join("type_errors", "; ").alias("type_errors"),
+        F.when(typed, F.array_join(contract.contract_violations(F.col("card")), "; ")).otherwise(F.lit("")).alias("violations"),
+        value(F.col("card.title")).alias("title"),
+        value(F.col("card.confidence")).alias("confidence"),
+        value(F.get("card.sources", F.lit(0))["page"].cast("long")).alias("page"),
+        value(F.try_element_at("card.characteristics", F.lit("size"))).alias("size"),
+        value(F.to_json(again) == F.to_json("card")).alias("same_again"),
+    )

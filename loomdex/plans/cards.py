@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions.json_repair import repaired_json
 from loomdex.operators import contract
+from loomdex.operators.card_json import read_card
 from loomdex.operators.context import build_context
 from loomdex.operators.guard import blocked_chunks, guard_context, guard_output, guard_report
 from loomdex.plans import models
@@ -125,17 +126,20 @@ class CardFlow:
         open_jobs, finished = jobs, []
         for _ in range(self.settings.max_fix_attempts + 1):
             answers = self._ask(open_jobs, agent)
-            parsed = F.from_json(repaired_json(F.col("answer")), CARD)
-            tried = open_jobs.join(answers, "job_id").withColumn("parsed", parsed)
-            tried = tried.withColumn("card", contract.with_defaults(F.col("parsed")))
-            broken = F.concat_ws("; ", contract.contract_violations(F.col("card")))
+            tried = open_jobs.join(answers, "job_id").withColumn("parsed", repaired_json(F.col("answer")))
+            tried = tried.withColumn("read", read_card(F.col("parsed")))
+            tried = tried.withColumn("card", contract.with_defaults(F.col("read.card")))
+            # Rules are asked of cards whose fields have their types.
+            typed = F.size("read.type_errors") == 0
+            rules = F.when(typed, contract.contract_violations(F.col("card"))).otherwise(F.col("read.type_errors"))
+            broken = F.concat_ws("; ", rules)
             checked = tried.withColumn(
                 "problem",
                 F.when(F.col("error").isNotNull(), F.lit(None))
                 .when(F.col("parsed").isNull(), "no JSON object in the answer")
                 .when(broken != "", broken),
             )
-            checked = durable(checked)
+            checked = durable(checked.drop("read"))
             if chunks is not None:
                 cited = contract.cited_chunks(checked, chunks)
                 checked = cited.withColumn(
@@ -450,9 +454,10 @@ class CardFlow:
             ).alias("prompt"),
         )
         answers = self._ask(prompts, models.FIXER)
-        fixed = contract.with_defaults(F.from_json(repaired_json(F.col("answer")), CARD))
-        valid = F.size(contract.contract_violations(F.col("card"))) == 0
-        return answers.select("job_id", fixed.alias("card")).select(
+        read = answers.select("job_id", read_card(repaired_json(F.col("answer"))).alias("read"))
+        typed = read.select("job_id", "read.type_errors", contract.with_defaults(F.col("read.card")).alias("card"))
+        valid = (F.size("type_errors") == 0) & (F.size(contract.contract_violations(F.col("card"))) == 0)
+        return typed.select(
             "job_id", F.when(valid, F.col("card")).alias("card")
         )
 

@@ -157,3 +157,33 @@ def test_coverage_is_a_share(spark, characteristics):
     keys = ["".join(c for c in v if c.isalnum()) for v in kept.values()]
     expected = sum(1 for k in keys if k and k in "ab1ba") / len(keys) if keys else 0.0
     assert got == pytest.approx(expected)
+
+
+@pytest.mark.parametrize(
+    ("text", "errors"),
+    [
+        ('{"title": "t", "confidence": "0.9"}', []),
+        ('{"title": 1}', ["title is no string"]),
+        ('{"title": null}', ["title is no string"]),
+        ('{"benefits": "x"}', ["benefits is no list of strings"]),
+        ('{"benefits": ["x", null]}', ["benefits is no list of strings"]),
+        ('{"benefits": [], "characteristics": {}, "sources": []}', []),
+        ('{"characteristics": {"a": 1}}', ["characteristics is no object of strings"]),
+        ('{"sources": [{"chunk_id": "c", "page": "1", "score": null}]}', []),
+        ('{"sources": [{"page": 1}]}', ["sources is no list of sources"]),
+        ('{"sources": [{"chunk_id": "c", "page": 1.5}]}', ["sources is no list of sources"]),
+        ('{"sources": {"chunk_id": "c"}}', ["sources is no list of sources"]),
+        ('{"seo": {"keywords": [1]}, "confidence": "high"}', ["seo.keywords is no list of strings", "confidence is no number"]),
+        ('{"unknown": {"a": [1]}, "confidence": true}', []),
+        ("[1]", ["the answer is no JSON object"]),
+        ('{"title": "t"', ["the answer is no valid JSON"]),
+        (None, []),
+    ],
+)
+def test_types_of_a_card(spark, text, errors):
+    from loomdex.operators.card_json import read_card
+
+    got = spark.createDataFrame([(text,)], "text string").select(read_card(F.col("text")).alias("r")).first()["r"]
+    assert got["type_errors"] == errors
+    if text is None or "valid" in "".join(errors):
+        assert got["card"] is None
