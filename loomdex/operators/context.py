@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomdex.session import durable
 from loomdex.settings import DEFAULTS
 
 # Page label, and the shortest possible body "[x | y]\n".
@@ -59,8 +60,9 @@ def pack_order(bodies: DataFrame, limit: int = DEFAULTS.context_char_limit) -> D
 
 def build_context(ranked: DataFrame, limit: int = DEFAULTS.context_char_limit) -> DataFrame:
     """``(job_id, context, allowed_ids)`` from job_id, rank, chunk_id, filename,
-    metadata and text. Only lengths are ranked; texts join for the survivors."""
-    bodies = ranked.withColumn("body", chunk_body())
+    metadata and text. Only lengths are ranked; texts join for the survivors, out of a
+    checkpoint: what was ranked (a search, chunks cut anew) is not derived twice."""
+    bodies = durable(ranked.select("job_id", "chunk_id", "rank", chunk_body().alias("body")))
     fits = pack_order(
         bodies.select("job_id", "chunk_id", "rank", F.char_length("body").alias("body_chars")),
         limit,
