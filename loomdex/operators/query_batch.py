@@ -7,12 +7,15 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Searches that are answered in one pass over the corpus. Their vectors and
-# lexemes are a broadcast variable (1000 doubles each: about 500 MB in all), which
-# tasks work through in slices; only a larger batch takes another pass.
+# Searches that are answered in one pass over the corpus. Their vectors (one Arrow
+# buffer on the driver, never Python numbers) and lexemes are a broadcast variable (1000
+# doubles each: about 500 MB in all), which tasks work through in slices; only a larger
+# batch takes another pass.
 QUERY_BLOCK = 65_536
 
 COLUMNS = ("query_id", "query_text", "query_vec")
@@ -24,7 +27,8 @@ class QueryBlock:
 
     frame: DataFrame
     ids: list
-    vectors: list
+    #: Arrow lists of numbers, or None where the batch has no vectors.
+    vectors: pa.Array | None
 
     @property
     def size(self) -> int:
@@ -32,8 +36,16 @@ class QueryBlock:
 
     def matrix(self) -> tuple[list, np.ndarray]:
         """Ids and vectors of the searches that have a vector."""
-        known = [(i, v) for i, v in zip(self.ids, self.vectors, strict=True) if v is not None]
-        return [i for i, _ in known], np.array([v for _, v in known], dtype=np.float64)
+        if self.vectors is None:
+            return [], np.zeros((0, 0))
+        known = self.vectors.is_valid().to_numpy(zero_copy_only=False)
+        found = self.vectors.drop_null()
+        widths = np.unique(pc.list_value_length(found).to_numpy(zero_copy_only=False))
+        if len(widths) > 1:
+            raise ValueError(f"query vectors of several widths: {widths.tolist()}")
+        flat = found.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        ids = [i for i, k in zip(self.ids, known.tolist(), strict=True) if k]
+        return ids, flat.reshape(len(ids), -1) if ids else np.zeros((0, 0))
 
 
 def query_blocks(queries: DataFrame) -> Iterator[QueryBlock]:
@@ -49,9 +61,9 @@ def query_blocks(queries: DataFrame) -> Iterator[QueryBlock]:
 
 
 def _block(queries: DataFrame, table) -> QueryBlock:
-    vectors = [None] * table.num_rows
+    vectors = None
     if "query_vec" in table.column_names:
-        vectors = table.column("query_vec").to_pylist()
+        vectors = table.column("query_vec").combine_chunks()
     schema = queries.select(*table.column_names).schema
     frame = queries.sparkSession.createDataFrame(table, schema)
     return QueryBlock(frame, table.column("query_id").to_pylist(), vectors)

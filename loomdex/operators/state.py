@@ -24,8 +24,8 @@ def first_of_group(rows: DataFrame, group: str, seq: str, payload: list[str], co
     gives the payload; all are counted.
     """
     least = rows.groupBy(group).agg(F.min(seq).alias(seq), F.count(F.lit(1)).alias(count))
-    first = rows.select(group, seq, *payload).dropDuplicates([group, seq])
-    return first.join(least, [group, seq])
+    first = rows.select(group, seq, *payload).join(least, [group, seq])
+    return first.dropDuplicates([group, seq])
 
 
 def register_uploads(uploads: DataFrame, existing: DataFrame | None = None) -> DataFrame:
