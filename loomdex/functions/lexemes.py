@@ -24,6 +24,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), rf"[^{WORD}]+", -1), lambda w: w != "")
 
 
+def is_stop_word(word: Column, analyzer: str) -> Column:
+    """Whether the analyzer drops a word."""
+    return word.isin(*ENGLISH_STOP, *RUSSIAN_STOP) if analyzer == "russian" else F.lit(False)
+
+
 def lexeme_of(word: Column, analyzer: str) -> Column:
     """Lexeme of one word; NULL for a stop word.
 

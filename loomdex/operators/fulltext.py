@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loomdex.functions.lexemes import lexeme_of, weight_table, words
+from loomdex.functions.lexemes import is_stop_word, lexeme_of, weight_table, words
 from loomdex.operators.local_best import SCORE_CELLS, LocalBest, merged, slices
 from loomdex.operators.query_batch import QueryBlock
 
@@ -25,9 +25,16 @@ TEXT_ROWS = 256
 def vocabulary(chunks: DataFrame, analyzer: str = "russian") -> DataFrame:
     """``(word, lexeme)`` of every distinct word of the chunks that is no stop word. Words
     are made distinct in each text and task before they are shuffled, and each is
-    stemmed once; stored, it serves all searches (``Corpus.vocabulary``)."""
-    found = chunks.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word")).distinct()
-    return found.select("word", lexeme_of(F.col("word"), analyzer).alias("lexeme")).filter("lexeme IS NOT NULL")
+    stemmed once; stored, it serves all searches (``Corpus.vocabulary``).
+
+    No filter asks for the lexeme, which Spark would stem for before words are distinct:
+    stop words are known by the word, and the column cannot be NULL. Words are few bytes
+    and much work, so they are dealt out to a fixed number of tasks."""
+    word = F.col("word")
+    found = chunks.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    found = found.filter(~is_stop_word(word, analyzer)).distinct()
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(tasks, "word").select("word", F.coalesce(lexeme_of(word, analyzer), F.lit("")).alias("lexeme"))
 
 
 def lexemes_of(text: Column, analyzer: str) -> Column:

@@ -9,6 +9,7 @@ from loomdex.functions.lexemes import lexeme_of, weight_table
 from loomdex.functions.pricing import call_cost, prices_from_variables
 from loomdex.operators.blocks import normalize_blocks, strip_footers, table_text, text_blocks
 from loomdex.operators.chunking import chunk_blocks, table_pieces, text_windows
+from loomdex.operators.fulltext import vocabulary
 
 
 def column(spark, values, fn, schema="x STRING"):
@@ -208,3 +209,18 @@ def test_first_name_of_a_list(spark):
     order = tuple(n for n, _ in sorted(names, key=lambda x: (x[1], x[0])) if n)
     assert got == [r[0] for r in frame.orderBy("doc_id").select(brand(F.col("text"), order)).collect()]
     assert {r["brand"] for r in first_in_list(frame, listed.limit(0)).collect()} == {None}
+
+
+def test_words_are_distinct_before_they_are_stemmed(spark):
+    chunks = spark.createDataFrame([(1, "running runs the run"), (2, "Runs и бегущие"), (3, None)], "chunk_id long, text string")
+    found = vocabulary(chunks)
+    wanted = spark.createDataFrame([("run",)], "lexeme string")
+    asked = found.join(F.broadcast(wanted), "lexeme", "left_semi")
+    assert sorted(r["word"] for r in asked.collect()) == ["run", "running", "runs"]
+    assert sorted(r["word"] for r in found.collect()) == ["run", "running", "runs", "бегущие"]
+    for df in (found, asked):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("Aggregate") :].split("\n", 1)[1]
+        assert "regexp_replace" not in below
+    # Few bytes, much work: the words are not put into one task.
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
