@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomdex.functions.binding import let
+
 # Vowels and suffix classes of the published Russian algorithm.
 RU_VOWELS = "аеиоуыэюя"
 RU_GERUND_AFTER_A = "вшись|вши|в"
@@ -39,6 +41,11 @@ def _chain(word: Column, steps: list[tuple[str, str]]) -> Column:
     return word
 
 
+def _chain_where(word: Column, needed: str, steps: list[tuple[str, str]]) -> Column:
+    """The chain, for words with what each of its steps needs; others stay as they are."""
+    return let(word, lambda w: F.when(w.rlike(needed), _chain(w, steps)).otherwise(w))
+
+
 def russian_stem(word: Column) -> Column:
     vowel, other = f"[{RU_VOWELS}]", f"[^{RU_VOWELS}]"
     mark = (rf"^({other}*{vowel})(.*)$", "$1|$2")
@@ -66,7 +73,8 @@ def russian_stem(word: Column) -> Column:
         (r"^(.*\|.*)ь$", "$1"),
         (r"[|!]", ""),
     ]
-    return _chain(word, steps)
+    # Without a vowel there is no region that a step could touch.
+    return F.when(word.rlike(rf"[{RU_VOWELS}ё|!]"), _chain(word, steps)).otherwise(word)
 
 
 # Exceptions and suffix rules of the published English algorithm.
@@ -143,9 +151,8 @@ def english_stem(word: Column) -> Column:
     first = rf"(?:(?:{EN_REGION_PREFIXES})|{plain})"
     second = rf"(?:(?:{EN_REGION_PREFIXES}){c}*{v}+{c}|{plain}{c}*{v}+{c})"
     short = rf"(?:^{v}{c}|{c}{v}[^aeiouywxY!])"
+    marks = [(r"^y", "Y"), (r"(?<=[aeiouy])y", "Y")]
     steps = [
-        (r"^y", "Y"),
-        (r"(?<=[aeiouy])y", "Y"),
         # Plurals.
         (r"^(.+)sses$", "$1ss!"),
         (r"^(..+)(?:ied|ies)$", "$1i!"),
@@ -162,49 +169,49 @@ def english_stem(word: Column) -> Column:
         (r"(bb|dd|ff|gg|mm|nn|pp|rr|tt)!$", "$1~"),
         (r".~$", "!!"),
         (rf"^((?:{c}*)(?:{v}{c}|{v}[^aeiouywxY!]))!$", "$1=!"),
-    ]
-    stem = _chain(word, steps)
-    # A word is short when it ends in a short syllable and has no first region.
-    stem = F.regexp_replace(stem, rf"^({v}{c}|{c}+{v}[^aeiouywxY!])=!$", "$1e")
-    later = [
+        # A word is short when it ends in a short syllable and has no first region.
+        (rf"^({v}{c}|{c}+{v}[^aeiouywxY!])=!$", "$1e"),
         (r"=!$", ""),
         (r"(?<!!)!$", ""),
         (rf"^(.+{c})[yY]((?:!!)?)$", "$1i$2"),
     ]
     # The invariant words keep their "!!" until the very end; other words drop it.
     kept = "|".join(EN_INVARIANT_AFTER_PLURAL)
-    later.append((rf"^(?!(?:{kept})!!$)(.*)!!$", "$1"))
+    steps.append((rf"^(?!(?:{kept})!!$)(.*)!!$", "$1"))
+    stem = _chain_where(_chain(word, marks), r"[sdgyY!~=]$", steps)
 
     def longest(suffixes: list[str], region: str) -> list[tuple[str, str]]:
         """``#`` before the longest of the suffixes, if it lies in the region: a shorter
         one in the region does not count where a longer one is outside."""
         return [(rf"({'|'.join(suffixes)})$", "#$1"), (rf"^(?!{region}[^#]*#)([^#]*)#", "$1")]
 
-    later += longest([*(suffix for suffix, _ in EN_FIRST_REGION_RULES), "ogi", "li"], first)
-    later += [(rf"#{suffix}$", f"{target}!") for suffix, target in EN_FIRST_REGION_RULES]
-    later += [
+    stem = _chain(stem, longest([*(suffix for suffix, _ in EN_FIRST_REGION_RULES), "ogi", "li"], first))
+    rules = [(rf"#{suffix}$", f"{target}!") for suffix, target in EN_FIRST_REGION_RULES]
+    rules += [
         (r"l#ogi$", "log!"),
         (rf"(?<=[{EN_LI_ENDINGS}])#li$", "!"),
         (r"#|(?<!!)!$", ""),
     ]
-    later += longest([*(suffix for suffix, _ in EN_DERIVED_RULES), "ative"], first)
-    later += [(rf"#{suffix}$", f"{target}!") for suffix, target in EN_DERIVED_RULES]
-    later += [
+    stem = _chain(_chain_where(stem, "[#!]", rules), longest([*(suffix for suffix, _ in EN_DERIVED_RULES), "ative"], first))
+    rules = [(rf"#{suffix}$", f"{target}!") for suffix, target in EN_DERIVED_RULES]
+    rules += [
         (rf"^({second}.*)#ative$", "$1!"),
         (r"#|(?<!!)!$", ""),
     ]
-    later += longest([EN_SECOND_REGION_SUFFIXES, "ion"], second)
-    later += [
+    stem = _chain(_chain_where(stem, "[#!]", rules), longest([EN_SECOND_REGION_SUFFIXES, "ion"], second))
+    rules = [
         (rf"#(?:{EN_SECOND_REGION_SUFFIXES})$", "!"),
         (r"(?<=[st])#ion$", "!"),
         (r"#|(?<!!)!$", ""),
+    ]
+    endings = [
         (rf"^({second}.*)e$", "$1!"),
         (rf"^({first}.*)(?<!{c}{v}[^aeiouywxY!])(?<!^{v}{c})e$", "$1!"),
         (rf"^({second}.*l)l$|^({second[:-1]}(?<=l)))l$", "$1$2!"),
         (r"!+$", ""),
-        ("Y", "y"),
     ]
-    stem = _chain(stem, later)
+    stem = _chain_where(_chain_where(stem, "[#!]", rules), "(?:e|ll|!)$", endings)
+    stem = F.replace(stem, F.lit("Y"), F.lit("y"))
     irregular = F.create_map(*[F.lit(x) for pair in EN_IRREGULAR.items() for x in pair])
     return (
         F.when(F.char_length(word) <= 2, word)
