@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.catalog import query
+from loomdex.functions.binding import let
 from loomdex.functions.text import evidence_key
 from loomdex.operators import contract
 from loomdex.operators import evaluation as ev
@@ -366,10 +367,13 @@ def card_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(', "confidence": '), flawed({5: F.lit('"0.25"'), 6: F.lit('"high"')}, F.lit("0.5")), F.lit("}"),
     )
     text = F.when(flaw == 7, F.substring(text, F.lit(1), F.length(text) - 4)).otherwise(text)
-    read = read_table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).withColumn("read", read_card(F.col("text")))
-    read = read.select("p_partkey", "read.type_errors", contract.with_defaults(F.col("read.card")).alias("card"))
+    # Small rows and much work: a few files must not be a few tasks.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cards = read_table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).repartition(tasks)
+    read = cards.withColumn("read", read_card(F.col("text")))
+    read = read.select("p_partkey", "read.type_errors", let(F.col("read.card"), contract.with_defaults).alias("card"))
     typed = F.size("type_errors") == 0
-    again = contract.with_defaults(read_card(F.to_json("card"))["card"])
+    again = let(read_card(F.to_json("card"))["card"], contract.with_defaults)
     value = lambda column: F.when(typed, column)  # noqa: E731 - a local shorthand
     return read.select(
         "p_partkey",

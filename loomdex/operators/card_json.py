@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomdex.functions.binding import let
 from loomdex.schemas import CARD, SOURCE
 
 NUMBERS = "^(BIGINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL.*)$"
@@ -83,8 +84,12 @@ def _source(source: Column) -> Column:
 
 def read_card(text: Column) -> Column:
     """``STRUCT<card, type_errors>`` of JSON text: a card with NULL for what is absent, and
-    a message for each field of a wrong type (then the card is not to be used)."""
-    value = F.try_parse_json(text)
+    a message for each field of a wrong type (then the card is not to be used). The text
+    is parsed once, however many parts are asked of it."""
+    return let(F.try_parse_json(text), lambda value: _judged(text, value))
+
+
+def _judged(text: Column, value: Column) -> Column:
     field = {name: _at(value, f"$.{name}") for name in ("title", "description", "characteristics", "benefits", "seo", "sources", "missing_fields", "confidence")}
     seo = {name: _at(value, f"$.seo.{name}") for name in ("title", "description", "keywords")}
     sources = F.try_variant_get(field["sources"], "$", "array<variant>")

@@ -187,3 +187,12 @@ def test_types_of_a_card(spark, text, errors):
     assert got["type_errors"] == errors
     if text is None or "valid" in "".join(errors):
         assert got["card"] is None
+
+
+def test_card_text_is_parsed_once(spark):
+    from loomdex.operators.card_json import read_card
+
+    cards = spark.createDataFrame([('{"title": "a", "sources": [{"chunk_id": "c"}]}',), ("{",), (None,)], "text string")
+    read = cards.select(read_card(F.col("text")).alias("read")).select("read.type_errors", "read.card")
+    assert [r["type_errors"] for r in read.collect()] == [[], ["the answer is no valid JSON"], []]
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("parse_json") == 1
