@@ -7,11 +7,12 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdex.catalog import query
+from loomdex.operators.local_best import slices
 from loomdex.plans.ingest import parse_files, to_blocks
 from loomdex.session import durable, read_table
 from loomdex.sources.parsers import R, S, SHEET_SECTION, W
@@ -19,6 +20,8 @@ from loomdex.sources.parsers import R, S, SHEET_SECTION, W
 # The smallest packages of parts that office programs open.
 _NAMES = {"w": W.strip("{}"), "s": S.strip("{}"), "r": R.strip("{}")}
 TURNS_PER_SHEET = 256
+# Files that a task holds at once.
+FILES_AT_ONCE = 64
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 
 
@@ -62,13 +65,15 @@ def xlsx_of(rows: list[list[str]]) -> bytes:
 
 
 def _made(rows: DataFrame, kind: str, make: Callable) -> DataFrame:
-    """``(doc_id, kind, content)`` out of (doc_id, body)."""
+    """``(doc_id, kind, content)`` out of (doc_id, body), a few rows at a time."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "kind": kind, "content": [make(b) for b in frame["body"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, FILES_AT_ONCE):
+            contents = [make(b) for b in batch.column("body").to_pylist()]
+            columns = [batch.column("doc_id"), pa.repeat(pa.scalar(kind), batch.num_rows), pa.array(contents, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "content"])
 
-    return rows.mapInPandas(run, "doc_id STRING, kind STRING, content BINARY")
+    return rows.mapInArrow(run, "doc_id STRING, kind STRING, content BINARY")
 
 
 _TRIM = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"

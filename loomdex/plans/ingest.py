@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomdex.functions.text import heading, paragraphs
 from loomdex.operators.blocks import normalize_blocks, sheet_lines, table_text
 from loomdex.operators.chunking import chunk_blocks
+from loomdex.operators.local_best import slices
 from loomdex.operators.state import register_uploads
 from loomdex.plans.embedding import Embedder, embed_texts
 from loomdex.session import durable
@@ -38,9 +41,11 @@ def parse_files(files: DataFrame, parsers: Mapping[str, Callable[[bytes], list[B
     never fails the job. The upload limit bounds what a task holds.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, kind, content in batch.itertuples(index=False):
+    schema = to_arrow_schema(T.StructType.fromDDL(RAW_BLOCKS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            for doc_id, kind, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     if kind not in parsers:
                         raise ValueError(f"no parser for {kind}")
@@ -51,13 +56,10 @@ def parse_files(files: DataFrame, parsers: Mapping[str, Callable[[bytes], list[B
                 except Exception as exc:  # noqa: BLE001 - reported per document
                     reason = f"parse: {type(exc).__name__}: {exc}"
                     rows = [(doc_id, None, None, None, None, None, None, reason)]
-                names = ["doc_id", "position", "kind", "content", "page", "section", "rows", "error"]
-                frame = pd.DataFrame(rows, columns=names)
-                for column in ("position", "page"):
-                    frame[column] = frame[column].astype("Int32")
-                yield frame
+                columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return files.select("doc_id", "kind", "content").mapInPandas(run, RAW_BLOCKS)
+    return files.select("doc_id", "kind", "content").mapInArrow(run, RAW_BLOCKS)
 
 
 def to_blocks(raw: DataFrame) -> DataFrame:
