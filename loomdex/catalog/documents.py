@@ -552,6 +552,10 @@ _UPLOADS_SQL = """SELECT sha256(text) AS content_hash, substring(sha256(sha256(t
 _UPLOAD_COLUMNS = ("content_hash", "doc_id", "filename", "first_seq", "copies")
 
 
+#: Bytes of text in a file of the stream's input folder.
+STREAM_FILE_BYTES = 64 << 20
+
+
 def _uploads(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("doc_id").alias("seq"),
@@ -564,13 +568,16 @@ def _uploads(documents: DataFrame) -> DataFrame:
 @query(_UPLOADS_SQL)
 def streamed_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same documents as a stream: two micro-batches, then, after a restart, two
-    more with contents that are known by then."""
+    more with contents that are known by then. A micro-batch has as many files as its
+    texts need, so that no task reads a share of all texts."""
     folder = scratch_folder(spark, "stream")
     documents = read_table(spark, sf_dir, "documents")
+    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = -(-total // (4 * STREAM_FILE_BYTES)) or 1
     for half in (0, 1):
         part = documents.filter(F.pmod(F.floor(F.col("doc_id") / 7), F.lit(2)) == half)
-        part.repartitionByRange(2, "doc_id").write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        part.repartitionByRange(2 * files, "doc_id").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
         start_registry(upload_facts(_uploads(stream)), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return registered(spark, f"{folder}/out").select(*_UPLOAD_COLUMNS)
 

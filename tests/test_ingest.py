@@ -241,3 +241,17 @@ def test_stream_registry_knows_contents_across_batches_and_restarts(spark, tmp_p
         start_registry(upload_facts(stream), out, checkpoint).awaitTermination()
     want = register_uploads(spark.createDataFrame(rows, schema)).drop("created")
     assert sorted(map(tuple, registered(spark, out).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stream_files_are_bounded(spark, tmp_path, monkeypatch):
+    from loomdex.catalog import documents as d
+
+    rows = [(k, f"text {k % 30} " * 5, "en", f"s{k}") for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(d, "STREAM_FILE_BYTES", 500)
+    monkeypatch.setattr(d, "scratch_folder", lambda spark, label: str(tmp_path / label))
+    got = d.streamed_uploads(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, d.upload_deduplication(spark, str(tmp_path)).collect())) and len(got) == 30
+    assert len(list((tmp_path / "stream" / "in").glob("*.parquet"))) > 8
+    # Two micro-batches for each half, however many files.
+    assert len(list((tmp_path / "stream" / "out").glob("batch=*"))) == 4
