@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 
 def save_bucketed(
-    df: DataFrame, name: str, buckets: int, key: str = "doc_id", path: str | None = None
+    df: DataFrame, name: str, buckets: int, key: str = "doc_id", path: str | None = None, sort: bool = True
 ) -> DataFrame:
     """Parquet table bucketed and sorted by ``key``, read back: chunks, vectors,
     postings and documents stored alike join on it without a shuffle."""
-    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key)
+    if sort:
+        writer = writer.sortBy(key)
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(name)

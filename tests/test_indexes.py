@@ -124,3 +124,15 @@ def test_bucketed_corpus_moves_no_vector(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         drop_corpus(spark, "bucketed_test", names)
     assert not spark.catalog.tableExists("bucketed_test_vectors")
+
+
+def test_blocks_are_scored_where_they_are_stored(spark, tmp_path):
+    corpus, queries = clustered(spark)
+    blocks = save_blocks(corpus.chunks, str(tmp_path / "blocks"), 4, settings=BlockSettings(16))
+    stored = Corpus(corpus.chunks, corpus.vectors, corpus.documents, analyzer="simple", blocks=blocks)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = [x for x in plan_of(search_fts(queries, stored, top_k=5)).splitlines() if "Exchange hashpartitioning" in x]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert lines and not any("lexeme" in x or "chunk_id" in x for x in lines), lines
