@@ -454,7 +454,9 @@ class CardFlow:
             ).alias("prompt"),
         )
         answers = self._ask(prompts, models.FIXER)
-        read = answers.select("job_id", read_card(repaired_json(F.col("answer"))).alias("read"))
+        # A column first: a Python function may not stand inside the expressions of a card.
+        parsed = answers.select("job_id", repaired_json(F.col("answer")).alias("parsed"))
+        read = parsed.select("job_id", read_card(F.col("parsed")).alias("read"))
         typed = read.select("job_id", "read.type_errors", contract.with_defaults(F.col("read.card")).alias("card"))
         valid = (F.size("type_errors") == 0) & (F.size(contract.contract_violations(F.col("card"))) == 0)
         return typed.select(
