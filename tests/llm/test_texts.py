@@ -1,6 +1,7 @@
 """Operators on texts against plain versions, on a fixture with every awkward case."""
 
 import hashlib
+import random
 from collections import Counter
 from fractions import Fraction
 
@@ -8,6 +9,7 @@ import pytest
 from helpers import LOWER, awkward_rows, frame, sentence, words
 from pyspark.sql import functions as F
 
+from loomdex.llm import registry
 from loomdex.llm.common import with_hash
 from loomdex.llm.decontaminate import find_contamination
 from loomdex.llm.exact_dedup import IndexSettings, build_index, directory, exact_dedup, read_index
@@ -242,6 +244,23 @@ def test_repeats(spark, docs, depth):
     assert sorted(got, key=repr) == removed_by_hand(rows, depth)
 
 
+def test_planted_passages(spark, tmp_path):
+    """The query on passages of over 50 words in two documents each: one of 400 bytes goes, one of 399 stays."""
+    rng, rows, want = random.Random(8), [], []
+    for k, size in enumerate((400, 399, 1200, 0)):
+        passage = sentence(rng, 300, 100_000)[:size]
+        assert not size or len(passage.split()) > 50
+        for copy in "ab":
+            # Other bytes on both sides of each copy: no more than the passage repeats.
+            before, after = f"{sentence(rng, 70, 100_000)}{copy}", f"{copy}{sentence(rng, 70, 100_000)}"
+            rows.append((len(rows), before + passage + after, "en", "a"))
+            kept, spans = (before + after, 1) if size >= 400 else (rows[-1][1], 0)
+            want.append((rows[-1][0], len(rows[-1][1]), spans * size, spans, hashlib.sha256(kept.encode()).hexdigest()))
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["op8_suffix_buckets"](spark, str(tmp_path))
+    assert listed(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_difference_covers():
     for depth in (14, 30, 60, 400):
         period, cover = cover_for(depth)
